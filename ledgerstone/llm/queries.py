@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerstone.llm.mixing import mix
 from ledgerstone.llm.packing import pack
+from ledgerstone.llm.secrets import joined, scan
 from ledgerstone.llm.substring_dedup import substring_dedup
 from ledgerstone.llm.token_store import token_digests
 
@@ -22,11 +24,21 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir), length=4096).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_docs(spark, sf_dir)).select("doc_id", "source", "lang", F.col("mix_tokens").alias("n_tokens"), F.col("mix_probability").alias("probability"), F.col("mix_kept").alias("kept"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pack, op5_token_store)}
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("secret_spans")
+    n = lambda rank: F.size(F.filter(s, lambda x: x["rank"] == rank)).cast("long")
+    return scan(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(joined(s, 2), 256).alias("base_sha256"), joined(s).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pack, op3_mix_sources, op5_token_store, op6_secret_scan)}
 
 ORACLE_SQL = {
     "op1_substring_dedup": r"""
