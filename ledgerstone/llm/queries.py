@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerstone.llm import language_id
 from ledgerstone.llm.mixing import mix
 from ledgerstone.llm.packing import pack
+from ledgerstone.llm.quality_rules import judge
 from ledgerstone.llm.secrets import joined, scan
 from ledgerstone.llm.substring_dedup import substring_dedup
 from ledgerstone.llm.token_store import token_digests
+from ledgerstone.llm.topk_search import integer_vectors, search
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +31,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_docs(spark, sf_dir)).select("doc_id", "source", "lang", F.col("mix_tokens").alias("n_tokens"), F.col("mix_probability").alias("probability"), F.col("mix_kept").alias("kept"))
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = integer_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return search(v.where("id % 20 = 0"), v, k=20)
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_docs(spark, sf_dir))
 
@@ -38,7 +46,18 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(joined(s, 2), 256).alias("base_sha256"), joined(s).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pack, op3_mix_sources, op5_token_store, op6_secret_scan)}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    rows = language_id.identify(docs.select("doc_id", "text"), language_id.learn(docs))
+    return rows.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = judge(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pack, op3_mix_sources, op4_topk_search, op5_token_store, op6_secret_scan, op8_language_id, op9_quality_rules)}
 
 ORACLE_SQL = {
     "op1_substring_dedup": r"""
@@ -51,5 +70,13 @@ c AS (SELECT w.doc_id, w.i, w.word, COALESCE(MAX(CASE WHEN r.again THEN 1 ELSE 0
 g AS (SELECT doc_id, COUNT(*) AS n_words, SUM(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM c GROUP BY doc_id)
 SELECT d.doc_id, CAST(COALESCE(g.n_words, 0) AS BIGINT) AS n_words, CAST(COALESCE(g.n_removed, 0) AS BIGINT) AS n_removed, sha256(COALESCE(g.kept, '')) AS kept_sha256
 FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+""",
+    "op4_topk_search": r"""
+WITH e AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(64 * x) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """,
 }
