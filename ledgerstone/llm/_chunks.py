@@ -146,6 +146,32 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
             width *= 2
 
 
+def grams_at(h: np.ndarray, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the k items from each of the given starts."""
+    a, b = np.zeros(len(at), np.uint64), np.full(len(at), k, np.uint64)
+    odd = np.random.default_rng(k).integers(0, 1 << 64, 2 * k, np.uint64) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        for i in range(k):
+            v = h[at + i]
+            a += (v ^ (v >> _S33)) * odd[2 * i]
+            b ^= (v + (v << _S29)) * odd[2 * i + 1]
+            b = b << np.uint64(9) | b >> np.uint64(55)
+        return mix(a), mix(b)
+
+
+def member(x: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in x whose value is among ascending keys, and its index there. A table of low bits spares most searches."""
+    if not len(keys) or not len(x):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = x.dtype.type((1 << max(10, min(24, len(keys).bit_length() + 3))) - 1)
+    table = np.zeros(int(low) + 1, bool)
+    table[keys & low] = True
+    at = np.flatnonzero(table[x & low])
+    k = np.searchsorted(keys, x[at])
+    same = keys[np.minimum(k, len(keys) - 1)] == x[at]
+    return at[same], k[same]
+
+
 def inside(bounds: np.ndarray, k: int, total: int) -> np.ndarray:
     """Mask over window starts: the window of k items lies in one document."""
     n = max(0, total - k + 1)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerstone.llm import language_id
+from ledgerstone.llm.jaccard_join import jaccard_join
 from ledgerstone.llm.mixing import mix
 from ledgerstone.llm.packing import pack
 from ledgerstone.llm.quality_rules import judge
@@ -57,7 +58,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pack, op3_mix_sources, op4_topk_search, op5_token_store, op6_secret_scan, op8_language_id, op9_quality_rules)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_docs(spark, sf_dir), n=5, percent=75)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pack, op3_mix_sources, op4_topk_search, op5_token_store, op6_secret_scan, op8_language_id, op9_quality_rules, op10_jaccard_join)}
 
 ORACLE_SQL = {
     "op1_substring_dedup": r"""
