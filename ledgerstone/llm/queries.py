@@ -12,6 +12,7 @@ from ledgerstone.llm.packing import pack
 from ledgerstone.llm.quality_rules import judge
 from ledgerstone.llm.secrets import joined, scan
 from ledgerstone.llm.substring_dedup import substring_dedup
+from ledgerstone.llm.suffix_dedup import suffix_dedup
 from ledgerstone.llm.token_store import token_digests
 from ledgerstone.llm.topk_search import integer_vectors, search
 
@@ -47,6 +48,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(joined(s, 2), 256).alias("base_sha256"), joined(s).alias("spans"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup(_docs(spark, sf_dir), least=50)
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     rows = language_id.identify(docs.select("doc_id", "text"), language_id.learn(docs))
@@ -62,7 +68,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_docs(spark, sf_dir), n=5, percent=75)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pack, op3_mix_sources, op4_topk_search, op5_token_store, op6_secret_scan, op8_language_id, op9_quality_rules, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pack, op3_mix_sources, op4_topk_search, op5_token_store, op6_secret_scan, op7_suffix_dedup, op8_language_id, op9_quality_rules, op10_jaccard_join)}
 
 ORACLE_SQL = {
     "op1_substring_dedup": r"""
