@@ -1,11 +1,62 @@
-"""Corpus pipeline: stages applied to documents in order."""
+"""Corpus pipeline: identify languages, drop near copies, mask secrets, mix to target weights, pack to sequences.
 
-STAGES: list = []
+Each stage takes all that its predecessor kept and returns the columns of its input; the last returns pieces of sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerstone.llm import language_id
+from ledgerstone.llm._shared import shared_table
+from ledgerstone.llm.jaccard_join import jaccard_join
+from ledgerstone.llm.mixing import mix
+from ledgerstone.llm.packing import pack
+from ledgerstone.llm.secrets import redact
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents near a centroid of the languages of these documents. Null texts, texts without letters and far ones go; an empty table stays empty."""
+    rows = language_id.identify(docs, language_id.learn(docs))
+    return rows.where(~F.col("lang_rejected")).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of every group of near copies (five-word shingles, similarity of 0.75 or more); repeated rows become one. Rows of null id and documents without words stay."""
+    groups = jaccard_join(docs, n=5, percent=75)
+    copies = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by <SECRET>; n_chars follows where a text changed."""
+    rows = redact(docs.withColumn("_before", F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("text") == F.col("_before"), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose expected tokens by source, language and layout are their shares to the power 0.7. A text without words is never drawn."""
+    return mix(docs).where("mix_kept").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 4096 tokens, with their ids."""
+    return pack(docs, length=4096)
+
+
+STAGES = [("language id", known_language), ("n-gram Jaccard join", one_of_each_group), ("secret scans", without_secrets), ("mixing", mixed), ("packing", packed)]
+#: Centroids, searches and hashed draws have no SQL form; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces that the stages make of documents; each stage's rows are written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = shared_table(spark, docs)
     return docs
