@@ -24,49 +24,52 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 OUT = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:long,end:long>>"
 
 
-def _probes(words: C.Words, block: int, n_buckets: int):
-    """Codes of all rolling windows of a block's length, whether each start lies in one document, and whether it is a reference block."""
-    h = C.grams(words.hashes(), block)
-    ok = C.inside(words.bounds, block, words.n)
-    doc = np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds))[: len(h)]
-    ref = ok & ((np.arange(len(h)) - words.bounds[doc]) % block == 0)
-    return C.split(h, n_buckets), ok, ref
-
-
 def _distinct(words: C.Words, block: int, n_buckets: int):
-    code, ok, ref = _probes(words, block, n_buckets)
-    keys, inv, count = np.unique(code[ok], return_inverse=True, return_counts=True)
+    """Word hashes, codes of the rolling windows of a block's length and their starts; the distinct codes, which of them are reference blocks, and which occur twice."""
+    h = words.hashes()
+    at = np.flatnonzero(C.inside(words.bounds, block, words.n))
+    code = C.split(C.grams(h, block)[at], n_buckets)
+    counts = np.maximum(np.diff(words.bounds) - block + 1, 0)
+    doc_first = np.repeat(words.bounds[:-1], counts)
+    ordered = np.sort(code)
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    keys = ordered[new]
+    first = np.flatnonzero(new)
+    twice = np.diff(first, append=len(ordered)) > 1
     is_ref = np.zeros(len(keys), bool)
-    is_ref[inv[ref[ok]]] = True
-    return keys, inv, count, is_ref, ok
+    is_ref[np.searchsorted(keys, np.unique(code[(at - doc_first) % block == 0]))] = True
+    return h, code, at, keys, is_ref, twice
 
 
 def _candidates(words: C.Words, window: int, block: int, n_buckets: int, told: np.ndarray):
     """Starts of the windows that hold an anchor hit, with two lanes of their hash."""
-    keys, inv, count, is_ref, ok = _distinct(words, block, n_buckets)
-    hit_key = (is_ref & (count > 1)) | (told[: len(keys)] > 0 if len(told) else False)
-    hit = np.zeros(len(ok) + 1, np.int64)
-    hit[np.flatnonzero(ok)[hit_key[inv]] + 1] = 1
-    upto = np.cumsum(hit)
+    h, code, at, keys, is_ref, twice = _distinct(words, block, n_buckets)
+    hits, _ = C.member(code, keys[(is_ref & twice) | (told > 0)])
+    hit = np.zeros(words.n + 1, np.int32)
+    hit[at[hits] + 1] = 1
+    upto = np.cumsum(hit, dtype=np.int32)
     n = max(0, words.n - window + 1)
     inner = window - block + 1
     live = C.inside(words.bounds, window, words.n)
     live &= (upto[inner : inner + n] - upto[:n]) > 0
-    at = np.flatnonzero(live)
-    return at, C.grams(words.hashes(), window)[at], C.grams(words.hashes(1), window)[at]
+    starts = np.flatnonzero(live)
+    return starts, *C.grams_at(h, window, starts)
 
 
 def _order(a: np.ndarray, b: np.ndarray, n_buckets: int):
     """Distinct (bucket, a, b) in a fixed order: index of each item's group, and the group's bucket, a and low half of b."""
-    bucket = (a >> np.uint64(33)) % np.uint64(n_buckets)
     b = b & np.uint64(0xFFFFFFFF)
-    o = np.lexsort((b, a, bucket))
+    o = np.argsort(a, kind="stable")
+    if np.any((a[o][1:] == a[o][:-1]) & (b[o][1:] != b[o][:-1])):
+        o = np.lexsort((b, a))
     new = np.ones(len(o), bool)
     new[1:] = (a[o][1:] != a[o][:-1]) | (b[o][1:] != b[o][:-1])
     group = np.empty(len(o), np.int64)
     group[o] = np.cumsum(new) - 1
     first = o[new]
-    return group, bucket[first], a[first], b[first].astype("<u4")
+    bucket = (a[first] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)  # ascends with a
+    return group, bucket, a[first], b[first].astype("<u4")
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
@@ -86,7 +89,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
 
     def send(table: pa.Table) -> pa.Table:
         c = C.Chunk(table)
-        keys, _, _, is_ref, _ = _distinct(c.words(), block, n)
+        _, _, _, keys, is_ref, _ = _distinct(c.words(), block, n)
         cut = C.by_bucket(keys, n)
         low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         return C.blobs([(b, c.index, C.pack_keys(low[i:j]), np.packbits(is_ref[i:j]).tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i])
@@ -95,10 +98,13 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
         rows = C.rows_of(table)
         keys = [C.unpack_keys(r[2]) for r in rows]
         refs = [np.unpackbits(np.frombuffer(r[3], np.uint8))[: len(k)] for r, k in zip(rows, keys, strict=True)]
-        _, inv, total = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        ref = np.concatenate(refs)
-        of_ref = np.bincount(inv, weights=ref, minlength=len(total)).astype(np.int64)[inv]
-        hit = (of_ref - ref > 0) | ((ref > 0) & (total[inv] > 1))
+        every, ref = np.concatenate(keys), np.concatenate(refs)
+        ordered = np.sort(every)
+        shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])  # keys of more than one chunk
+        at, k = C.member(every, shared)
+        of_ref = np.bincount(k, weights=ref[at], minlength=len(shared))[k]
+        hit = np.zeros(len(every), bool)
+        hit[at] = (of_ref - ref[at] > 0) | (ref[at] > 0)
         parts = np.split(hit.astype(np.uint8), np.cumsum([len(k) for k in keys])[:-1])
         return C.blobs([(r[0], r[1], None, p.tobytes()) for r, p in zip(rows, parts, strict=True)])
 
