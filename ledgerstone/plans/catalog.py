@@ -506,11 +506,18 @@ def _(g):
     return t.select("doc_id", F.md5(T.redact("text")).alias("masked"))
 
 
-@query("trailing_amount", f"""WITH {_LINES}, a AS (SELECT doc_id, regexp_extract(line, '(?i)(\\()?([+-])?(?:S\\$|SGD|USD|\\$)?\\s?(\\d{{1,3}}(?:,\\d{{3}})*\\.\\d{{2}}|\\d+\\.\\d{{2}})(\\))?\\s*(CR|DR)?\\s*$', ['open', 'sign', 'num', 'close', 'mark']) AS m, len(regexp_extract_all(line, '\\d{{1,3}}(?:,\\d{{3}})*\\.\\d{{2}}|\\d+\\.\\d{{2}}')) > 1 AS ambiguous FROM ln)
-  SELECT doc_id, CAST(replace(m.num, ',', '') AS DECIMAL(18,2)) AS amount, CASE WHEN upper(m.mark) = 'CR' OR (m.mark = '' AND m.sign = '+') THEN 'credit' ELSE 'debit' END AS direction, ambiguous FROM a WHERE m.num <> ''""", ledger=False)
+_TAILS = [("{a}", "debit", False), ("{a} CR", "credit", False), ("+{a}", "credit", False), ("-{a}", "debit", False), ("({a})", "debit", False), ("S$ {a} DR", "debit", False), ("10.00 {a} cr", "credit", True)]
+
+
+@query("trailing_amount", f""", x AS (SELECT *, id % 7 AS k FROM txn) SELECT id, CAST(amount_minor / 100.0 AS DECIMAL(18,2)) AS amount, CASE {" ".join(f"WHEN k = {i} THEN '{t[1]}'" for i, t in enumerate(_TAILS))} END AS direction, description_raw || CASE WHEN k = 6 THEN ' 10.00' ELSE '' END AS description, k = 6 AS ambiguous FROM x""")
 def _(g):
-    a = _text_lines(g).select("doc_id", T.trailing_amount(F.col("line")).alias("a")).where("a IS NOT NULL")
-    return a.select("doc_id", "a.amount", "a.direction", "a.ambiguous")
+    money, k = money_text(F.col("amount_minor")), F.col("id") % 7
+    tail = F.lit(None).cast("string")
+    for i, t in enumerate(_TAILS):
+        before, after = t[0].split("{a}")
+        tail = F.when(k == i, F.concat(F.lit(before), money, F.lit(after))).otherwise(tail)
+    a = g.txn.select("id", T.trailing_amount(F.concat_ws("  ", "description_raw", tail)).alias("a"))
+    return a.select("id", "a.amount", "a.direction", "a.description", "a.ambiguous")
 
 
 @query("leading_dates", """, ln AS (SELECT id, txn_date, ' ' || description_raw AS rest FROM txn)

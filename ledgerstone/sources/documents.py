@@ -13,10 +13,10 @@ MOST_BYTES = 25 << 20
 
 
 def read_files(spark: SparkSession, path: str, extension: str = "pdf") -> DataFrame:
-    """Files (path, filename, content, length, sha256, refusal): refusal is why a file isn't taken, or null."""
+    """Files (path, filename, content, length, sha256, refusal): refusal is why a file isn't taken, or null. Spark's reader leaves empty files out by itself."""
     f = spark.read.format("binaryFile").load(path)
     name = file_name(F.col("path"))
-    why = F.when(~F.lower(name).endswith(f".{extension}"), f"only .{extension} files are read").when(F.col("length") == 0, "the file is empty").when(F.col("length") > MOST_BYTES, "the file is larger than 25 MiB")
+    why = F.when(~F.lower(name).endswith(f".{extension}"), f"only .{extension} files are read").when(F.col("length") > MOST_BYTES, "the file is larger than 25 MiB")
     return f.select("path", name.alias("filename"), "content", "length", F.sha2("content", 256).alias("sha256"), why.alias("refusal"))
 
 
@@ -32,9 +32,8 @@ def only_new(files: DataFrame, known: DataFrame) -> DataFrame:
 
 def decode_text(content: Column) -> Column:
     """UTF-8 (a byte order mark dropped) where the bytes are valid, else Latin-1: every byte gives a character."""
-    text = F.try_validate_utf8(F.decode(content, "UTF-8")) if hasattr(F, "try_validate_utf8") else F.decode(content, "UTF-8")
-    clean = F.when(F.encode(text, "UTF-8") == content, text)
-    return F.regexp_replace(F.coalesce(clean, F.decode(content, "ISO-8859-1")), "^﻿", "")
+    text = content.cast("string")
+    return F.regexp_replace(F.when(F.is_valid_utf8(text), text).otherwise(F.decode(content, "ISO-8859-1")), "^\ufeff", "")
 
 
 def looks_scanned(text: Column) -> Column:
