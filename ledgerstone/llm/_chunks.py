@@ -115,6 +115,16 @@ class Words:
         return h
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Ascending distinct values; a plain sort, which is much faster here than numpy's unique."""
+    x = np.sort(x)
+    if len(x) < 2:
+        return x
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> _S33)
     x = x * _F1

@@ -4,7 +4,7 @@ Each chunk of consecutive documents is a shard with its own suffix array, built
 reach ``least`` bytes form intervals, one per repeated string; all of its starts outside the interval's first document are repeats within the shard. What remains, the *live* starts, is
 one document's worth per distinct string, and must still be held against the earlier shards:
 
-1. each live string has an anchor, the rarest-looking (smallest-hash) 25-byte string in it. It is the same wherever the string occurs; shards exchange
+1. each live string has an anchor, the 25-byte string in it whose first eight bytes hash lowest. It is the same wherever the string occurs; shards exchange
    their distinct anchors, some 7 in 100 bytes, and go on only with those that another shard has too;
 2. an anchor with the bytes around it that any of its strings can reach is its context. A context that an earlier shard also has settles all its strings
    at once, and so does a context that no other shard has and that is the only one of its anchor;
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from ledgerstone.llm import _chunks as C
 from ledgerstone.llm import _suffix
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 _PAD = 128
+_BLOCK = 1 << 15
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 OUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 _ODD = np.random.default_rng(7).integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
@@ -44,40 +45,48 @@ class Shard:
         valid[chunk.offsets[1:][long] - least + 1] -= 1
         self.valid = np.cumsum(valid[: chunk.n], dtype=np.int8) > 0
 
-    def _loads(self, at: np.ndarray | None, n: int, lane: int) -> np.ndarray:
-        """Hash of the n bytes from each position (all, if at is None), eight at a time; the last eight may overlap."""
+    def _loads(self, at: np.ndarray, n: int, lane: int) -> np.ndarray:
+        """Hash of the n bytes from each position, eight at a time; the last eight may overlap."""
         steps = [*range(0, n - 7, 8), *([n - 8] if n % 8 else [])]
         out = None
         with np.errstate(over="ignore"):
             for i, o in enumerate(steps):
-                v = self.wide[_PAD + o : _PAD + o + self.chunk.n] if at is None else self.wide[_PAD + o + at]
-                v = v * _ODD[2 * i + lane]
+                v = self.wide[_PAD + o + at] * _ODD[2 * i + lane]
                 v ^= v >> np.uint64(32)
                 out = v if out is None else out * _ODD[60 + lane] + v
             return C.mix(out)
 
-    def anchors(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For ascending starts: distinct anchor positions, their 64-bit hashes, and the anchor of each start."""
-        h = self._loads(None, self.width, 0)
-        place = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-        span, best, done = self.least - self.width + 1, None, 0
-        power, width = place, 1
-        n = len(place) - span + 1
-        while n > 0:  # smallest over the next span places, by doubling
-            if span & width:
-                part = power[done : done + n]
-                best = part.copy() if best is None else np.minimum(best, part)
-                done += width
-            if width * 2 > span:
-                break
-            power = np.minimum(power[: len(power) - width], power[width:])
-            width *= 2
-        if not len(starts):
-            return starts, np.zeros(0, np.uint64), starts
-        p = (best[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    def places(self) -> np.ndarray:
+        """The anchor of the string at each start: of its places for a width of bytes, the one whose first eight hash lowest, the leftmost if equal."""
+        span = self.least - self.width + 1
+        n = self.chunk.n - span + 1
+        out = np.empty(max(0, n), "<u4")
+        for lo in range(0, n, _BLOCK):  # blocks that stay in a core's cache
+            hi = min(n, lo + _BLOCK)
+            with np.errstate(over="ignore"):
+                power = self.wide[_PAD + lo : _PAD + hi + span - 1] * _ODD[48]
+            power &= np.uint64(0xFFFFFFFF00000000)
+            power |= np.arange(lo, hi + span - 1, dtype=np.uint64)
+            best, done, width = None, 0, 1
+            while True:  # smallest over the next span places, by doubling
+                if span & width:
+                    best = power[: hi - lo].copy() if best is None else np.minimum(best, power[done : done + hi - lo], out=best)
+                    done += width
+                if width * 2 > span:
+                    break
+                power = np.minimum(power[: len(power) - width], power[width:])
+                width *= 2
+            out[lo:hi] = best & np.uint64(0xFFFFFFFF)
+        return out
+
+    def anchors(self, places: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For ascending starts: distinct anchors, their 64-bit hashes, and how many starts each one has. Anchors ascend with the starts."""
+        p = places[starts]
         new = np.ones(len(p), bool)
         new[1:] = p[1:] != p[:-1]
-        return p[new], h[p[new]], np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        at = p[first].astype(np.int64)
+        return at, self._loads(at, self.width, 0), np.diff(first, append=len(p))
 
     def contexts(self, p: np.ndarray) -> np.ndarray:
         """Hash of the bytes that strings of an anchor can reach: least - width before it, least from it on, cut at its document."""
@@ -109,10 +118,10 @@ class State:
         bits = rows(0).column("payload").to_pylist()
         self.gone = np.unpackbits(np.frombuffer(bits[0], np.uint8), count=c.n).astype(bool) if bits and c.n else np.zeros(c.n, bool)
         self.live = np.flatnonzero(self.shard.valid & ~self.gone)
-        self.p, h, self.of = self.shard.anchors(self.live)
+        self.p, h, self.of = self.shard.anchors(self.shard.places(), self.live)
         code = C.split(h, n)
-        every = np.unique(C.split(self.shard.anchors(np.flatnonzero(self.shard.valid))[1], n)) if len(c.ids) else code
-        at, _ = C.member(code, every[C.flags(rows(1)) > 0])
+        shared = [C.unpack_keys(r[2]).astype(np.uint64) | np.uint64(r[0] << 32) for r in C.rows_of(rows(1))]
+        at, _ = C.member(code, np.concatenate([*shared, np.zeros(0, np.uint64)]))
         self.met = at  # anchors that another shard has
         self.code, self.context = code[at], self.shard.contexts(self.p[at])
         o = np.lexsort((self.context, self.code))
@@ -127,7 +136,7 @@ class State:
         """Mask over the live starts whose anchor's context got this verdict: 1 an earlier shard has it, 2 look at the strings."""
         flag = np.zeros(len(self.p), bool)
         flag[self.met[self.verdict[self.group] == wanted]] = True
-        return flag[self.of] if len(self.of) else np.zeros(0, bool)
+        return np.repeat(flag, self.of)
 
     def edge(self, n: int):
         """Starts to be looked at one by one, with their keys as _order gives them."""
@@ -167,7 +176,7 @@ def suffix_dedup(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_
 
     def send_anchors(table: pa.Table) -> pa.Table:
         s = Shard(C.Chunk(table), least)
-        keys = np.unique(C.split(s.anchors(np.flatnonzero(s.valid))[1], n))
+        keys = C.distinct(C.split(s.anchors(s.places(), np.flatnonzero(s.valid))[1], n))
         cut = C.by_bucket(keys, n)
         low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         return C.blobs([(b, s.chunk.index, C.pack_keys(low[i:j]), None) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i])
@@ -175,13 +184,9 @@ def suffix_dedup(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_
     def meet_anchors(table: pa.Table) -> pa.Table:
         rows = C.rows_of(table)
         keys = [C.unpack_keys(r[2]) for r in rows]
-        every = np.concatenate(keys)
-        ordered = np.sort(every)
-        at, _ = C.member(every, np.unique(ordered[1:][ordered[1:] == ordered[:-1]]))
-        flag = np.zeros(len(every), np.uint8)
-        flag[at] = 1
-        parts = np.split(flag, np.cumsum([len(k) for k in keys])[:-1])
-        return C.blobs([(r[0], r[1], None, p.tobytes()) for r, p in zip(rows, parts, strict=True)])
+        ordered = np.sort(np.concatenate(keys))
+        shared = C.distinct(ordered[1:][ordered[1:] == ordered[:-1]])
+        return C.blobs([(r[0], r[1], C.pack_keys(k[C.member(k, shared)[0]]), None) for r, k in zip(rows, keys, strict=True)])
 
     def send_contexts(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -239,10 +244,11 @@ def suffix_dedup(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_
         return _result(s.shard.chunk, repeat, least)
 
     whole = chunks.groupBy("chunk").applyInArrow(join, "chunk int, text binary, ends binary")
-    gone = whole.select(F.lit(0).alias("bucket"), "chunk", _suffix.repeats(F.col("text"), F.col("ends"), least).alias("payload"), F.lit(None).cast("binary").alias("extra"), F.lit(0).alias("stage"))
+    gone = whole.select(F.lit(0).alias("bucket"), "chunk", _suffix.repeats(F.col("text"), F.col("ends"), least).alias("payload"), F.lit(None).cast("binary").alias("extra"), F.lit(0).alias("stage")).repartition(n, "chunk")
 
+    # Answers are dealt out by chunk once, and every later pass reads the same shuffle again.
     def exchange(sent: DataFrame, meet, stage: int) -> DataFrame:
-        return sent.groupBy("bucket").applyInArrow(meet, C.BLOB).withColumn("stage", F.lit(stage))
+        return sent.groupBy("bucket").applyInArrow(meet, C.BLOB).withColumn("stage", F.lit(stage)).repartition(n, "chunk")
 
     def ask(told: DataFrame, f, schema: str) -> DataFrame:
         return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(f, schema)
@@ -255,8 +261,10 @@ def suffix_dedup(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_
 
 def _result(c: C.Chunk, repeat: np.ndarray, least: int) -> pa.Table:
     """Bytes covered by repeated strings go."""
-    last = np.maximum.accumulate(np.where(repeat, np.arange(c.n, dtype=np.int64), -least - 1)) if c.n else np.zeros(0, np.int64)
-    gone = np.arange(c.n) - last < least
+    edge = np.zeros(c.n + least, np.int8)
+    edge[: c.n] = repeat
+    edge[least:] -= repeat
+    gone = np.cumsum(edge[: c.n], dtype=np.int8) > 0  # at most least strings cover a byte
     spans, removed, kept = [], [], []
     for lo, hi in zip(c.offsets[:-1].tolist(), c.offsets[1:].tolist(), strict=True):
         g = gone[lo:hi]
