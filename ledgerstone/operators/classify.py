@@ -62,6 +62,29 @@ def rule_match(rule, description: Column, merchant: Column) -> Column:
     return never
 
 
+def rule_refusal(pattern: str | None, match_type: str, category: str | None, flow: str | None) -> str:
+    """Why a rule can't be saved; '' if it can."""
+    from ledgerstone.operators.listing import CATEGORIES, FLOW_TYPES
+
+    if not (pattern or "").strip():
+        return "A rule needs a pattern"
+    if match_type not in ("exact", "contains", "regex"):
+        return "Unknown match type"
+    if not category and not flow:
+        return "A rule sets a category or a flow"
+    if (category and category not in CATEGORIES) or (flow and flow not in FLOW_TYPES):
+        return "Unknown category or flow"
+    return "That pattern does not compile, or could run without end" if match_type == "regex" and safe_pattern(pattern) is None else ""
+
+
+def add_rule(rules: DataFrame, pattern: str, match_type: str, category: str | None = None, flow: str | None = None, priority: int = 0) -> DataFrame:
+    """Rules and the new one; raises ValueError with the reason if it is refused."""
+    if why := rule_refusal(pattern, match_type, category, flow):
+        raise ValueError(why)
+    top = (rules.agg(F.max("id")).first()[0] or 0) + 1
+    return rules.unionByName(rules.sparkSession.createDataFrame([(top, pattern, match_type, category, flow, priority)], rules.schema))
+
+
 def ordered_rules(rules: DataFrame) -> list:
     """Rules by priority, then id. They are written by people one at a time: a short list."""
     return rules.orderBy(F.desc("priority"), "id").collect()

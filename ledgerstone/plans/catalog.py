@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerstone.functions import merchants as N
 from ledgerstone.functions import textlines as T
 from ledgerstone.functions.money import money_text, net_spend, to_minor
-from ledgerstone.operators import classify, coverage, gate, grouping, lineage, listing, reports, statements
+from ledgerstone.operators import classify, coverage, display, gate, grouping, lineage, listing, reports, statements
 from ledgerstone.sources import documents as D
 from ledgerstone.sources import ledger as L
 
@@ -577,6 +577,68 @@ def _(g):
     return D.only_new(d, d.where("source = 'src0'")).select("sha256")
 
 
+# ---- what pages show
+
+
+@query("period_text", f"""{_ASSIGNED}, n AS (SELECT statement_id, MIN(txn_date) AS a, MAX(txn_date) AS b FROM asg GROUP BY 1) SELECT s.id, CASE WHEN period_start IS NOT NULL AND period_end IS NOT NULL THEN CAST(period_start AS VARCHAR) || ' → ' || CAST(period_end AS VARCHAR) WHEN id % 3 > 0 THEN 'to ' || CAST(statement_date AS VARCHAR) WHEN a IS NOT NULL THEN CAST(a AS VARCHAR) || ' → ' || CAST(b AS VARCHAR) || ' (from rows)' ELSE '—' END AS period FROM statement s LEFT JOIN n ON n.statement_id = s.id""")
+def _(g):
+    s = g.statement
+    n = listing.assign_statements(g.txn, s).groupBy("statement_id").agg(F.min("txn_date").alias("a"), F.max("txn_date").alias("b"))
+    closing = F.when(F.col("id") % 3 > 0, F.col("statement_date"))
+    return s.join(n, s.id == n.statement_id, "left").select("id", display.period_text(F.col("period_start"), F.col("period_end"), closing, F.col("a"), F.col("b")).alias("period"))
+
+
+@query("months_label", """, m AS (SELECT DISTINCT merchant_normalized AS k, strftime(txn_date, '%Y-%m') AS month FROM txn WHERE amount_minor > 45000000), c AS (SELECT k, COUNT(*) AS n, MIN(month) AS a, MAX(month) AS b, string_agg(month, ', ' ORDER BY month) AS l, MAX(CAST(month[1:4] AS INTEGER) * 12 + CAST(month[6:7] AS INTEGER)) - MIN(CAST(month[1:4] AS INTEGER) * 12 + CAST(month[6:7] AS INTEGER)) AS w FROM m GROUP BY 1)
+  SELECT k AS merchant_normalized, CASE WHEN n > 1 AND w = n - 1 THEN a || ' → ' || b ELSE l END AS label, n FROM c""")
+def _(g):
+    return display.months_label(g.txn.where("amount_minor > 45000000").select("merchant_normalized", reports.month_key().alias("month")), "merchant_normalized")
+
+
+@query("row_notes", f"""{_ASSIGNED}, d AS (SELECT *, CASE WHEN id % 5 = 0 THEN '' ELSE CAST(txn_date AS VARCHAR) || description_raw END AS key FROM asg), c AS (SELECT *, COUNT(*) OVER (PARTITION BY statement_id, key) - 1 AS twins FROM d)
+  SELECT id, CASE WHEN id % 11 = 0 THEN 'more than one amount' ELSE '' END || CASE WHEN id % 11 = 0 AND key <> '' AND twins > 0 THEN '; ' ELSE '' END || CASE WHEN key <> '' AND twins > 0 THEN 'repeats ' || CAST(twins AS VARCHAR) || ' other row(s)' ELSE '' END AS notes FROM c""")
+def _(g):
+    t = listing.assign_statements(g.txn, g.statement).withColumn("amount_ambiguous", F.col("id") % 11 == 0)
+    t = t.withColumn("dedup_key", F.when(F.col("id") % 5 == 0, "").otherwise(F.concat(F.col("txn_date").cast("string"), "description_raw")))
+    return display.row_notes(t).select("id", "notes")
+
+
+@query("category_shares", f", c AS (SELECT COALESCE(category, '(uncategorized)') AS label, COUNT(*) AS n, CAST(SUM({NET}) AS BIGINT) AS v FROM txn_lines WHERE strftime(txn_date, '%Y-%m') = '{MONTH}' GROUP BY 1) SELECT label, n, v, round_even(100.0 * v / MAX(v) OVER (), 0)::DOUBLE AS width, round_even(100.0 * v / SUM(v) OVER (), 1)::DOUBLE AS part FROM c")
+def _(g):
+    return display.shares(reports.by_category(g.lines, MONTH))
+
+
+@query("heat_grid", f""", c AS (SELECT COALESCE(category, '(uncategorized)') AS label, [{', '.join(f"CAST(COALESCE(SUM({NET}) FILTER (strftime(txn_date, '%Y-%m') = '{m}'), 0) AS BIGINT)" for m in _GRID)}] AS cells FROM txn_lines WHERE strftime(txn_date, '%Y-%m') IN ('1998-03', '1998-04', '1998-05') GROUP BY 1)
+  SELECT label, list_transform(cells, lambda v: CASE WHEN v > 0 THEN round_even(v / CAST(list_max(cells) AS DOUBLE), 3) ELSE 0.0 END) AS intensity, list_transform(cells, lambda v: CASE WHEN list_max(cells) > list_min(cells) THEN (v - list_min(cells)) / CAST(list_max(cells) - list_min(cells) AS DOUBLE) ELSE 0.5 END) AS spark FROM c""")
+def _(g):
+    return display.heat(reports.pivot(g.lines, reports.category_label(), _GRID)).select("label", "intensity", "spark")
+
+
+@query("against_average", f", m AS (SELECT strftime(txn_date, '%Y-%m') AS month, CAST(SUM({NET}) AS BIGINT) AS spend_minor FROM txn GROUP BY 1), a AS (SELECT *, CAST(round_even(CAST(SUM(spend_minor) OVER () AS DOUBLE) / COUNT(*) OVER (), 0) AS BIGINT) AS average FROM m) SELECT month, spend_minor, average, spend_minor - average AS deviation FROM a")
+def _(g):
+    return display.against_average(reports.month_totals(g.txn).select("month", "spend_minor"))
+
+
+@query("run_summary", "WITH o AS (SELECT CASE status WHEN 0 THEN 'failed' WHEN 1 THEN 'duplicate' ELSE 'stored' END AS kind, event_type AS message FROM (SELECT event_id % 4 AS status, event_type FROM events)), f AS (SELECT message, COUNT(*) AS n FROM o WHERE kind = 'failed' GROUP BY 1), t AS (SELECT * FROM f ORDER BY n DESC, message LIMIT 3) SELECT COUNT(*) FILTER (kind = 'stored') AS stored, COUNT(*) FILTER (kind = 'duplicate') AS duplicate, COUNT(*) FILTER (kind = 'failed') AS failed, (SELECT string_agg(message || CASE WHEN n > 1 THEN ' ×' || CAST(n AS VARCHAR) ELSE '' END, '; ' ORDER BY n DESC, message) FROM t) AS messages FROM o", ledger=False)
+def _(g):
+    k = F.col("event_id") % 4
+    return display.run_summary(g.table("events").select(F.when(k == 0, "failed").when(k == 1, "duplicate").otherwise("stored").alias("kind"), F.col("event_type").alias("message")))
+
+
+@query("rule_list", " SELECT CAST(id AS BIGINT) AS id, pattern, CAST(priority AS INTEGER) AS priority, CAST(ROW_NUMBER() OVER (ORDER BY priority DESC, id) AS INTEGER) AS place FROM merchant_rule")
+def _(g):
+    return g.rules.select("id", "pattern", "priority", F.row_number().over(Window.orderBy(F.desc("priority"), "id")).alias("place"))
+
+
+@query("deleted_statements", " SELECT s.id FROM statement s WHERE CAST(s.id AS VARCHAR) NOT LIKE '3%'")
+def _(g):
+    return D.delete_by_prefix(g.statement.withColumn("filename", F.col("id").cast("string")), "3").select("id")
+
+
+@query("pruned_accounts", " SELECT id FROM account WHERE id <> 6")
+def _(g):
+    return D.without_accounts(g.account, g.statement, ["East Bank", "North Bank"]).select("id")
+
+
 # ---- suggestions of an outside model
 
 

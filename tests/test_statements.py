@@ -17,9 +17,9 @@ Foreign currency rate 1 HKD = 0.1655 SGD
 22 MAY 23 MAY GRAB 10.00 110.00
 25 MAY 26 MAY FAIRPRICE 8.10
 Ref No: AB123456
-Total purchases 172.19
+Total purchases 180.29
 Total payments 1,204.55
-NEW BALANCE 172.19
+NEW BALANCE 180.29
 """
 
 
@@ -27,7 +27,7 @@ def test_page():
     c, r = S.read_statement([PAGE])
     assert (c.start, c.end) == (dt.date(2026, 5, 15), dt.date(2026, 6, 14))
     assert (r.last4, r.currency) == ("4821", "SGD")
-    assert r.figures == {"opening_balance": M("1204.55"), "closing_balance": M("172.19"), "total_debits": M("172.19"), "total_credits": M("1204.55")}
+    assert r.figures == {"opening_balance": M("1204.55"), "closing_balance": M("180.29"), "total_debits": M("180.29"), "total_credits": M("1204.55")}
     rows = [(x["txn_date"].day, x["description"], x["amount"], x["direction"], x["ambiguous"]) for x in r.rows]
     assert rows == [(16, "SHENG SIONG", M("45.20"), "debit", False), (18, "BOOKSHOP HONG KONG", M("16.99"), "debit", False), (20, "PAYMENT - THANK YOU", M("1204.55"), "credit", False), (22, "GRAB 10.00", M("110.00"), "debit", True), (25, "FAIRPRICE", M("8.10"), "debit", False)]
     assert (r.rows[1]["foreign_amount"], r.rows[1]["foreign_currency"], r.rows[1]["fx_rate"]) == (M("102.67"), "HKD", "0.1655")
