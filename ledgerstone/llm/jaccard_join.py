@@ -44,7 +44,7 @@ class Sets:
         g = C.grams(h, k)
         parts = []
         for x, y in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
-            parts.append(np.unique(g[x : y - k + 1]) if y - x >= k else C.grams(h[x:y], y - x) if y > x else g[:0])
+            parts.append(C.distinct(g[x : y - k + 1]) if y - x >= k else C.grams(h[x:y], y - x) if y > x else g[:0])
         self.sizes = np.array([len(p) for p in parts], np.int64)
         self.flat = np.concatenate([*parts, np.zeros(0, np.uint64)])
         self.of = np.repeat(np.arange(len(parts)), self.sizes)
@@ -90,9 +90,8 @@ def t_occurrence(lists: list[list[int]], t: int, mu: float = 0.02) -> dict[int,
     return out
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
-    """Per document doc_id, n_shingles (set size), component_id (smallest id reachable by links) and n_links (links of its class with other classes that the join
-    had to establish; copies of a set and links inside a known component are not counted one by one).
+def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = C.CHUNK_BYTES // 2) -> DataFrame:
+    """Per document doc_id, n_shingles (set size) and component_id (smallest id reachable by links).
 
     Words are runs other than ASCII white space, A-Z lower-cased. Fewer than n words are one n-gram. Null, empty and blank texts have no set
     and link with nothing. Rows of equal id are separate documents. A row with a null id links with nothing and has a null component. An empty table gives no rows.
@@ -139,7 +138,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "
         every = np.concatenate(keys)
         count = np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows]).astype(np.int64)
         ordered = np.sort(every)
-        shared = np.unique(np.concatenate([ordered[1:][ordered[1:] == ordered[:-1]], every[count > 1]]))
+        shared = C.distinct(np.concatenate([ordered[1:][ordered[1:] == ordered[:-1]], every[count > 1]]))
         at, k = C.member(every, shared)
         total = np.bincount(k, weights=count[at], minlength=len(shared))
         level = np.zeros(len(every), np.uint8)
@@ -156,7 +155,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "
         here = mine(c, told.filter(pa.array(kind == 0)), s)
         flat, of = s.flat[here], s.of[here]
         code = C.split(flat, buckets)
-        keys = np.unique(code)
+        keys = C.distinct(code)
         level = C.flags(told.filter(pa.array(kind == 1)))
         known = level > 0
         at, k = C.member(code, keys[known])
@@ -167,7 +166,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "
         doc, token = of[at], flat[at]
         order = np.lexsort((token, level[known][k], doc))
         doc, token = doc[order], token[order].view(np.int64)
-        docs_here = np.unique(doc)
+        docs_here = C.distinct(doc)
         offsets = np.append(np.searchsorted(doc, docs_here), len(doc)).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(token))
         rid = (np.int64(c.index) << np.int64(32)) + docs_here
@@ -179,15 +178,14 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "
     sets = shared_table(spark, chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(survivors, "rid long, n long, own long, tokens array<long>"))
     links = link_sets(sets, percent)
     comp = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     # Ids of the rows that a component or class is named after; one row each.
-    label = reps.join(comp, reps.rep == comp.node, "left").join(degree.withColumnRenamed("node", "dn"), F.col("rep") == F.col("dn"), "left")
-    label = label.select("sa", "sb", "n", F.coalesce("comp", "rep").alias("top"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    label = reps.join(comp, reps.rep == comp.node, "left")
+    label = label.select("sa", "sb", "n", F.coalesce("comp", "rep").alias("top"))
     names = base.select(F.col("rid").alias("top"), F.col("doc_id").alias("component_id"))
-    label = shared_table(spark, label.join(names, "top").select("sa", "sb", "n", "component_id", "n_links"))
+    label = shared_table(spark, label.join(names, "top").select("sa", "sb", "n", "component_id"))
     key = lambda t: [t[k] for k in ("sa", "sb", "n")]
-    alone = base.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    joined = live.join(label, [x == y for x, y in zip(key(live), key(label), strict=True)]).select("doc_id", live.n.alias("n_shingles"), "component_id", "n_links")
+    alone = base.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    joined = live.join(label, [x == y for x, y in zip(key(live), key(label), strict=True)]).select("doc_id", live.n.alias("n_shingles"), "component_id")
     return joined.unionAll(alone)
 
 
@@ -217,7 +215,7 @@ def link_sets(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _test(sets: DataFrame, pairs: DataFrame, percent: int, block: int = 500) -> DataFrame:
-    """Links among candidate pairs (q, x), found by T-occurrence searches in blocks of about so many pairs."""
+    """Links that connect all linked ones of the candidate pairs (q, x), found by T-occurrence searches in blocks of about so many pairs: fewer than a block has sets."""
     spark = sets.sparkSession
     n_blocks = max(C.LEAST_CHUNKS, math.ceil(pairs.count() / block))
     pairs = pairs.withColumn("blk", F.pmod(F.xxhash64("x"), F.lit(n_blocks)).cast("int"))
@@ -227,7 +225,13 @@ def _test(sets: DataFrame, pairs: DataFrame, percent: int, block: int = 500) ->
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(q: pa.Table, x: pa.Table) -> pa.Table:
-        links = []
+        links, root = [], {}
+
+        def top(r: int) -> int:
+            while (up := root.get(r, r)) != r:
+                root[r], r = root.get(up, up), up
+            return r
+
         if q.num_rows and x.num_rows:
             rid, size = x.column("x_rid").to_pylist(), x.column("x_n").to_pylist()
             lists = defaultdict(list)
@@ -236,9 +240,10 @@ def _test(sets: DataFrame, pairs: DataFrame, percent: int, block: int = 500) ->
                     lists[t].append(i)
             for r, m, tokens in zip(q.column("rid").to_pylist(), q.column("n").to_pylist(), q.column("tokens").to_pylist(), strict=True):
                 for i, c in t_occurrence([lists[t] for t in tokens if t in lists], -(-percent * m // 100)).items():
-                    if rid[i] != r and 100 * c >= percent * (m + size[i] - c):
+                    a, b = top(r), top(rid[i])
+                    if a != b and 100 * c >= percent * (m + size[i] - c):  # a link that connects nothing new is not kept
+                        root[max(a, b)] = min(a, b)
                         links.append((min(r, rid[i]), max(r, rid[i])))
-        links = sorted(set(links))
         return pa.table([pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], schema=out)
 
     return shared_table(spark, queries.groupBy("blk").cogroup(found.groupBy("x_blk")).applyInArrow(run, "a long, b long").distinct())
