@@ -70,7 +70,7 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, dims: tuple[str
     """All documents with ``mix_tokens``, ``mix_probability`` and ``mix_kept``; columns of these names are replaced.
 
     A missing ``topic`` column is derived from the text's layout and not returned. Nulls in a dimension are a value of
-    their own. Null or empty texts hold no tokens: a cell without tokens has probability 0. Documents are drawn by a hash of id and text: the same rows on every run;
+    their own. A text without words (null, empty, blank) has probability 0. Documents are drawn by a hash of id and text: the same rows on every run;
     equal rows are drawn alike, a null id by its text alone. An empty table gives no rows.
     """
     own = docs.columns
@@ -90,8 +90,8 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, dims: tuple[str
         t = t.join(F.broadcast(rates), "_key", "left")
     else:
         salt = F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS))
-        rates = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        rates = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         t = t.withColumn("_salt", salt).join(rates, ["_key", "_salt"], "left").drop("_salt")
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 11) / F.lit(float(1 << 53))
-    t = t.withColumn("mix_probability", F.coalesce(F.col("_p"), F.lit(0.0)))
+    t = t.withColumn("mix_probability", F.when(F.col("mix_tokens") > 0, F.coalesce(F.col("_p"), F.lit(0.0))).otherwise(0.0))
     return t.select(*keep, "mix_tokens", "mix_probability", (draw < F.col("mix_probability")).alias("mix_kept"))
