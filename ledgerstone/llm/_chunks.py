@@ -16,6 +16,7 @@ Buckets grow in number with the chunks, so a bucket's memory is constant while t
 from __future__ import annotations
 
 import math
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -67,10 +68,13 @@ class Chunk:
         self.ids = [None if ids.iloc[i] is pd.NA else int(ids.iloc[i]) for i in order]
         self.texts = [texts[i] or b"" for i in order]
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in self.texts], dtype=np.int64)]).astype(np.int64)
-        #: Eight bytes of padding let a word be read eight bytes at a time.
-        self.buf = np.frombuffer(b"".join([*self.texts, b"\0" * 32]), dtype=np.uint8)
         self.n = int(self.offsets[-1])
 
+    @cached_property
+    def buf(self) -> np.ndarray:
+        """All bytes; the padding lets a word be read eight bytes at a time."""
+        return np.frombuffer(b"".join([*self.texts, b"\0" * 32]), dtype=np.uint8)
+
     def words(self, lower: bool = False) -> Words:
         return Words(self, lower)
 

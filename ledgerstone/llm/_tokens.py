@@ -12,6 +12,10 @@ from __future__ import annotations
 import array
 import os
 import re
+from collections.abc import Iterable
+from itertools import chain
+
+import numpy as np
 
 END_ID = 2
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -25,38 +29,59 @@ _WORD = re.compile(r"[^ \t\n\r\f\v]+")
 class Encoder:
     """encode(text) -> little-endian uint32 ids as bytes, END_ID last."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = bytearray(max(vocab.values()) + 1)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
+        #: What units encode to; when it is full, it becomes the old one, from which units in use come back.
         self.memory: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.most = most
         self.end = array.array("I", [END_ID]).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, units: list[str]) -> None:
-        new = [u for u in dict.fromkeys(units) if u not in self.memory]
-        if len(self.memory) + len(new) > self.most:
-            self.memory = {}
-            new = list(dict.fromkeys(units))
-        ids = self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids
-        ends, k, start = self.ends, 0, 0
-        for i, x in enumerate(ids):
-            if ends[x]:
-                self.memory[new[k]] = array.array("I", ids[start : i + 1]).tobytes()
-                k, start = k + 1, i + 1
-        if k != len(new) or start != len(ids):
-            raise RuntimeError("the tokenizer's units aren't those this module expects")
-
-    def _units(self, units: list[str]) -> bytes:
+    def _learn(self, units: Iterable[str]) -> None:
+        if len(self.memory) > self.most:
+            self.memory, self.old = {}, self.memory
+        memory, old = self.memory, self.old
+        new = []
+        for u in set(units).difference(memory):
+            if u in old:
+                memory[u] = old[u]
+            else:
+                new.append(u)
+        if new:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(new) or stops[-1] != 4 * len(ids):
+                raise RuntimeError("the tokenizer's units aren't those this module expects")
+            raw, start = ids.tobytes(), 0
+            for u, stop in zip(new, stops.tolist(), strict=True):
+                memory[u] = raw[start:stop]
+                start = stop
+
+    def encode_many(self, texts: list[str | None], at_once: int = 32) -> list[bytes]:
+        """encode() of each text; the new units of some texts go to the library together."""
+        out = []
+        for i in range(0, len(texts), at_once):
+            some = texts[i : i + at_once]
+            plain = [bool(t) and not any(s in t for s in self.special) and _PLAIN.match(t) is not None for t in some]
+            units = [_UNIT.findall(t.lower()) if p else None for t, p in zip(some, plain, strict=True)]
+            self._learn(chain.from_iterable(u for u in units if u))
+            memory = self.memory  # stays whole even if encode() below starts a new one
+            out += [self.encode(t) if u is None else b"".join([memory[x] for x in u]) + self.end for t, u in zip(some, units, strict=True)]
+        return out
+
+    def _units(self, text: str) -> bytes:
+        units = _UNIT.findall(text.lower())
         try:
             memory = self.memory
             return b"".join([memory[u] for u in units])
@@ -71,20 +96,20 @@ class Encoder:
         if any(s in text for s in self.special):
             return self._whole(text) + self.end
         if _PLAIN.match(text):
-            return self._units(_UNIT.findall(text)) + self.end
+            return self._units(text) + self.end
         if not text.isascii() and any("ʰ" <= c <= "ͯ" or c > "῿" or c in "\x85\xa0 " for c in set(text)):
             return self._whole(text) + self.end
         out, plain = [], []
         for w in _WORD.findall(text):
             if _PLAIN.match(w):
-                plain += _UNIT.findall(w)
+                plain.append(w)
             else:
                 if plain:
-                    out.append(self._units(plain))
+                    out.append(self._units(" ".join(plain)))
                     plain = []
                 out.append(self._whole(w))
         if plain:
-            out.append(self._units(plain))
+            out.append(self._units(" ".join(plain)))
         return b"".join(out) + self.end
 
 
