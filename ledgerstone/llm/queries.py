@@ -89,5 +89,29 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transf
       FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
 r AS (SELECT query_id, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+    "op7_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS t, hex(encode(COALESCE(text, ''))) AS h, octet_length(encode(COALESCE(text, ''))) AS n FROM documents),
+s AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS k FROM (SELECT doc_id, h, unnest(generate_series(0, n - 50)) AS i FROM d WHERE n >= 50)),
+f AS (SELECT k, MIN(doc_id) AS first, MAX(doc_id) AS last FROM s GROUP BY k HAVING MIN(doc_id) < MAX(doc_id)),
+r AS (SELECT s.doc_id, s.i FROM s JOIN f ON f.k = s.k WHERE s.doc_id > f.first),
+p AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS b FROM (SELECT doc_id, h, unnest(generate_series(0, n - 1)) AS i FROM d WHERE doc_id IN (SELECT doc_id FROM r))),
+c AS (SELECT p.doc_id, p.i, p.b, COALESCE(MAX(CASE WHEN r.i IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone
+      FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND r.i = p.i),
+e AS (SELECT *, LAG(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM c),
+g AS (SELECT doc_id, SUM(gone) AS n_removed, COUNT(*) FILTER (gone = 1 AND before = 0) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (gone = 0) AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(COALESCE(g.n_removed, 0) AS BIGINT) AS n_removed, CAST(COALESCE(g.n_spans, 0) AS BIGINT) AS n_spans,
+  CASE WHEN g.doc_id IS NULL THEN sha256(encode(d.t)) ELSE sha256(unhex(COALESCE(g.kept, ''))) END AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+""",
+    "op10_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5_number(array_to_string(ws[i:i+4], ' ')) AS sh FROM (SELECT doc_id, ws, unnest(CASE WHEN len(ws) >= 5 THEN generate_series(1, len(ws) - 4) WHEN len(ws) > 0 THEN [1] ELSE [] END) AS i FROM w)),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+e AS (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS d, doc_id AS m FROM w UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.d)
+SELECT w.doc_id, CAST(COALESCE(n.n, 0) AS BIGINT) AS n_shingles, MIN(r.m) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.d = w.doc_id GROUP BY 1, 2
 """,
 }
