@@ -215,10 +215,13 @@ def link_sets(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _test(sets: DataFrame, pairs: DataFrame, percent: int, block: int = 500) -> DataFrame:
-    """Links that connect all linked ones of the candidate pairs (q, x), found by T-occurrence searches in blocks of about so many pairs: fewer than a block has sets."""
+    """Links that connect all linked ones of the candidate pairs (q, x), found by T-occurrence searches in blocks of about so many pairs: fewer than a block has sets.
+
+    Pairs are dealt out by both sides, so a set that is in very many pairs is once in each block, and blocks stay even.
+    """
     spark = sets.sparkSession
     n_blocks = max(C.LEAST_CHUNKS, math.ceil(pairs.count() / block))
-    pairs = pairs.withColumn("blk", F.pmod(F.xxhash64("x"), F.lit(n_blocks)).cast("int"))
+    pairs = pairs.withColumn("blk", F.pmod(F.xxhash64("q", "x"), F.lit(n_blocks)).cast("int"))
     queries = pairs.select("blk", F.col("q").alias("rid")).distinct().join(sets.select("rid", "n", "tokens"), "rid")
     found = pairs.select("blk", F.col("x").alias("rid")).distinct().join(sets.select("rid", "n", "tokens"), "rid")
     found = found.select(*[F.col(c).alias(f"x_{c}") for c in found.columns])
