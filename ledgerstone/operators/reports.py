@@ -25,9 +25,19 @@ def month_totals(txns: DataFrame) -> DataFrame:
         F.count("*").alias("n"), net_spend().alias("spend_minor"), F.count_if(F.col("category").isNull()).alias("uncategorized"), F.countDistinct("account_id").alias("cards"))
 
 
-def daily_spend(txns: DataFrame) -> DataFrame:
+def daily_cube(txns: DataFrame) -> DataFrame:
+    """account_id, txn_date, n, v (net spend), u (uncategorized rows): a small table from which reports are summed instead of from the ledger's rows."""
+    return txns.groupBy("account_id", "txn_date").agg(F.count("*").alias("n"), net_spend().alias("v"), F.count_if(F.col("category").isNull()).alias("u"))
+
+
+def cube_totals(cube: DataFrame) -> DataFrame:
+    """month_totals from a daily cube."""
+    return cube.groupBy(month_key().alias("month")).agg(F.sum("n").alias("n"), F.sum("v").alias("spend_minor"), F.sum("u").alias("uncategorized"), F.countDistinct("account_id").alias("cards"))
+
+
+def daily_spend(cube: DataFrame) -> DataFrame:
     """Net spend by month and day of month: at most 31 rows a month, from which any range of days is summed."""
-    return txns.groupBy(month_key().alias("month"), F.dayofmonth("txn_date").alias("day")).agg(net_spend().alias("v"))
+    return cube.groupBy(month_key().alias("month"), F.dayofmonth("txn_date").alias("day")).agg(F.sum("v").alias("v"))
 
 
 def month_day_window(txns: DataFrame, lo: int, hi: int) -> DataFrame:
@@ -36,12 +46,17 @@ def month_day_window(txns: DataFrame, lo: int, hi: int) -> DataFrame:
     return txns.groupBy(month_key().alias("month")).agg(F.coalesce(F.sum(F.when(inside & (F.col("flow_type") == "spend"), F.col("amount_minor")).when(inside & (F.col("flow_type") == "refund"), -F.col("amount_minor"))), F.lit(0)).alias("spend_minor"))
 
 
-def completeness(statements: DataFrame, cards: DataFrame, txns: DataFrame) -> DataFrame:
-    """month_completeness of every month with transactions. statements and cards carry ``card``, the lineage label."""
-    months = txns.select(month_key().alias("month")).distinct()
+def completeness(statements: DataFrame, cards: DataFrame, months: DataFrame) -> DataFrame:
+    """month_completeness of months. statements and cards carry ``card``, the lineage label."""
     return month_completeness(card_months(statement_windows(statements), cards, months))
 
 
+def complete_months(txns: DataFrame, statements: DataFrame, cards: DataFrame) -> DataFrame:
+    """(month, spend_minor) of the months that every card covers."""
+    totals = cube_totals(daily_cube(txns)).select("month", "spend_minor")
+    return totals.join(completeness(statements, cards, totals).where("is_complete").select("month"), "month")
+
+
 def _range_sum(rows: DataFrame, daily: DataFrame, month: str, lo: str, hi: str, out: str) -> DataFrame:
     """Adds the net spend of each row's month over its days lo to hi (all, if null)."""
     d = daily.select(F.col("month").alias("_m"), F.col("day").alias("_d"), F.col("v").alias("_v"))
@@ -54,8 +69,9 @@ def month_report(txns: DataFrame, statements: DataFrame, cards: DataFrame) -> Da
 
     not_comparable says why there is no delta. Sums over days come from one small daily table, not a query per month.
     """
-    daily = daily_spend(txns)
-    m = month_totals(txns).join(completeness(statements, cards, txns), "month")
+    cube = daily_cube(txns)
+    daily, totals = daily_spend(cube), cube_totals(cube)
+    m = totals.join(completeness(statements, cards, totals), "month")
     w = Window.orderBy("month")  # a row per month
     keep = ("month", "missing", "gaps", "range_lo", "range_hi", "last_day")
     m = m.withColumn("idx", F.row_number().over(w)).withColumn("prior", F.lag(F.struct(*keep)).over(w))
@@ -155,14 +171,11 @@ def rolling_mean(months: DataFrame, size: int = 3, value: str = "spend_minor") -
 
 def year_overlay(months: DataFrame, years: int = 3, value: str = "spend_minor") -> DataFrame:
     """Per drawn year (the last ones with data): n_months, total, mean, months_common (those all drawn years have), total_common, and slot among three colours."""
+    up, down = Window.orderBy("year"), Window.orderBy(F.desc("year"))  # a row per month
     m = months.select(F.substring("month", 1, 4).alias("year"), F.substring("month", 6, 2).alias("mm"), F.col(value).alias("v"))
-    order = m.select("year").distinct()
-    order = order.withColumn("recent", F.row_number().over(Window.orderBy(F.desc("year")))).withColumn("slot", (F.row_number().over(Window.orderBy("year")) - 1) % 3 + 1).where(F.col("recent") <= years)
-    drawn = m.join(F.broadcast(order), "year")
-    n = order.agg(F.count("*").alias("n_years"), F.lit(1).alias("one"))
-    shared = drawn.groupBy("mm").agg(F.count("*").alias("c")).withColumn("one", F.lit(1)).join(F.broadcast(n), "one").where("c = n_years").select("mm", F.lit(True).alias("common"))
-    rows = drawn.join(shared, "mm", "left")
-    return rows.groupBy("year", "slot").agg(
+    m = m.withColumn("slot", (F.dense_rank().over(up) - 1) % 3 + 1).withColumn("recent", F.dense_rank().over(down)).where(F.col("recent") <= years)
+    m = m.withColumn("n_years", F.max("recent").over(Window.partitionBy())).withColumn("common", F.count("*").over(Window.partitionBy("mm")) == F.col("n_years"))
+    return m.groupBy("year", "slot").agg(
         F.count("*").alias("n_months"), F.sum("v").alias("total"), half_even_mean(F.sum("v"), F.count("*")).alias("mean"),
         F.array_join(F.sort_array(F.collect_list(F.when(F.col("common"), F.col("mm")))), ",").alias("months_common"), F.coalesce(F.sum(F.when(F.col("common"), F.col("v"))), F.lit(0)).alias("total_common"),
     )

@@ -32,7 +32,7 @@ class Ledger:
 
     @property
     def statement(self) -> DataFrame:
-        return L.statement(self.txn)
+        return L.statement(reports.daily_cube(self.txn))  # only accounts and dates matter
 
     @property
     def lineage(self) -> DataFrame:
@@ -47,7 +47,7 @@ class Ledger:
         return reports.month_report(self.txn, *self.carded())
 
     def completeness(self) -> DataFrame:
-        return reports.completeness(*self.carded(), self.txn)
+        return reports.completeness(*self.carded(), reports.cube_totals(reports.daily_cube(self.txn)))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -254,7 +254,7 @@ def _(g):
 @query("card_month_coverage", f", {LINEAGE}, {WINDOWS}, {COVER} SELECT card, month, state, from_date, through_date, gap FROM cs")
 def _(g):
     s, cards = g.carded()
-    return coverage.card_months(coverage.statement_windows(s), cards, g.txn.select(reports.month_key().alias("month")).distinct())
+    return coverage.card_months(coverage.statement_windows(s), cards, reports.cube_totals(reports.daily_cube(g.txn)).select("month"))
 
 
 @query("month_completeness", f", {LINEAGE}, {WINDOWS}, {COVER} SELECT month, cards_total, cards_complete, array_to_string(partial, ',') AS partial, array_to_string(missing, ',') AS missing, array_to_string(gaps, ',') AS gaps, covered_from, covered_through, is_complete FROM comp")
@@ -293,7 +293,7 @@ _RUNS = "rn AS (SELECT month, spend, CAST(month[1:4] AS INTEGER) * 12 + CAST(mon
 
 
 def _complete(g) -> DataFrame:
-    return g.report().where("is_complete").select("month", "spend_minor")
+    return reports.complete_months(g.txn, *g.carded())
 
 
 @query("consecutive_runs", f", {LINEAGE}, {WINDOWS}, {COVER}, {REPORT}, {_COMPLETE}, {_RUNS} SELECT month, spend AS spend_minor, run, pos FROM run")
