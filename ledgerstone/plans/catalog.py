@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerstone.functions import merchants as N
 from ledgerstone.functions import textlines as T
 from ledgerstone.functions.money import money_text, net_spend, to_minor
-from ledgerstone.operators import classify, coverage, display, gate, grouping, lineage, listing, reports, statements
+from ledgerstone.operators import classify, coverage, display, gate, grouping, issuers, lineage, listing, reports, statements
 from ledgerstone.sources import documents as D
 from ledgerstone.sources import ledger as L
 
@@ -577,6 +577,24 @@ def _(g):
     return D.only_new(d, d.where("source = 'src0'")).select("sha256")
 
 
+_HEADS = ["DBS Bank Ltd www.posb.com", "Maybank and UOB and UOB", "no name here", "Citi Trust Bank", "HSBC\n16 MAY DBS DBS DBS PAYMENT 1,000.00 CR", ""]
+_SECOND = ["", "", "see maribank.sg", "", "", ""]
+
+
+def _score_sql(t: str) -> str:
+    one = lambda p: f"len(regexp_extract_all({t}, '(?i)" + p.replace("'", "''") + "'))"
+    rows = ", ".join(f"{{'s': {one(m)} + {'5 * ' + one(k) if k else '0'}, 'o': {-i}, 'n': '{name}'}}" for i, (name, m, k) in enumerate(issuers.ISSUERS))
+    return f"list_sort([{rows}], 'DESC')[1]"
+
+
+@query("issuer_detection", f""", x AS (SELECT id, CASE id % 6 {" ".join(f"WHEN {i} THEN '{h.split(chr(10))[0]}'" for i, h in enumerate(_HEADS))} END AS a, CASE id % 6 WHEN 2 THEN 'see maribank.sg' ELSE '' END AS b FROM statement), y AS (SELECT id, {_score_sql("a")} AS p, {_score_sql("a || chr(10) || b")} AS q FROM x)
+  SELECT id, CASE WHEN p.s > 0 THEN p.n WHEN q.s > 0 THEN q.n ELSE 'My Card ' || CAST(id AS VARCHAR) END AS issuer FROM y""")
+def _(g):
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("id") % 6 + 1).cast("int"))
+    d = g.statement.select("id", F.array(pick(_HEADS), pick(_SECOND)).alias("pages"), F.concat(F.lit("my-card_"), F.col("id").cast("string"), F.lit(".pdf")).alias("filename"))
+    return issuers.detect(d).select("id", "issuer")
+
+
 # ---- what pages show
 
 
