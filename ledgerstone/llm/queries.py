@@ -11,6 +11,7 @@ from ledgerstone.llm.mixing import mix
 from ledgerstone.llm.packing import pack
 from ledgerstone.llm.quality_rules import judge
 from ledgerstone.llm.secrets import joined, scan
+from ledgerstone.llm.secrets_sql import scan_sql
 from ledgerstone.llm.substring_dedup import substring_dedup
 from ledgerstone.llm.suffix_dedup import suffix_dedup
 from ledgerstone.llm.token_store import token_digests
@@ -114,4 +115,5 @@ e AS (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
 r AS (SELECT doc_id AS d, doc_id AS m FROM w UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.d)
 SELECT w.doc_id, CAST(COALESCE(n.n, 0) AS BIGINT) AS n_shingles, MIN(r.m) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.d = w.doc_id GROUP BY 1, 2
 """,
+    "op6_secret_scan": scan_sql(),
 }
