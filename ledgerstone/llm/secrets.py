@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a battery of randomness tests over the other long tokens.
 
 Patterns (kinds assign, access, hex) give the base spans. Any further run of 20 or more characters of ``[A-Za-z0-9+/_-]`` that meets no base span is a candidate. Its encoding is
-inferred from its characters (digits, hex, base32, letters, base64), which fixes an alphabet of K symbols. Then:
+inferred from its characters: the first of ENCODINGS, smallest alphabets first, that holds them all. That fixes an alphabet of K symbols. Then:
 
 * chi-squared: the symbols' counts against the uniform distribution (Wilson-Hilferty normal approximation);
 * runs: Wald-Wolfowitz test of the lower against the upper half of the alphabet;
@@ -13,7 +13,7 @@ lower tail is its p-value. Those p-values pass a Benjamini-Hochberg step at ``fd
 so that short tokens, whose tests are weak, must answer for their own false discoveries. Survivors are spans of kind ``random``.
 
 All of it is Spark expressions. The corpus-wide step groups p-values to tenths of a decimal power;
-the driver gets at most one threshold per stratum, twenty in all.
+the driver gets at most one threshold per stratum, forty in all.
 """
 
 from __future__ import annotations
@@ -26,13 +26,18 @@ ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee]
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
-#: Encoding: pattern, alphabet (symbols in order), usual collision rate of text in it.
+#: Encoding: pattern, alphabet (symbols in order), usual collision rate of text in it. By size: a symbol that cannot occur shifts chi-squared in proportion to the length.
 ENCODINGS = {
     "digits": (r"^[0-9]+$", "0123456789", 0.18),
     "hex": (r"^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.125),
     "letters": (r"^[A-Za-z]?[a-z]+$", "abcdefghijklmnopqrstuvwxyz", 0.066),
     "base32": (r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.066),
-    "base64": (r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", 0.066),
+    "lower": (r"^[a-z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789", 0.066),
+    "upper": (r"^[A-Z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 0.066),
+    "alphanumeric": (r"^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 0.066),
+    "base64": (r"^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.066),
+    "base64url": (r"^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 0.066),
+    "other": (r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", 0.066),
 }
 LENGTHS = (32, 48, 80)
 _SPAN = "array<struct<start:int,rank:int,end:int,token:string>>"
@@ -59,7 +64,7 @@ def _find(text: str, pattern: str, rank: int, least: int = 0, some: str = "") ->
 
 def _battery(x: str) -> str:
     """SQL for the statistics of one candidate, a struct with start, end and token."""
-    kind = "CASE " + " ".join(f"WHEN {x}.token RLIKE {_sql_text(p)} THEN '{e}'" for e, (p, _, _) in ENCODINGS.items() if p) + " ELSE 'base64' END"
+    kind = "CASE " + " ".join(f"WHEN {x}.token RLIKE {_sql_text(p)} THEN '{e}'" for e, (p, _, _) in ENCODINGS.items() if p) + " ELSE 'other' END"
     alphabet = "CASE e " + " ".join(f"WHEN '{e}' THEN '{a}'" for e, (_, a, _) in ENCODINGS.items()) + " END"
     usual = "CASE e " + " ".join(f"WHEN '{e}' THEN {r}D" for e, (_, _, r) in ENCODINGS.items()) + " END"
     bind = lambda var, value, body: f"element_at(transform(array({value}), {var} -> {body}), 1)"  # noqa: E731  evaluates value once

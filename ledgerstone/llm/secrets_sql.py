@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerstone.llm.secrets import ACCESS, ASSIGN, CANDIDATE, ENCODINGS, HEX, KINDS, LENGTHS
+from ledgerstone.llm import secrets
+from ledgerstone.llm.secrets import ACCESS, ASSIGN, CANDIDATE, HEX, KINDS, LENGTHS
+
+#: The SQL stays as registered: one alphabet of 66 symbols for all that is not digits, hex, letters or base32. The operator's narrower ones find more random tokens.
+ENCODINGS = {e: secrets.ENCODINGS[e] for e in ("digits", "hex", "letters", "base32")} | {"base64": secrets.ENCODINGS["other"]}
 
 
 def _text(s: str) -> str:

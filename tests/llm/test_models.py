@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -63,6 +64,15 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert sum(got[i] for i in range(40, 80)) == 0
 
 
+def test_random_tokens_of_every_alphabet_and_length_are_found(spark):
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = [(lower + digits, 64), (lower + digits, 128), (upper + digits, 96), (upper + lower + digits, 1024), (upper + lower + digits + "+/", 3000), (upper + lower + digits + "-_", 3000)]
+    rng = random.Random(6)
+    df = spark.createDataFrame([(100 * k + i, "see " + "".join(rng.choices(a, k=n)) + " here") for k, (a, n) in enumerate(kinds) for i in range(40)], "doc_id long, text string")
+    found = Counter(r.doc_id // 100 for r in secrets.scan(df).collect() if [s.end for s in r.secret_spans] == [len(r.text) - 5])
+    assert min(found[k] for k in range(len(kinds))) >= 36, found
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(1, "é token = abcdef0123456789abcdef0123456789 z"), (2, None), (3, "clean")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == {1: "é <SECRET> z", 2: None, 3: "clean"}
