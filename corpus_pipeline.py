@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerstone.llm import language_id
 from ledgerstone.llm._shared import shared_table
 from ledgerstone.llm.jaccard_join import jaccard_join
-from ledgerstone.llm.mixing import mix
+from ledgerstone.llm.mixing import sample
 from ledgerstone.llm.packing import pack
 from ledgerstone.llm.secrets import redact
 
@@ -38,8 +38,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose expected tokens by source, language and layout are their shares to the power 0.7. A text without words is never drawn."""
-    return mix(docs).where("mix_kept").select(*docs.columns)
+    """A sample of as many expected tokens as came in, which by source, language and layout are their shares to the power 0.7; rates above 1 are repeats. A text without words is never drawn."""
+    return sample(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

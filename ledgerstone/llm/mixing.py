@@ -2,7 +2,8 @@
 
 Documents are summed to cells, one per combination of the dimensions' values. Cell weights start as
 token counts and are scaled to each dimension's target marginal in turn (raking) until all marginals agree. A cell's weight per
-token, divided by the largest one, is the probability with which its documents are kept, so expected tokens match every target at once.
+token, times a scale, is the rate at which its documents are drawn, so expected tokens match every target at once. The scale is set by a
+token budget, a share of the input's tokens, and not by the cell of highest weight. A rate above 1 is written as repeats: rate 2.3 gives a document twice, and a third time with probability 0.3.
 
 Everything is DataFrame operations. Iterations run over cells only, and each is written to the shared checkpoint folder, so the plan
 stays short and a lost executor costs one iteration. The driver sees one scalar per iteration.
@@ -18,6 +19,8 @@ from ledgerstone.llm._shared import shared_table
 #: Up to so many cells, at some 100 bytes each, the cells are broadcast; beyond, documents meet them by a salted shuffle.
 BROADCAST_CELLS, SALTS = 20_000, 16
 DIMS = ("source", "lang", "topic")
+#: Expected tokens drawn, as a share of the input's, where targets are the tempered shares.
+BUDGET = 1.0
 
 
 def token_count(text: Column) -> Column:
@@ -66,9 +69,23 @@ def fit_cells(cells: DataFrame, dims: tuple[str, ...], targets: dict[str, dict]
     return cells.drop(*(f"_t_{d}" for d in dims))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict] | None = None, dims: tuple[str, ...] = DIMS, temperature: float = 0.7, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", iterations: int = 30) -> DataFrame:
+def _draw(seed: int, id_col: str, text_col: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 11) / F.lit(float(1 << 53))
+
+
+def copies(seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """How often a row of mix is drawn: its rate rounded down, and once more by its draw against the rest. Positive where mix_kept is true."""
+    whole = F.floor("mix_probability")
+    return (whole + (_draw(seed, id_col, text_col) < F.col("mix_probability") - whole).cast("long")).cast("long")
+
+
+def mix(docs: DataFrame, targets: dict[str, dict] | None = None, dims: tuple[str, ...] = DIMS, temperature: float = 0.7, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", iterations: int = 30, budget: float | None = None) -> DataFrame:
     """All documents with ``mix_tokens``, ``mix_probability`` and ``mix_kept``; columns of these names are replaced.
 
+    budget: expected tokens drawn as a share of the input's. mix_probability is the rate that follows from it: above 1, it is the expected number of
+    times a document is drawn (``copies``), and the document is always kept. Without a budget it is BUDGET; with given
+    targets, which may be far from the input's shares, the rates are scaled so that the largest is 1 and nothing is repeated.
+
     A missing ``topic`` column is derived from the text's layout and not returned. Nulls in a dimension are a value of
     their own. A text without words (null, empty, blank) has probability 0. Documents are drawn by a hash of id and text: the same rows on every run;
     equal rows are drawn alike, a null id by its text alone. An empty table gives no rows.
@@ -81,10 +98,13 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, dims: tuple[str
     t = t.select(*keep, token_count(F.col(text_col)).alias("mix_tokens"), cell.alias("_cell"))
     cells = t.groupBy("_cell").agg(F.sum("mix_tokens").alias("tokens")).where("tokens > 0").select("_cell.*", "tokens")
     cells = fit_cells(cells, tuple(dims), targets, temperature, iterations)
-    top = cells.agg(F.max(F.col("weight") / F.col("tokens")), F.count("*")).first()
+    top = cells.agg(F.max(F.col("weight") / F.col("tokens")), F.count("*"), F.sum("tokens"), F.sum("weight")).first()
+    if budget is None and not targets:
+        budget = BUDGET
+    unit = (top[0] if budget is None else (top[3] or 0.0) / (budget * (top[2] or 1))) or 1.0
     # One string per cell: a length before each value keeps different cells apart, and nulls are "-".
     name = lambda get: F.concat(*[F.coalesce(F.concat(F.length(get(d)).cast("string"), F.lit(":"), get(d)), F.lit("-")) for d in dims])
-    rates = cells.select(name(lambda d: F.col(d)).alias("_key"), (F.col("weight") / F.col("tokens") / F.lit(top[0] or 1.0)).alias("_p"))
+    rates = cells.select(name(lambda d: F.col(d)).alias("_key"), (F.col("weight") / F.col("tokens") / F.lit(unit)).alias("_p"))
     t = t.withColumn("_key", name(lambda d: F.col(f"_cell.{d}"))).drop("_cell")
     if top[1] <= BROADCAST_CELLS:
         t = t.join(F.broadcast(rates), "_key", "left")
@@ -92,6 +112,12 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, dims: tuple[str
         salt = F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS))
         rates = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         t = t.withColumn("_salt", salt).join(rates, ["_key", "_salt"], "left").drop("_salt")
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 11) / F.lit(float(1 << 53))
+    draw = _draw(seed, id_col, text_col)
     t = t.withColumn("mix_probability", F.when(F.col("mix_tokens") > 0, F.coalesce(F.col("_p"), F.lit(0.0))).otherwise(0.0))
     return t.select(*keep, "mix_tokens", "mix_probability", (draw < F.col("mix_probability")).alias("mix_kept"))
+
+
+def sample(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The columns of docs, every row as often as it is drawn."""
+    t = mix(docs, seed=seed, id_col=id_col, text_col=text_col, **options)
+    return t.where("mix_kept").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies(seed, id_col, text_col)))).select(*docs.columns)

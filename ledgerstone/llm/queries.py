@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerstone.llm import language_id
 from ledgerstone.llm.jaccard_join import jaccard_join
-from ledgerstone.llm.mixing import mix
+from ledgerstone.llm.mixing import copies, mix
 from ledgerstone.llm.packing import pack
 from ledgerstone.llm.quality_rules import judge
 from ledgerstone.llm.secrets import joined, scan
@@ -31,7 +31,7 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_docs(spark, sf_dir)).select("doc_id", "source", "lang", F.col("mix_tokens").alias("n_tokens"), F.col("mix_probability").alias("probability"), F.col("mix_kept").alias("kept"))
+    return mix(_docs(spark, sf_dir)).select("doc_id", "source", "lang", F.col("mix_tokens").alias("n_tokens"), F.col("mix_probability").alias("probability"), F.col("mix_kept").alias("kept"), copies().alias("copies"))
 
 
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,6 +102,22 @@ def test_default_targets_are_tempered_shares(docs):
     assert {s: k / sum(kept.values()) for s, k in kept.items()} == pytest.approx({s: t**0.7 / z for s, t in tokens.items()}, abs=1e-3)
 
 
+def test_a_rare_cell_does_not_set_how_much_is_drawn(spark):
+    rows = [(i, f"w{i} " * 100, "en" if i % 3 else "fr", f"s{i % 2}") for i in range(600)]
+    rare = [(1000, "sana " * 20, "fi", "s0")]
+    for r in (rows, rows + rare):
+        docs = spark.createDataFrame(r, "doc_id long, text string, lang string, source string")
+        got = mixing.mix(docs).withColumn("n", mixing.copies()).collect()
+        total = sum(x.mix_tokens for x in got)
+        assert sum(x.mix_tokens * x.mix_probability for x in got) == pytest.approx(total, rel=1e-6)
+        assert sum(x.mix_tokens * x.n for x in got) == pytest.approx(total, rel=0.1)
+        assert all(x.mix_kept == (x.n > 0) and abs(x.n - x.mix_probability) < 1 for x in got)
+        assert Counter(x.doc_id for x in mixing.sample(docs).collect()) == Counter({x.doc_id: x.n for x in got if x.n})
+        half = mixing.mix(docs, budget=0.5).collect()
+        assert sum(x.mix_tokens * x.mix_probability for x in half) == pytest.approx(total / 2, rel=1e-6)
+    assert max(x.n for x in got) > 1
+
+
 def test_mix_draws_by_hash(docs, rows, none):
     m = mixing.mix(docs)
     assert m.columns == [*docs.columns, "mix_tokens", "mix_probability", "mix_kept"]
