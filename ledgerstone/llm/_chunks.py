@@ -3,19 +3,22 @@
 Several operators ask the same question of a corpus: which of the n-grams of this chunk also occur
 in another chunk? The answer is computed in three bounded steps:
 
-1. ``chunk_docs`` cuts the table into chunks of consecutive ids and of about ``chunk_bytes`` of text, so that
-   the order of chunks is the order of documents;
+1. ``chunk_docs`` cuts the table into chunks of consecutive rows, by id and then by a hash of the text, of about ``chunk_bytes`` of text each, so
+   that the order of chunks is the order of documents;
 2. each chunk sends, for every hash bucket, one blob of its *distinct* keys, sorted and delta-coded. A key that fills a
    third of the corpus is one key per chunk, so there is no hot bucket;
 3. each bucket answers every blob with one small value per key, in the order of the blob. The chunk
    derives the same keys again from its text and reads the answers by position.
 
-Buckets grow in number with the chunks, so a bucket's memory is constant while the corpus grows.
+Blobs hold BLOB_KEYS keys on average however many chunks there are, so the rows of an exchange grow as the input does. A bucket holds that much of
+every chunk: 2^26 keys, some 0.5 GB in a task, at 131,072 chunks (2 TB in chunks of 16 MB). Beyond, buckets grow in number and blobs shrink, to
+LEAST_KEYS at 2^21 chunks; that is also the most there are, so that their bounds, the one thing the driver holds, never pass 32 MB: a larger corpus gets larger chunks (48 MB at 100 TB).
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
@@ -27,6 +30,10 @@ from pyspark.sql import functions as F
 #: Chunks never get fewer than this, so that small inputs still use all cores.
 LEAST_CHUNKS = 64
 CHUNK_BYTES = 16 << 20
+#: Chunks at most, and tasks they are dealt to at most.
+MOST_CHUNKS, MOST_TASKS = 1 << 21, 1 << 16
+#: Keys of a blob, keys of a blob at least, keys of a bucket before blobs shrink.
+BLOB_KEYS, LEAST_KEYS, BUCKET_KEYS = 512, 32, 1 << 26
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _F1, _F2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33, _S29 = np.uint64(33), np.uint64(29)
@@ -34,39 +41,81 @@ _WS = np.zeros(256, bool)
 _WS[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def chunk_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """(chunk int, doc_id long, text binary), dealt out by chunk, and the number of chunks.
+@dataclass(frozen=True)
+class Layout:
+    """How many chunks there are, of how many bytes of text on average."""
 
-    Chunk numbers ascend with the id; rows of equal id share a chunk; a null id is in chunk 0. One
-    column scan finds the amount of text and the id quantiles; the driver gets one bound per chunk.
+    n: int
+    chunk_bytes: float
+
+    def buckets(self, per_byte: float) -> int:
+        """Buckets for an exchange of so many keys a byte of text."""
+        return max(1, math.ceil(self.chunk_bytes * per_byte / max(LEAST_KEYS, min(BLOB_KEYS, BUCKET_KEYS // self.n))))
+
+    def deal(self, rows: DataFrame, by: str = "chunk", most: int | None = None) -> DataFrame:
+        """Rows dealt out evenly by a number: its remainder by the number of tasks."""
+        return rows.repartitionById(min(self.n, most or self.n, MOST_TASKS), by)
+
+
+def place(ids: np.ndarray, hashes: np.ndarray, cut_ids: np.ndarray, cut_hashes: np.ndarray) -> np.ndarray:
+    """The first chunk whose last row is not before (id, hash)."""
+    lo, hi = np.searchsorted(cut_ids, ids, side="left"), np.searchsorted(cut_ids, ids, side="right")
+    out = lo.copy()
+    at = np.flatnonzero(hi > lo)  # ids in which a chunk ends
+    for i in np.unique(ids[at]):
+        own = at[ids[at] == i]
+        a, b = lo[own[0]], hi[own[0]]
+        out[own] = a + np.searchsorted(cut_hashes[a:b], hashes[own], side="left")
+    return out.astype(np.int32)
+
+
+def chunk_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, Layout]:
+    """(chunk int, doc_id long, h long, text binary), dealt out by chunk, and the layout.
+
+    Chunk numbers ascend with the id (null first), and among rows of one id with the 64-bit hash of the text, so a repeated or null id may
+    span chunks. Sizes are sorted by range of (id, hash), and every range cuts its own rows to chunks of about even bytes; no text is
+    sorted. The driver gets one bound per chunk.
     """
-    t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    size = t.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(LEAST_CHUNKS, math.ceil(size / chunk_bytes))
-    probs = [(i + 1) / n for i in range(n - 1)]
-    cuts = t.agg(F.percentile_approx("doc_id", probs, 40 * n)).first()[0] or []
-    cuts = np.array(sorted(set(cuts)), dtype=np.int64)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    order = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    sizes = t.select(order.alias("i"), "h", (F.octet_length("text") + 16).cast("long").alias("size"))  # a row counts too, so that very many empty texts are split
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    goal = max(min(chunk_bytes, total / LEAST_CHUNKS), total / MOST_CHUNKS, 1)
+    found = pa.schema([("i", pa.int64()), ("h", pa.int64())])
+
+    def cuts(batches):
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        i, h, size = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in got]) for c in ("i", "h", "size"))
+        upto = np.cumsum(size)
+        m = max(1, round(int(upto[-1]) / goal))
+        last = np.unique(np.append(np.searchsorted(upto, upto[-1] * np.arange(1, m) / m), len(i) - 1))
+        yield pa.record_batch([pa.array(i[last]), pa.array(h[last])], schema=found)
+
+    rows = sizes.repartitionByRange("i", "h").sortWithinPartitions("i", "h").mapInArrow(cuts, "i long, h long").toArrow()
+    rows = sorted(set(zip(rows.column("i").to_pylist(), rows.column("h").to_pylist(), strict=True)))
+    cut_ids, cut_hashes = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
     @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        ids = ids.fillna(np.iinfo(np.int64).min).astype(np.int64)
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), side="left").astype(np.int32))
+    def where(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(place(ids.to_numpy(), hashes.to_numpy(), cut_ids, cut_hashes))
 
-    placed = t.select(place("doc_id").alias("chunk"), "doc_id", F.col("text").cast("binary").alias("text"))
-    return placed.repartition(n, "chunk"), n
+    layout = Layout(max(1, len(rows)), total / max(1, len(rows)))
+    return layout.deal(t.select(where(order, "h").alias("chunk"), "doc_id", "h", F.col("text").cast("binary").alias("text"))), layout
 
 
 class Chunk:
-    """The documents of one chunk in ascending id order (nulls first, equal ids by text): ids, bytes and offsets."""
+    """The documents of one chunk by id (nulls first), hash and text: ids, bytes and offsets."""
 
     def __init__(self, table: pa.Table):
         table = table.combine_chunks()
-        ids = table.column("doc_id").to_pandas().astype("Int64")
-        texts = table.column("text").to_pylist()
+        ids, hashes, texts = (table.column(c).to_pylist() for c in ("doc_id", "h", "text"))
         self.index = int(table.column("chunk")[0].as_py()) if table.num_rows else -1
-        order = sorted(range(len(texts)), key=lambda i: ((0, 0) if ids.iloc[i] is pd.NA else (1, int(ids.iloc[i])), texts[i] or b""))
-        self.ids = [None if ids.iloc[i] is pd.NA else int(ids.iloc[i]) for i in order]
-        self.texts = [texts[i] or b"" for i in order]
+        order = sorted(range(len(texts)), key=lambda i: (ids[i] is not None, ids[i] or 0, hashes[i], texts[i]))
+        self.ids = [ids[i] for i in order]
+        self.texts = [texts[i] for i in order]
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in self.texts], dtype=np.int64)]).astype(np.int64)
         self.n = int(self.offsets[-1])
 

@@ -99,7 +99,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     spark = docs.sparkSession
-    chunks, buckets = C.chunk_docs(docs, id_col, text_col, chunk_bytes)
+    chunks, layout = C.chunk_docs(docs, id_col, text_col, chunk_bytes)
+    buckets = layout.buckets(1 / 6)  # an n-gram per word
 
     def sign(table: pa.Table) -> pa.Table:
         c = C.Chunk(table)
@@ -172,9 +173,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "
         rid = (np.int64(c.index) << np.int64(32)) + docs_here
         return pa.table([pa.array(rid), pa.array(s.sizes[docs_here]), pa.array(s.sizes[docs_here] - shared[docs_here]), lists], schema=_SET)
 
+    first = layout.deal(first)
     got = chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send, C.BLOB)
-    levels = got.groupBy("bucket").applyInArrow(frequencies, C.BLOB)
+    levels = layout.deal(got, "bucket", buckets).groupBy("bucket").applyInArrow(frequencies, C.BLOB)
     answers = levels.selectExpr("chunk", "bucket", "payload", "extra", "CAST(NULL AS BIGINT) AS rid", "1 AS stage").unionAll(first.selectExpr("chunk", "0", "CAST(NULL AS BINARY)", "CAST(NULL AS BINARY)", "rid", "0"))
+    answers = layout.deal(answers)
     sets = shared_table(spark, chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(survivors, "rid long, n long, own long, tokens array<long>"))
     links = link_sets(sets, percent)
     comp = components(links)

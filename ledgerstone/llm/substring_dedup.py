@@ -79,13 +79,14 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     doc_id, n_words, n_removed, kept_text (kept words joined by one space) and spans, the maximal removed runs in words (end exclusive).
 
     Null and empty texts have no words: counts 0, kept_text "". Rows with a null id count as the earliest.
-    Rows of equal id are separate documents in text order; of two equal rows the second is removed.
+    Rows of equal id are separate documents in the order of Spark's xxhash64 of their text; of two equal rows the second is removed.
     Texts of fewer words than a window stay whole. An empty table gives no rows. Other columns are ignored.
     """
     if window < 2:
         raise ValueError("window must be 2 words or more")
     block = window // 2
-    chunks, n = C.chunk_docs(docs, id_col, text_col, chunk_bytes)
+    chunks, layout = C.chunk_docs(docs, id_col, text_col, chunk_bytes)
+    n = layout.buckets(1 / 6)  # a window per word
 
     def send(table: pa.Table) -> pa.Table:
         c = C.Chunk(table)
@@ -147,12 +148,12 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
         gone = np.cumsum(cover[: w.n]) > 0
         return _result(c, w, gone)
 
-    first = chunks.groupBy("chunk").applyInArrow(send, C.BLOB)
-    told = first.groupBy("bucket").applyInArrow(meet, C.BLOB)
-    second = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(send_windows, C.BLOB)
-    seen = second.groupBy("bucket").applyInArrow(earlier, C.BLOB)
-    answers = told.selectExpr("*", "1 AS stage").unionAll(seen.selectExpr("*", "2 AS stage"))
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cut, OUT)
+    ask = lambda told, f, schema: chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(f, schema)
+    by_bucket = lambda sent, f: layout.deal(layout.deal(sent, "bucket", n).groupBy("bucket").applyInArrow(f, C.BLOB))
+    told = by_bucket(chunks.groupBy("chunk").applyInArrow(send, C.BLOB), meet)
+    seen = by_bucket(ask(told, send_windows, C.BLOB), earlier)
+    answers = layout.deal(told.selectExpr("*", "1 AS stage").unionAll(seen.selectExpr("*", "2 AS stage")))
+    return ask(answers, cut, OUT)
 
 
 def _result(c: C.Chunk, w: C.Words, gone: np.ndarray) -> pa.Table:

@@ -160,14 +160,15 @@ def suffix_dedup(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_
     """doc_id, n_bytes, n_removed, spans (maximal removed runs in bytes, end exclusive) and kept (remaining bytes).
 
     Earlier means a smaller id. Strings never cross documents and are judged on the input; repeats inside one document stay. Null and
-    empty texts have no bytes. Rows of equal id are separate documents in text order, a null id is the earliest; of two equal rows
+    empty texts have no bytes. Rows of equal id are separate documents in the order of Spark's xxhash64 of their text, a null id is the earliest; of two equal rows
     the second loses all its bytes, if it has ``least`` or more. Shorter documents stay whole. An empty table gives no rows.
     """
     if not 16 <= least <= 96:
         raise ValueError("least must be from 16 to 96 bytes")
     spark = docs.sparkSession
     _suffix.register(spark)
-    chunks, n = C.chunk_docs(docs, id_col, text_col, shard_bytes)
+    chunks, layout = C.chunk_docs(docs, id_col, text_col, shard_bytes)
+    n = layout.buckets(0.08)  # anchors of a byte of text
     joined = pa.schema([("chunk", pa.int32()), ("text", pa.binary()), ("ends", pa.binary())])
 
     def join(table: pa.Table) -> pa.Table:
@@ -244,11 +245,12 @@ def suffix_dedup(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_
         return _result(s.shard.chunk, repeat, least)
 
     whole = chunks.groupBy("chunk").applyInArrow(join, "chunk int, text binary, ends binary")
-    gone = whole.select(F.lit(0).alias("bucket"), "chunk", _suffix.repeats(F.col("text"), F.col("ends"), least).alias("payload"), F.lit(None).cast("binary").alias("extra"), F.lit(0).alias("stage")).repartition(n, "chunk")
+    gone = whole.select(F.lit(0).alias("bucket"), "chunk", _suffix.repeats(F.col("text"), F.col("ends"), least).alias("payload"), F.lit(None).cast("binary").alias("extra"), F.lit(0).alias("stage"))
+    gone = layout.deal(gone)
 
     # Answers are dealt out by chunk once, and every later pass reads the same shuffle again.
     def exchange(sent: DataFrame, meet, stage: int) -> DataFrame:
-        return sent.groupBy("bucket").applyInArrow(meet, C.BLOB).withColumn("stage", F.lit(stage)).repartition(n, "chunk")
+        return layout.deal(layout.deal(sent, "bucket", n).groupBy("bucket").applyInArrow(meet, C.BLOB).withColumn("stage", F.lit(stage)))
 
     def ask(told: DataFrame, f, schema: str) -> DataFrame:
         return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(f, schema)

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from ledgerstone.llm import _suffix
@@ -13,7 +14,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def in_order(rows):
-    return sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    """By id, nulls first, then by Spark's xxhash64 of the text (seed 42, signed)."""
+    h = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), 42) + (1 << 63)) % (1 << 64)
+    return sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, h(r[1])))
 
 
 def brute_words(rows, window):
