@@ -18,3 +18,11 @@ def shared_table(spark: SparkSession, df: DataFrame) -> DataFrame:
     path = shared_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def free(columns: list[str], name: str) -> str:
+    """The name, with as many underscores before it as make it none of the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -15,7 +15,7 @@ from ledgerstone.llm.secrets_sql import scan_sql
 from ledgerstone.llm.substring_dedup import substring_dedup
 from ledgerstone.llm.suffix_dedup import suffix_dedup
 from ledgerstone.llm.token_store import token_digests
-from ledgerstone.llm.topk_search import integer_vectors, search
+from ledgerstone.llm.topk_search import finite_vectors, search
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = integer_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    v = finite_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return search(v.where("id % 20 = 0"), v, k=20)
 
 
@@ -46,7 +46,7 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("secret_spans")
     n = lambda rank: F.size(F.filter(s, lambda x: x["rank"] == rank)).cast("long")
-    return scan(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(joined(s, 2), 256).alias("base_sha256"), joined(s).alias("spans"))
+    return scan(_docs(spark, sf_dir).select("doc_id", "text"), with_text=False).select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(joined(s, 2), 256).alias("base_sha256"), joined(s).alias("spans"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +85,8 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """,
     "op4_topk_search": r"""
 WITH e AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(64 * x) AS BIGINT)) AS v FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(COALESCE(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
       FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
 r AS (SELECT query_id, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20

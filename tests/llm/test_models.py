@@ -4,13 +4,15 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerstone.llm import language_id, mixing, quality_rules, secrets
 from ledgerstone.llm.queries import QUERIES
-from ledgerstone.llm.topk_search import Blocks, integer_vectors, search
+from ledgerstone.llm.topk_search import Range, finite_vectors, search
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -208,28 +210,45 @@ def test_no_rules_without_labels(docs, none, spark):
 # ---- top-k
 
 
-def test_topk(spark):
-    import random
+def brute_topk(rows, k=20):
+    """Query id: its (vec_id, score) lists, by whole integers; own row left out once."""
+    good = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ints = [(i, [math.floor(Fraction(x) * 64) for x in v]) for i, v in good]
+    out = Counter()
+    for a, (q, v) in enumerate(ints):
+        if q % 20 == 0:
+            scores = [(-sum(x * y for x, y in zip(v, w, strict=True)), i) for b, (i, w) in enumerate(ints) if a != b and len(v) == len(w)]
+            out.update((q, r + 1, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, i) in enumerate(sorted(scores)[:k]))
+    return out
 
+
+@pytest.mark.parametrize("sizes", [{"range_rows": 40, "batch_rows": 3}, {}])
+def test_topk(spark, sizes):
     rng = random.Random(4)
-    rows = [(i, [rng.choice([-1.5, 0.25, 0.3, 2.0]) for _ in range(6)]) for i in range(150)] + [(200, None), (201, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (204, []), (None, [1.0] * 6), (205, [1.0, 2.0])]
-    v = integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    ints = {i: [math.floor(64 * x) for x in e] for i, e in rows[:150]}
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in search(v.where("id % 20 = 0"), v, 20, range_rows=40, batch_rows=3).collect()}
-    for q in range(0, 150, 20):
-        want = sorted(((-sum(a * b for a, b in zip(ints[q], e, strict=True)), i) for i, e in ints.items() if i != q))[:20]
-        assert [got[q, k + 1] for k in range(20)] == [(i, -s) for s, i in want]
+    rows = [(i, [rng.choice([-1.5, 0.25, 0.3, 2.0]) for _ in range(6)]) for i in range(150)] + [(200, None), (201, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (None, [1.0] * 6)]
+    rows += [(220, [1.0, 2.0]), (221, [1.0, -2.0]), (240, []), (241, []), (20, rows[20][1]), (20, [0.5] * 6), (60, rows[60][1]), (60, rows[60][1])]
+    v = finite_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = Counter(tuple(r) for r in search(v.where("id % 20 = 0"), v, 20, **sizes).collect())
+    assert got == brute_topk(rows)
+
+
+def test_topk_of_huge_and_few(spark):
+    rows = [(0, [2e13, 1.0]), (1, [2e13, 3.0]), (2, [-2e13, 1.0]), (3, [1e300, 0.5]), (4, [1.7e308, 0.0]), (5, [0.1, 0.2]), (20, [1.7e308, -1.0])]
+    v = finite_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert Counter(tuple(r) for r in search(v.where("id % 20 = 0"), v, 20).collect()) == brute_topk(rows)
     assert search(v.where("id < 0"), v).count() == 0
     assert search(v, v.where("id < 0")).count() == 0
     assert len(search(v.where("id = 0"), v.where("id < 5")).collect()) == 4
 
 
-def test_blocks_are_pruned():
-    import numpy as np
-
+def test_blocks_and_ranges_are_pruned(spark):
     rng = np.random.default_rng(0)
     rows = np.repeat(rng.integers(-60, 60, (40, 16)), 50, axis=0) + rng.integers(-3, 3, (2000, 16))
-    b = Blocks(np.arange(2000), rows, 50)
-    _, best, seen = b.search(rows[7], 5, 7)
-    assert seen < 20
-    assert best.tolist() == sorted((rows @ rows[7])[np.arange(2000) != 7].tolist(), reverse=True)[:5]
+    found, seen = Range(np.arange(2000), rows, 50).search(rows[7:8], np.array([7]), np.array([-np.inf]), 5)
+    assert seen[0] < 20
+    assert [s for _, s in found[0]] == sorted((rows @ rows[7])[np.arange(2000) != 7].tolist(), reverse=True)[:5]
+    # the same rows as vectors: a query is sent to few of the 40 ranges
+    v = finite_vectors(spark.createDataFrame([(i, (r / 64).tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>"))
+    got = {(r.query_id, r["rank"]): r.score for r in search(v.where("id % 20 = 0"), v, 5, range_rows=50).collect()}
+    for q in range(0, 2000, 20):
+        assert [got[q, k + 1] for k in range(5)] == sorted((rows @ rows[q])[np.arange(2000) != q].tolist(), reverse=True)[:5]
