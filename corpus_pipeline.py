@@ -5,11 +5,11 @@ Each stage takes all that its predecessor kept and returns the columns of its in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerstone.llm import language_id
-from ledgerstone.llm._shared import shared_table
+from ledgerstone.llm._shared import free, shared_table
 from ledgerstone.llm.jaccard_join import jaccard_join
 from ledgerstone.llm.mixing import sample
 from ledgerstone.llm.packing import pack
@@ -17,23 +17,33 @@ from ledgerstone.llm.secrets import redact
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents near a centroid of the languages of these documents. Null texts, texts without letters and far ones go; an empty table stays empty."""
-    rows = language_id.identify(docs, language_id.learn(docs))
-    return rows.where(~F.col("lang_rejected")).select(*docs.columns)
+    """Documents near a centroid of the languages of these documents. Null texts, texts without letters and far ones go; an empty table stays empty. Columns of any name keep their values."""
+    names = {c: free(docs.columns, f"_own_{c}") for c in docs.columns if c in ("lang_pred", "lang_score", "lang_rejected")}
+    rows = language_id.identify(docs.withColumnsRenamed(names), language_id.learn(docs))
+    return rows.where(~F.col("lang_rejected")).select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of every group of near copies (five-word shingles, similarity of 0.75 or more); repeated rows become one. Rows of null id and documents without words stay."""
-    groups = jaccard_join(docs, n=5, percent=75)
-    copies = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    """The document of smallest id of every group of near copies (five-word shingles, similarity of 0.75 or more), rows being told apart by id and text.
+
+    Rows of equal id and text become one, the first by their other columns (nulls first). Rows of null id and documents without words are in no group; rows of null id stay as they are.
+    """
+    h, rank = free(docs.columns, "_h"), free(docs.columns, "_rank")
+    groups = jaccard_join(docs.select("doc_id", "text"), n=5, percent=75)
+    copies = groups.where("component_id <> doc_id OR component_hash <> text_hash").select(F.col("doc_id").alias(f"{h}_id"), F.col("text_hash").alias(f"{h}_text")).distinct()
+    rows = docs.withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.join(copies, (rows["doc_id"] == copies[f"{h}_id"]) & (rows[h] == copies[f"{h}_text"]), "left_anti")
+    others = [F.col(f"`{c}`").cast("string").asc_nulls_first() for c in docs.columns if c not in ("doc_id", "text")] or [F.col("doc_id")]
+    first = F.row_number().over(Window.partitionBy("doc_id", h).orderBy(*others))
+    return rows.withColumn(rank, first).where((F.col(rank) == 1) | F.col("doc_id").isNull()).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by <SECRET>; n_chars follows where a text changed."""
-    rows = redact(docs.withColumn("_before", F.col("text")))
+    """All documents, their secrets replaced by <SECRET>; n_chars follows where a text changed. Columns of any name keep their values."""
+    before = free(docs.columns, "_before")
+    rows = redact(docs.withColumn(before, F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("text") == F.col("_before"), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.when(F.col("text") == F.col(before), F.col("n_chars")).otherwise(F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text"))).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
 
 

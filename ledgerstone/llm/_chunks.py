@@ -69,8 +69,8 @@ def place(ids: np.ndarray, hashes: np.ndarray, cut_ids: np.ndarray, cut_hashes:
     return out.astype(np.int32)
 
 
-def chunk_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, Layout]:
-    """(chunk int, doc_id long, h long, text binary), dealt out by chunk, and the layout.
+def chunk_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, dealt: bool = True) -> tuple[DataFrame, Layout]:
+    """(chunk int, doc_id long, h long, text binary), dealt out by chunk unless the caller does that, and the layout.
 
     Chunk numbers ascend with the id (null first), and among rows of one id with the 64-bit hash of the text, so a repeated or null id may
     span chunks. Sizes are sorted by range of (id, hash), and every range cuts its own rows to chunks of about even bytes; no text is
@@ -103,7 +103,8 @@ def chunk_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pd.Series(place(ids.to_numpy(), hashes.to_numpy(), cut_ids, cut_hashes))
 
     layout = Layout(max(1, len(rows)), total / max(1, len(rows)))
-    return layout.deal(t.select(where(order, "h").alias("chunk"), "doc_id", "h", F.col("text").cast("binary").alias("text"))), layout
+    placed = t.select(where(order, "h").alias("chunk"), "doc_id", "h", F.col("text").cast("binary").alias("text"))
+    return layout.deal(placed) if dealt else placed, layout
 
 
 class Chunk:
@@ -115,6 +116,7 @@ class Chunk:
         self.index = int(table.column("chunk")[0].as_py()) if table.num_rows else -1
         order = sorted(range(len(texts)), key=lambda i: (ids[i] is not None, ids[i] or 0, hashes[i], texts[i]))
         self.ids = [ids[i] for i in order]
+        self.hashes = [hashes[i] for i in order]
         self.texts = [texts[i] for i in order]
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in self.texts], dtype=np.int64)]).astype(np.int64)
         self.n = int(self.offsets[-1])

@@ -31,7 +31,7 @@ from ledgerstone.llm import _chunks as C
 from ledgerstone.llm._components import components
 from ledgerstone.llm._shared import shared_table
 
-_SIG = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sa", pa.int64()), ("sb", pa.int64())])
+_SIG = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("sa", pa.int64()), ("sb", pa.int64())])
 _SET = pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
 
@@ -91,10 +91,10 @@ def t_occurrence(lists: list[list[int]], t: int, mu: float = 0.02) -> dict[int,
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = C.CHUNK_BYTES // 2) -> DataFrame:
-    """Per document doc_id, n_shingles (set size) and component_id (smallest id reachable by links).
+    """Per document doc_id, n_shingles (set size), component_id (smallest id reachable by links), and Spark's xxhash64 of its own text and of that of the row that the component is named after (text_hash, component_hash).
 
     Words are runs other than ASCII white space, A-Z lower-cased. Fewer than n words are one n-gram. Null, empty and blank texts have no set
-    and link with nothing. Rows of equal id are separate documents. A row with a null id links with nothing and has a null component. An empty table gives no rows.
+    and link with nothing. Rows of equal id are separate documents, told apart by text_hash. A row with a null id links with nothing and has a null component. An empty table gives no rows.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
@@ -107,9 +107,9 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "
         s = Sets(c, n)
         a, b = s.signatures()
         rid = (np.int64(c.index) << np.int64(32)) + np.arange(len(c.ids))
-        return pa.table([pa.array(rid), pa.array(c.ids, pa.int64()), pa.array(s.sizes), pa.array(a), pa.array(b)], schema=_SIG)
+        return pa.table([pa.array(rid), pa.array(c.ids, pa.int64()), pa.array(c.hashes, pa.int64()), pa.array(s.sizes), pa.array(a), pa.array(b)], schema=_SIG)
 
-    base = shared_table(spark, chunks.groupBy("chunk").applyInArrow(sign, "rid long, doc_id long, n long, sa long, sb long"))
+    base = shared_table(spark, chunks.groupBy("chunk").applyInArrow(sign, "rid long, doc_id long, h long, n long, sa long, sb long"))
     live = base.where("n > 0 AND doc_id IS NOT NULL")
     reps = shared_table(spark, live.groupBy("sa", "sb", "n").agg(F.min("rid").alias("rep")))
     first = reps.select(F.shiftright("rep", 32).cast("int").alias("chunk"), F.col("rep").alias("rid"))
@@ -184,11 +184,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "
     # Ids of the rows that a component or class is named after; one row each.
     label = reps.join(comp, reps.rep == comp.node, "left")
     label = label.select("sa", "sb", "n", F.coalesce("comp", "rep").alias("top"))
-    names = base.select(F.col("rid").alias("top"), F.col("doc_id").alias("component_id"))
-    label = shared_table(spark, label.join(names, "top").select("sa", "sb", "n", "component_id"))
+    names = base.select(F.col("rid").alias("top"), F.col("doc_id").alias("component_id"), F.col("h").alias("component_hash"))
+    label = shared_table(spark, label.join(names, "top").select("sa", "sb", "n", "component_id", "component_hash"))
     key = lambda t: [t[k] for k in ("sa", "sb", "n")]
-    alone = base.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    joined = live.join(label, [x == y for x, y in zip(key(live), key(label), strict=True)]).select("doc_id", live.n.alias("n_shingles"), "component_id")
+    alone = base.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("h").alias("text_hash"), F.col("h").alias("component_hash"))
+    joined = live.join(label, [x == y for x, y in zip(key(live), key(label), strict=True)]).select("doc_id", live.n.alias("n_shingles"), "component_id", F.col("h").alias("text_hash"), "component_hash")
     return joined.unionAll(alone)
 
 

@@ -2,8 +2,8 @@
 
 A text's features are the bigrams and trigrams of its lower-cased letters, words parted by one space, hashed to ``dims`` places. Weights are
 (1 + ln tf) * idf, scaled to length one. Each language has up to ``clusters`` centroids, found by spherical k-means over a bounded labelled sample. A
-text gets the language of the nearest centroid by cosine; the cosine is its score. It is rejected if its distance to that centroid is
-beyond what the language's own sample showed for texts of about its length.
+text gets the language of the nearest centroid by cosine; the cosine is its score. It is rejected if it lies much farther from that centroid than
+the language's own sample does for texts of about its length.
 
 The model is bounded by its parameters (languages x clusters x dims floats) and goes to the workers with the task. No row is shuffled.
 """
@@ -17,7 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerstone.llm._shared import free, shared_table
+
 UND = "und"
+#: Bins of text length.
+BINS = 9
 #: Held out of learning: crc32 of the id as text leaves this remainder by FOLDS.
 FOLDS, HELD = 4, 2
 _letters: np.ndarray | None = None
@@ -88,54 +92,74 @@ class Model:
         return self.languages[self.of[k]], score, bool(score < self.least[self.of[k], _length_bin(n)])
 
 
-def learn(docs: DataFrame, per_language: int = 300, most_languages: int = 200, dims: int = 1 << 14, clusters: int = 3, slack: float = 0.25, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on at most about per_language documents (by a hash of the id) of each of the most_languages most frequent languages, whole texts, never a held-out one.
+def learn(docs: DataFrame, per_language: int = 300, sample_rows: int = 60_000, dims: int = 1 << 14, clusters: int = 3, slack: float = 0.45, low: float = 0.02, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fit on a bounded sample (by a hash of the id) of every language: about per_language documents each, fewer where languages are so many that sample_rows would be passed, whole texts, never a held-out one.
 
-    Only hashed counts reach the driver. slack: a text is rejected below this part of the smallest cosine of the sample's texts of its language and length bin, or a longer one.
+    Features are written to the shared folder; idf, centroids and bounds come from one group per language, and the driver gets those only: some 0.3 MB a
+    language at the defaults. A text is rejected below ``slack`` times the ``low`` quantile of its language's sample cosines for texts of its length; few outliers thus don't loosen the bound.
+    Null texts, languages and ids teach nothing; a language of few documents is learned from those. Repeated rows count as often as they occur. An empty table gives a model that knows no language.
     """
     spark = docs.sparkSession
-    t = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = {r.lang: r["count"] for r in t.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
-    if not sizes:
-        return Model(dims, [], np.zeros(0, int), np.zeros((0, dims), np.float32), np.ones(dims, np.float32), np.zeros((0, 9)))
-    share = spark.createDataFrame([(k, min(1.0, per_language / v)) for k, v in sizes.items()], "lang string, share double")
+    t = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    sizes = t.groupBy("lang").agg(F.count("*").alias("n"))
+    n_languages = sizes.count()
+    each = max(1, min(per_language, sample_rows // max(1, n_languages)))
     u = F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
-    sample = t.join(F.broadcast(share), "lang").where(u < F.col("share")).select("lang", "id", "text")
+    sample = t.join(sizes, "lang").where(u < F.lit(float(each)) / F.col("n")).select("lang", "id", "text")
     schema = pa.schema([("lang", pa.string()), ("id", pa.string()), ("n", pa.int64()), ("at", pa.binary()), ("counts", pa.binary())])
 
     def count(batches):
         for b in batches:
             rows = [(lang, i, *features(x, dims)) for lang, i, x in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)]
+            rows = [r for r in rows if r[4]]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[4] for r in rows], pa.int64()), pa.array([r[2].astype("<u4").tobytes() for r in rows], pa.binary()), pa.array([r[3].astype("<f4").tobytes() for r in rows], pa.binary())], schema=schema)
 
-    got = [(r.lang, r.id, r.n, np.frombuffer(r["at"], "<u4").astype(np.int64), np.frombuffer(r.counts, "<f4")) for r in sample.mapInArrow(count, "lang string, id string, n long, at binary, counts binary").collect() if r.n]
-    got.sort(key=lambda g: (g[0], g[1]))
-    df = np.zeros(dims)
-    for g in got:
-        df[g[3]] += 1
-    idf = (np.log((1 + len(got)) / (1 + df)) + 1).astype(np.float32)
-    model = Model(dims, [], np.zeros(0, int), np.zeros((0, dims), np.float32), idf, np.zeros((0, 9)))
-    centroids, of, least = [], [], []
-    for lang in sorted({g[0] for g in got}):
-        mine = [g for g in got if g[0] == lang]
+    got = shared_table(spark, sample.mapInArrow(count, "lang string, id string, n long, at binary, counts binary"))
+    seen = pa.schema([("rows", pa.int64()), ("df", pa.binary())])
+
+    def frequencies(table: pa.Table) -> pa.Table:
+        df = np.zeros(dims)
+        for at in table.column("at").to_pylist():
+            df[np.frombuffer(at, "<u4")] += 1
+        return pa.table([[table.num_rows], [df.astype("<f8").tobytes()]], schema=seen)
+
+    n, df = 0, np.zeros(dims)
+    for r in got.groupBy("lang").applyInArrow(frequencies, "rows long, df binary").toLocalIterator():
+        n, df = n + r.rows, df + np.frombuffer(r.df, "<f8")
+    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+    model = Model(dims, [], np.zeros(0, int), np.zeros((0, dims), np.float32), idf, np.zeros((0, BINS)))
+    found = pa.schema([("lang", pa.string()), ("centroids", pa.binary()), ("least", pa.binary())])
+
+    def fit(table: pa.Table) -> pa.Table:
+        mine = sorted(zip(*(table.column(c).to_pylist() for c in ("id", "n", "at", "counts")), strict=True))
         x = np.zeros((len(mine), dims), np.float32)
-        for i, g in enumerate(mine):
-            x[i, g[3]] = model.vector(g[3], g[4])
+        for i, (_, _, at, counts) in enumerate(mine):
+            at = np.frombuffer(at, "<u4").astype(np.int64)
+            x[i, at] = model.vector(at, np.frombuffer(counts, "<f4"))
         c = _cluster(x, clusters)
-        cos = (x @ c.T).max(axis=1)
-        bins = _length_bin(np.array([g[2] for g in mine]))
-        # Longer texts lie closer: the bound of a bin is the smallest cosine there and in all longer bins.
-        low = np.array([min((float(v) for v, k in zip(cos, bins, strict=True) if k >= b), default=0.0) for b in range(9)])
-        low[8] = low[8] or low[:8].min()
-        of += [len(model.languages)] * len(c)
-        model.languages.append(lang)
-        centroids.append(c)
-        least.append(slack * low)
-    if centroids:
-        model.centroids, model.of, model.least = np.concatenate(centroids), np.array(of), np.array(least)
+        return pa.table([[table.column("lang")[0].as_py()], [c.astype("<f4").tobytes()], [(slack * _bounds((x @ c.T).max(axis=1), _length_bin(np.array([m[1] for m in mine])), low)).astype("<f8").tobytes()]], schema=found)
+
+    rows = sorted(got.groupBy("lang").applyInArrow(fit, "lang string, centroids binary, least binary").collect())
+    if rows:
+        c = [np.frombuffer(r.centroids, "<f4").reshape(-1, dims) for r in rows]
+        model.languages = [r.lang for r in rows]
+        model.centroids, model.of = np.concatenate(c), np.repeat(np.arange(len(c)), [len(x) for x in c])
+        model.least = np.stack([np.frombuffer(r.least, "<f8") for r in rows])
     return model
 
 
+def _bounds(cos: np.ndarray, bins: np.ndarray, low: float, enough: int = 20) -> np.ndarray:
+    """The low quantile of cosines per length bin. A bin of few texts takes in longer ones, then shorter ones, and its bound is halved for each longer bin: shorter texts lie farther off. A bound never exceeds that of a longer bin."""
+    out, above = np.zeros(BINS), np.inf
+    for b in reversed(range(BINS)):
+        lo, hi = b, b
+        while np.count_nonzero((bins >= lo) & (bins <= hi)) < enough and (lo > 0 or hi < BINS - 1):
+            lo, hi = (lo, hi + 1) if hi < BINS - 1 else (lo - 1, hi)
+        some = cos[(bins >= lo) & (bins <= hi)]
+        above = out[b] = min(above, float(np.quantile(some, low)) / 2.0 ** (hi - b) if len(some) else 0.0)
+    return out
+
+
 def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means from far-apart starts, always the same."""
     mean = x.sum(axis=0)
@@ -156,7 +180,7 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of docs, lang_pred, lang_score and lang_rejected; columns of these names are replaced.
 
-    A null text and one without letters are ``und``, score 0, rejected; so is everything if the model knows no language.
+    Columns of any other name keep their values; repeated rows are treated alike. A null text and one without letters are ``und``, score 0, rejected; so is everything if the model knows no language.
     Every whole text is read, however long. An empty table gives no rows.
     """
     own = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_rejected")]
@@ -167,4 +191,5 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         got = [model.predict(x.as_py()) for x in texts]
         return pa.StructArray.from_arrays([pa.array([g[i] for g in got], f.type) for i, f in enumerate(kind)], fields=list(kind))
 
-    return docs.select(*own, guess(F.col(text_col).cast("string")).alias("_lang")).select(*own, "_lang.*")
+    x = free(docs.columns, "_lang")
+    return docs.select(*own, guess(F.col(text_col).cast("string")).alias(x)).select(*own, f"{x}.*")

@@ -11,10 +11,12 @@ stays short and a lost executor costs one iteration. The driver sees one scalar
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerstone.llm._shared import shared_table
+from ledgerstone.llm._shared import free, shared_table
 
 #: Up to so many cells, at some 100 bytes each, the cells are broadcast; beyond, documents meet them by a salted shuffle.
 BROADCAST_CELLS, SALTS = 20_000, 16
@@ -38,7 +40,9 @@ def fit_cells(cells: DataFrame, dims: tuple[str, ...], targets: dict[str, dict]
     """Rake cells (the dims, tokens) to the targets: adds weight, whose sums over each dim's values are the target shares.
 
     targets: {dim: {value: share}}; a dim without one gets its own token shares to the power ``temperature``. Shares are
-    normalised; a value without a share gets 0, so its cells' weight is 0.
+    normalised; a value without a share gets 0, so its cells' weight is 0. No cells give no rows; a null value is a value. Where marginals contradict
+    each other (a source of one language that no other source has, say), no weights meet them all: raking ends after ``iterations``, the last dim is met, the
+    others as nearly as its last round left them, and the largest deviation is logged as a warning.
     """
     spark = cells.sparkSession
     cells = cells.withColumn("weight", F.col("tokens").cast("double"))
@@ -66,6 +70,8 @@ def fit_cells(cells: DataFrame, dims: tuple[str, ...], targets: dict[str, dict]
         cells = cells.drop(*off)
         if worst is None or worst < tolerance:
             break
+    else:
+        logging.getLogger(__name__).warning("raking ended after %d rounds, a marginal is off by %.2g", iterations, worst)
     return cells.drop(*(f"_t_{d}" for d in dims))
 
 
@@ -95,8 +101,9 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, dims: tuple[str
     keep = [c for c in own if c not in ("mix_tokens", "mix_probability", "mix_kept")]
     value = {d: F.col(d).cast("string") if d in own else layout_topic(F.col(text_col)) for d in dims}
     cell = F.struct(*[value[d].alias(d) for d in dims])
-    t = t.select(*keep, token_count(F.col(text_col)).alias("mix_tokens"), cell.alias("_cell"))
-    cells = t.groupBy("_cell").agg(F.sum("mix_tokens").alias("tokens")).where("tokens > 0").select("_cell.*", "tokens")
+    own_cell, key, rate, salted = (free([*own, "mix_tokens"], c) for c in ("_cell", "_key", "_p", "_salt"))
+    t = t.select(*keep, token_count(F.col(text_col)).alias("mix_tokens"), cell.alias(own_cell))
+    cells = t.groupBy(own_cell).agg(F.sum("mix_tokens").alias("tokens")).where("tokens > 0").select(f"{own_cell}.*", "tokens")
     cells = fit_cells(cells, tuple(dims), targets, temperature, iterations)
     top = cells.agg(F.max(F.col("weight") / F.col("tokens")), F.count("*"), F.sum("tokens"), F.sum("weight")).first()
     if budget is None and not targets:
@@ -104,20 +111,22 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, dims: tuple[str
     unit = (top[0] if budget is None else (top[3] or 0.0) / (budget * (top[2] or 1))) or 1.0
     # One string per cell: a length before each value keeps different cells apart, and nulls are "-".
     name = lambda get: F.concat(*[F.coalesce(F.concat(F.length(get(d)).cast("string"), F.lit(":"), get(d)), F.lit("-")) for d in dims])
-    rates = cells.select(name(lambda d: F.col(d)).alias("_key"), (F.col("weight") / F.col("tokens") / F.lit(unit)).alias("_p"))
-    t = t.withColumn("_key", name(lambda d: F.col(f"_cell.{d}"))).drop("_cell")
+    rates = cells.select(name(lambda d: F.col(d)).alias(key), (F.col("weight") / F.col("tokens") / F.lit(unit)).alias(rate))
+    t = t.withColumn(key, name(lambda d: F.col(f"{own_cell}.{d}"))).drop(own_cell)
     if top[1] <= BROADCAST_CELLS:
-        t = t.join(F.broadcast(rates), "_key", "left")
+        t = t.join(F.broadcast(rates), key, "left")
     else:
         salt = F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS))
-        rates = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        t = t.withColumn("_salt", salt).join(rates, ["_key", "_salt"], "left").drop("_salt")
+        rates = rates.withColumn(salted, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        t = t.withColumn(salted, salt).join(rates, [key, salted], "left").drop(salted)
     draw = _draw(seed, id_col, text_col)
-    t = t.withColumn("mix_probability", F.when(F.col("mix_tokens") > 0, F.coalesce(F.col("_p"), F.lit(0.0))).otherwise(0.0))
+    t = t.withColumn("mix_probability", F.when(F.col("mix_tokens") > 0, F.coalesce(F.col(rate), F.lit(0.0))).otherwise(0.0))
     return t.select(*keep, "mix_tokens", "mix_probability", (draw < F.col("mix_probability")).alias("mix_kept"))
 
 
 def sample(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The columns of docs, every row as often as it is drawn."""
-    t = mix(docs, seed=seed, id_col=id_col, text_col=text_col, **options)
-    return t.where("mix_kept").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies(seed, id_col, text_col)))).select(*docs.columns)
+    """The columns of docs, every row as often as it is drawn; columns of any name keep their values."""
+    names = {c: free(docs.columns, f"_own_{c}") for c in docs.columns if c in ("mix_tokens", "mix_probability", "mix_kept")}
+    t = mix(docs.withColumnsRenamed(names), seed=seed, id_col=id_col, text_col=text_col, **options)
+    back = [F.col(names.get(c, c)).alias(c) for c in docs.columns]
+    return t.where("mix_kept").withColumn(free(t.columns, "_copy"), F.explode(F.sequence(F.lit(1).cast("long"), copies(seed, id_col, text_col)))).select(*back)

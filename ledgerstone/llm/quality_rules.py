@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerstone.llm._shared import shared_table
+from ledgerstone.llm._shared import free, shared_table
 
 _WS = r"[\x20\x09-\x0D]+"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -37,7 +37,10 @@ FEATURES = {
 
 
 def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds the statistics of the whole text: STATS, n_lines (lines with a word), n_digits and n_capitals, all long. Null is empty."""
+    """Adds the statistics of the whole text: STATS, n_lines (lines with a word), n_digits and n_capitals, all long.
+
+    Null is empty. Columns of these names are replaced, others keep their values. Repeated rows are treated one by one. An empty table gives no rows.
+    """
     t = f"coalesce(CAST(`{text_col}` AS STRING), '')"
     words = f"filter(split({t}, '{_WS.replace(chr(92), chr(92) * 2)}'), w -> w != '')"
     lines = f"filter(split({t}, '\\n'), x -> x RLIKE '[^\\\\x20\\\\x09-\\\\x0D]')"
@@ -48,12 +51,14 @@ def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     stats = (
         f"named_struct('n_words', CAST(size(words) AS BIGINT), 'word_chars', CAST(length(translate({t}, ' \\t\\n\\u000B\\u000C\\r', '')) AS BIGINT), 'n_symbols', CAST(length({t}) - length(translate({t}, '#*$%&|<>', '')) AS BIGINT), "
-        f"'n_dup_lines', {_bind('x', lines, 'CAST(size(x) - size(array_distinct(x)) AS BIGINT)')}, 'n_repeat_words', CAST({repeated} AS BIGINT), 'n_lines', CAST(size({lines}) AS BIGINT), "
+        f"'n_dup_lines', CAST(size(x) - size(array_distinct(x)) AS BIGINT), 'n_repeat_words', CAST({repeated} AS BIGINT), 'n_lines', CAST(size(x) AS BIGINT), "
         f"'n_digits', CAST(length({t}) - length(translate({t}, '0123456789', '')) AS BIGINT), 'n_capitals', CAST(size(filter(words, w -> w RLIKE '^\\\\p{{Lu}}')) AS BIGINT))"
     )
+    stats = _bind("x", lines, stats)
     names = [*STATS, "n_lines", "n_digits", "n_capitals"]
     own = [c for c in docs.columns if c not in names]
-    return docs.select(*own, F.expr(_bind("words", words, stats)).alias("_stats")).select(*own, *[F.col(f"_stats.{n}") for n in names])
+    s = free(docs.columns, "_stats")
+    return docs.select(*own, F.expr(_bind("words", words, stats)).alias(s)).select(*own, *[F.col(f"{s}.{n}") for n in names])
 
 
 def _bind(var: str, value: str, body: str) -> str:

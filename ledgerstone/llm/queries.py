@@ -66,7 +66,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(_docs(spark, sf_dir), n=5, percent=75)
+    return jaccard_join(_docs(spark, sf_dir), n=5, percent=75).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pack, op3_mix_sources, op4_topk_search, op5_token_store, op6_secret_scan, op7_suffix_dedup, op8_language_id, op9_quality_rules, op10_jaccard_join)}

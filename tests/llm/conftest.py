@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk int, bucket int, stage string, rid long"
+#: Names that operators use inside.
+CLASH = ["_text", "_base", "_more", "_tests", "_found", "_spans", "_cell", "_key", "_p", "_salt", "_copy", "_lang", "_stats", "_before", "_h", "_rank", "secret_spans", "mix_kept", "lang_pred"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk int, bucket int, stage string, rid long, h long, " + ", ".join(f"{c} string" for c in CLASH)
 _VOICES = {"en": ["the", "of", "and", "ing", "ther", "tion", "wh"], "fr": ["le", "eau", "que", "ç", "ment", "dé", "oi"]}
 
 
@@ -23,7 +25,7 @@ def corpus(seed=1):
         copy[10 * k + 5] = f"edit{k}"
         texts.append("\n".join(" ".join(copy[i : i + 9]) for i in range(0, 200, 9)))
     texts.append(" ".join(words(rng, 9000)) + ' password = "hunter2hunter2" ' + " ".join(base))
-    rows = [(i, t, "fr" if t and "eau" in t else "en" if i % 7 else None, f"src{i % 3}" if i % 5 else None, len(t or ""), i, None, "x", 3) for i, t in enumerate(texts)]
+    rows = [(i, t, "fr" if t and "eau" in t else "en" if i % 7 else None, f"src{i % 3}" if i % 5 else None, len(t or ""), i, None, "x", 3, -i, *[f"{c}{i}" for c in CLASH]) for i, t in enumerate(texts)]
     rng.shuffle(rows)
     return rows + [rows[4], rows[4]]
 

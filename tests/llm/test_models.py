@@ -122,7 +122,7 @@ def test_a_rare_cell_does_not_set_how_much_is_drawn(spark):
 
 def test_mix_draws_by_hash(docs, rows, none):
     m = mixing.mix(docs)
-    assert m.columns == [*docs.columns, "mix_tokens", "mix_probability", "mix_kept"]
+    assert m.columns == [*(c for c in docs.columns if c != "mix_kept"), "mix_tokens", "mix_probability", "mix_kept"]
     again = mixing.mix(docs.repartition(5))
     pick = lambda t: sorted((r.doc_id, r.mix_kept, round(r.mix_probability, 9)) for r in t.collect())
     assert pick(m) == pick(again)
@@ -139,6 +139,58 @@ def test_mix_salted_join(docs, monkeypatch):
     assert sorted((r.doc_id, r.mix_kept) for r in mixing.mix(docs).collect()) == a
 
 
+def plain_rates(rows, dims, temperature=0.7, rounds=30, tolerance=1e-4, budget=1.0):
+    """Rates of (values of the dims, tokens) rows by a plain raking loop."""
+    cells = Counter()
+    for v, t in rows:
+        cells[v] += t
+    cells = {v: t for v, t in cells.items() if t}
+    targets = []
+    for d in range(dims):
+        have = Counter()
+        for v, t in cells.items():
+            have[v[d]] += t
+        z = sum(t**temperature for t in have.values())
+        targets.append({k: t**temperature / z for k, t in have.items()})
+    weight = {v: float(t) for v, t in cells.items()}
+    for _ in range(rounds):
+        worst = 0.0
+        for d in range(dims):
+            have = Counter()
+            for v, w in weight.items():
+                have[v[d]] += w
+            worst = max([worst, *(abs(have[k] - t) for k, t in targets[d].items())])
+            weight = {v: w * targets[d][v[d]] / have[v[d]] for v, w in weight.items()}
+        if worst < tolerance:
+            break
+    unit = sum(weight.values()) / (budget * sum(cells.values()))
+    return {v: w / cells[v] / unit for v, w in weight.items()}
+
+
+def test_mix_equals_a_plain_loop(docs, rows):
+    got = mixing.mix(docs).withColumn("topic", mixing.layout_topic(F.col("text"))).select("source", "lang", "topic", "mix_tokens", "mix_probability").collect()
+    want = plain_rates([((r.source, r.lang, r.topic), r.mix_tokens) for r in got], 3)
+    for r in got:
+        assert r.mix_probability == pytest.approx(want[r.source, r.lang, r.topic] if r.mix_tokens else 0.0, rel=1e-6)
+
+
+def test_targets_that_contradict_each_other_are_told(spark, caplog):
+    docs = spark.createDataFrame([(1, "a b c", "x", "en"), (2, "a b", "y", "fr")], "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r.mix_probability for r in mixing.mix(docs, {"source": {"x": 0.9, "y": 0.1}, "lang": {"en": 0.2, "fr": 0.8}}, dims=("source", "lang")).collect()}
+    assert 3 * got[1] / (3 * got[1] + 2 * got[2]) == pytest.approx(0.2)  # the last dim is met
+    assert "off by" in caplog.text
+
+
+def test_columns_of_any_name_keep_their_values(docs, rows):
+    model = language_id.learn(docs)
+    for out, replaced in ((secrets.scan(docs), "secret_spans"), (mixing.mix(docs), "mix_kept"), (language_id.identify(docs, model), "lang_pred"), (quality_rules.with_stats(docs), "")):
+        keep = [i for i, c in enumerate(docs.columns) if c != replaced]
+        got = out.select(*[f"`{docs.columns[i]}`" for i in keep]).collect()
+        assert Counter(tuple(r) for r in got) == Counter(tuple(r[i] for i in keep) for r in rows)
+    masked = Counter((r.doc_id, *r[2:]) for r in secrets.redact(docs).select(*docs.columns).collect())
+    assert masked == Counter((r[0], *r[2:]) for r in rows)
+
+
 # ---- language
 
 
@@ -159,6 +211,71 @@ def test_language_plain_loop(docs):
             assert (r.lang_pred, r.lang_score, r.lang_rejected) == ("und", 0.0, True)
 
 
+def plain_features(text, dims):
+    """Counts of hashed letter bigrams and trigrams, letter by letter."""
+    out, word = Counter(), "".join(c if c.isalpha() else " " for c in text.lower())
+    word = " " + re.sub(" +", " ", word) + " "
+    m = (1 << 32) - 1
+    shift = 32 - dims.bit_length() + 1
+    two = [((ord(a) * 0x9E3779B1 ^ ord(b) * 0x85EBCA77) & m) * 0xC2B2AE3D & m for a, b in zip(word, word[1:], strict=False)]
+    for x in two:
+        out[x >> shift] += 1
+    for x, c in zip(two, word[2:], strict=False):
+        out[(x + ord(c) * 0x27D4EB2F & m) * 0x165667B1 % (1 << 32) >> shift] += 1
+    return out
+
+
+def test_language_equals_plain_tfidf_centroids(docs, rows):
+    model = language_id.learn(docs, per_language=10_000)
+    taught = [(r[2], plain_features(r[1], model.dims)) for r in rows if r[0] is not None and r[2] and any(c.isalpha() for c in r[1] or "") and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    df = Counter(k for _, f in taught for k in f)
+    idf = {k: math.log((1 + len(taught)) / (1 + n)) + 1 for k, n in df.items()}
+    unseen = math.log(1 + len(taught)) + 1
+
+    def vector(f):
+        v = {k: (1 + math.log(n)) * idf.get(k, unseen) for k, n in f.items()}
+        z = math.sqrt(sum(x * x for x in v.values()))
+        return {k: x / z for k, x in v.items()}
+
+    assert model.languages == sorted({lang for lang, _ in taught})
+    cosine = lambda v, c: sum(x * float(c[k]) for k, x in v.items())
+    for j, lang in enumerate(model.languages):  # k-means has settled: each centroid is the mean of the vectors nearest to it
+        own, mine = [c for c, o in zip(model.centroids, model.of, strict=True) if o == j], [vector(f) for x, f in taught if x == lang]
+        near = [max(range(len(own)), key=lambda i: cosine(v, own[i])) for v in mine]  # noqa: B023
+        for i, c in enumerate(own):
+            total = Counter()
+            for v, k in zip(mine, near, strict=True):
+                if k == i:
+                    total.update(v)
+            z = math.sqrt(sum(x * x for x in total.values()))
+            assert all(float(c[k]) == pytest.approx(x / z, abs=1e-4) for k, x in total.items())
+    for r in language_id.identify(docs, model).collect():
+        if any(c.isalpha() for c in r.text or ""):
+            best = max(cosine(vector(plain_features(r.text, model.dims)), c) for c in model.centroids)
+            assert r.lang_score == pytest.approx(best, abs=1e-4)
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(5)
+    voice = {f"l{i}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(12)] for i in range(300)}
+    text = lambda lang: " ".join("".join(rng.choices(voice[lang], k=2)) for _ in range(60))
+    docs = spark.createDataFrame([(i, text(f"l{i % 300}"), f"l{i % 300}") for i in range(3000)], "doc_id long, text string, lang string")
+    model = language_id.learn(docs, sample_rows=1500, dims=1 << 11)
+    assert len(model.languages) >= 299
+    out = [r for r in language_id.identify(docs, model).withColumn("held", language_id.held_out()).collect() if r.held]
+    assert sum(r.lang == r.lang_pred for r in out) / len(out) > 0.95
+
+
+def test_a_related_language_is_rejected(spark):
+    learned = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.learn(learned)
+    italian = "Il governo ha annunciato che le nuove misure entreranno in vigore dal prossimo mese e riguarderanno tutte le famiglie che vivono nelle grandi città del paese. "
+    dutch = "De regering heeft aangekondigd dat de nieuwe maatregelen vanaf volgende maand van kracht worden en alle gezinnen betreffen die in de grote steden wonen. "
+    assert model.predict(italian * 6)[2]
+    assert model.predict(dutch * 6)[2]
+    assert language_id.identify(learned, model).where("lang_rejected").count() <= 2
+
+
 def test_language_of_nothing(none, docs):
     model = language_id.learn(none)
     assert model.languages == []
@@ -201,6 +318,61 @@ def test_rules_are_learned(spark):
     assert rules[0].conditions[0].feature == "symbols"
 
 
+def plain_rules(rows, cuts, most_rules=8, most_conditions=3, precision=0.9):
+    """Sequential covering by plain loops over (label, pruning third, features) rows."""
+    grow, prune, rules = [r for r in rows if not r[1]], [r for r in rows if r[1]], []
+    fires = lambda r, cs: all((r[2][f] >= cut) == up for f, up, cut in cs)
+    while len(rules) < most_rules:
+        live, cs = grow, []
+        while len(cs) < most_conditions:
+            bad, good, best = sum(r[0] == 0 for r in live), sum(r[0] == 1 for r in live), None
+            if not bad or not good:
+                break
+            for f in sorted(cuts):
+                for cut in cuts[f]:
+                    for up in (False, True):
+                        hit = [r for r in live if (r[2][f] >= cut) == up]
+                        p = sum(r[0] == 0 for r in hit)
+                        if p and len(hit) < len(live):
+                            gain = p * (math.log2(p / len(hit)) - math.log2(bad / (bad + good)))
+                            if gain > 1e-9 and (best is None or gain > best[0]):
+                                best = (gain, (f, up, cut))
+            if best is None:
+                break
+            cs.append(best[1])
+            live = [r for r in live if fires(r, [best[1]])]
+            if all(r[0] == 0 for r in live):
+                break
+        if not cs:
+            break
+        tally = [[sum(r[0] == v and fires(r, cs[: k + 1]) for r in prune) for v in (0, 1)] for k in range(len(cs))]
+        k = max(range(len(cs)), key=lambda k: ((tally[k][0] - tally[k][1]) / max(1, sum(tally[k])), -k))  # noqa: B023
+        if (tally[k][0] + 1) / (sum(tally[k]) + 2) < precision:
+            break
+        rules.append(cs[: k + 1])
+        grow, prune = ([r for r in x if not fires(r, cs[: k + 1])] for x in (grow, prune))
+    return rules
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rules_equal_plain_covering(spark, seed):
+    rng = random.Random(seed)
+    stats = [(i, rng.randint(50, 400), rng.randint(200, 3000), rng.choice([0, 0, 5, 90]), rng.choice([0, 3]), rng.randint(0, 20), rng.randint(5, 20), rng.randint(0, 200), rng.randint(0, 40)) for i in range(900)]
+    labels = [(s[0], int(not (s[3] > 50 and s[7] > 60 or s[2] / s[1] > 12) if rng.random() < 0.97 else rng.random() < 0.5)) for s in stats]
+    df = spark.createDataFrame(stats, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_digits long, n_capitals long")
+    rules = quality_rules.learn(df, spark.createDataFrame(labels, "doc_id long, quality int"))
+    y = dict(labels)
+    rows = [(y[r.doc_id], r.third == 0, {f: r[f] for f in quality_rules.FEATURES}) for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(3)).alias("third"), *[F.expr(e).alias(f) for f, e in quality_rules.FEATURES.items()]).collect()]
+    probs = [i / 16 for i in range(1, 16)] + [0.005, 0.02, 0.98, 0.995]
+    cuts = {}
+    for f in quality_rules.FEATURES:
+        v = sorted(r[2][f] for r in rows)
+        cuts[f] = sorted({v[max(0, math.ceil(p * len(v)) - 1)] for p in probs})
+    want = plain_rules(rows, cuts)
+    assert want
+    assert [[(c.feature, c.at_least, c.cut) for c in r.conditions] for r in rules] == want
+
+
 def test_no_rules_without_labels(docs, none, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality_rules.judge(docs, labels).where("kept").count() == docs.count() - quality_rules.judge(docs, labels).where("base_failed").count()

@@ -4,12 +4,14 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
 from ledgerstone.llm import _tokens as T
 from ledgerstone.llm.packing import assign, pack
-from ledgerstone.llm.token_store import WaveletMatrix, read_blob, read_shards, token_digests, write_blob, write_shards
+from ledgerstone.llm.token_store import WaveletMatrix, count_tokens, fetch, occurrences, read_blob, read_shards, token_digests, write_blob, write_shards
+from tests.llm.test_dedup import in_order
 
 ODD = ["don't stop 'super it's IT'S", "İ! İstanbul ΣΑΣ. ς", "á e ́x", "caf\xe9 \xa0b\x85c", "\x1cab\x1fcd", "<|endoftext|> x <|startoftext|>a", "日本語 テスト 123 ①", "ﬁ ſt K", "ÀÉ ß ẞ ŉ", "", "   ", "a­b ﻿c", "🇩🇪 ok!?", "ÿŸ ×÷ª º", "\x00 a\x00b", "plain words, 42 of them!!"]
 
@@ -27,6 +29,15 @@ def test_encoder_equals_library(library, rows):
     assert [enc.encode(t) for t in texts] == [library(t).tobytes() for t in texts]
 
 
+def test_lookups_unpack_little():
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 49000, 600_000).astype("<u4")
+    w, _, _ = read_blob(write_blob(ids, [1], np.array([len(ids)])))
+    assert w.access(123_456) == ids[123_456]
+    assert w.select(int(ids[5]), 0) <= 5
+    assert sum(p.opened for p in w.planes) <= 4 * len(w.planes) < sum(-(-len(p) // 8192) for p in w.planes) / 2
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 3000])
 def test_wavelet_matrix(n):
     rng = random.Random(n)
@@ -44,12 +55,21 @@ def test_store(spark, docs, rows, library, tmp_path):
     write_shards(docs, f"file://{tmp_path}/t", shard_bytes=2000)
     got = sorted(read_shards(spark, f"file://{tmp_path}/t").collect(), key=lambda r: r.start)
     at = 0
-    for r, (d, t) in zip(got, sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0], (r[1] or "").encode())), strict=True):
+    for r, (d, t) in zip(got, in_order(rows), strict=True):
         ids = library(t)
         assert (r.doc_id, r.start, r.n_tokens, bytes(r.ids), r.ids_crc32) == (d, at, len(ids), ids.tobytes(), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert token_digests(docs).count() == len(rows)
 
+    every = [t for _, text in in_order(rows) for t in library(text)]
+    asked = spark.createDataFrame([(i,) for i in [*range(0, len(every), 97), 0, len(every), -1, None]], "position long")
+    assert sorted(tuple(r) for r in fetch(asked, f"file://{tmp_path}/t").collect()) == sorted((i, every[i]) for i in [*range(0, len(every), 97), 0])
+    assert {r.token: r.n for r in count_tokens(spark, f"file://{tmp_path}/t", [2, every[5], 60000, 2]).collect()} == {t: every.count(t) for t in (2, every[5], 60000)}
+    assert sorted(r.position for r in occurrences(spark, f"file://{tmp_path}/t", [2]).collect()) == [i for i, t in enumerate(every) if t == 2]
+    files = sorted(tmp_path.glob("t/part-*.parquet"))
+    shards = [s for f in files for s in pq.read_table(f).column("shard").to_pylist()]
+    assert shards == sorted(shards)
+
 
 def test_empty_store(none):
     assert token_digests(none).count() == 0
@@ -72,6 +92,47 @@ def test_assign_fills_every_sequence(seed):
     assert all(x == 64 or x & (x - 1) == 0 for x in room.values())
 
 
+def plain_assign(lengths, length, linear=1.0, quadratic=1 / 4096):
+    """The rule by plain loops: whole lengths first, then each rest, longest first, to the cheapest sequence with room, cut where there is none."""
+    total = sum(lengths)
+    size = [length] * (total // length) + [1 << b for b in reversed(range(20)) if total % length >> b & 1]
+    used, cost, out, fresh, rest = [0] * len(size), [0.0] * len(size), [], 0, []
+
+    def put(d, start, n, s):
+        out.append((d, start, n, s, used[s]))
+        used[s] += n
+        cost[s] += linear * n + quadratic * n * n
+
+    for d in sorted(range(len(lengths)), key=lambda d: -lengths[d]):
+        start = 0
+        while lengths[d] - start >= length and fresh < total // length:
+            put(d, start, length, fresh)
+            start, fresh = start + length, fresh + 1
+        rest.append((d, start))
+    for d, start in sorted(rest, key=lambda r: (r[1] - lengths[r[0]], r[0])):
+        while start < lengths[d]:
+            want = lengths[d] - start
+            fits = [s for s in range(len(size)) if size[s] - used[s] >= want]
+            s = min(fits, key=lambda s: (cost[s], s)) if fits else max(range(len(size)), key=lambda s: (size[s] - used[s], -s))
+            n = min(want, size[s] - used[s])
+            put(d, start, n, s)
+            start += n
+    return out
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_assign_equals_plain_loops(seed):
+    rng = random.Random(100 + seed)
+    lengths = [rng.choice([0, 1, 5, 60, 64, 65, 200, 999, rng.randint(1, 300)]) for _ in range(rng.randint(0, 80))]
+    assert sorted(assign(lengths, 64)) == sorted(plain_assign(lengths, 64))
+
+
+def test_a_text_beyond_a_group(spark, library):
+    docs = spark.createDataFrame([(1, "word and more " * 3000), (2, "x"), (2, "x")], "doc_id long, text string")
+    pieces = pack(docs, group_tokens=50).collect()
+    assert sum(p.length for p in pieces) == sum(len(library(t)) for t in ("word and more " * 3000, "x", "x"))
+
+
 def test_costs_are_balanced():
     rng = random.Random(1)
     cost = defaultdict(float)
