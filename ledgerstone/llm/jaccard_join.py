@@ -228,6 +228,8 @@ def _test(sets: DataFrame, pairs: DataFrame, percent: int, block: int = 500) ->
     queries = pairs.select("blk", F.col("q").alias("rid")).distinct().join(sets.select("rid", "n", "tokens"), "rid")
     found = pairs.select("blk", F.col("x").alias("rid")).distinct().join(sets.select("rid", "n", "tokens"), "rid")
     found = found.select(*[F.col(c).alias(f"x_{c}") for c in found.columns])
+    tasks = min(n_blocks, C.MOST_TASKS)
+    queries, found = queries.repartitionById(tasks, "blk"), found.repartitionById(tasks, "x_blk")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(q: pa.Table, x: pa.Table) -> pa.Table:

@@ -15,6 +15,8 @@ Every exchange is by distinct keys of a shard, so a passage in a third of all do
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -248,16 +250,16 @@ def suffix_dedup(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_
     gone = whole.select(F.lit(0).alias("bucket"), "chunk", _suffix.repeats(F.col("text"), F.col("ends"), least).alias("payload"), F.lit(None).cast("binary").alias("extra"), F.lit(0).alias("stage"))
     gone = layout.deal(gone)
 
-    # Answers are dealt out by chunk once, and every later pass reads the same shuffle again.
+    # What a pass answers is dealt out by chunk once and read again by the later passes; a pass deals their union anew, a small part of the text.
     def exchange(sent: DataFrame, meet, stage: int) -> DataFrame:
         return layout.deal(layout.deal(sent, "bucket", n).groupBy("bucket").applyInArrow(meet, C.BLOB).withColumn("stage", F.lit(stage)))
 
-    def ask(told: DataFrame, f, schema: str) -> DataFrame:
-        return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(f, schema)
+    def ask(told: list[DataFrame], f, schema: str) -> DataFrame:
+        return chunks.groupBy("chunk").cogroup(layout.deal(reduce(DataFrame.unionAll, told)).groupBy("chunk")).applyInArrow(f, schema)
 
-    told = gone.unionAll(exchange(chunks.groupBy("chunk").applyInArrow(send_anchors, C.BLOB), meet_anchors, 1))
-    told = told.unionAll(exchange(ask(told, send_contexts, C.BLOB), meet_contexts, 2))
-    told = told.unionAll(exchange(ask(told, send_strings, C.BLOB), meet_strings, 3))
+    told = [gone, exchange(chunks.groupBy("chunk").applyInArrow(send_anchors, C.BLOB), meet_anchors, 1)]
+    told = [*told, exchange(ask(told, send_contexts, C.BLOB), meet_contexts, 2)]
+    told = [*told, exchange(ask(told, send_strings, C.BLOB), meet_strings, 3)]
     return ask(told, cut, OUT)
 
 
