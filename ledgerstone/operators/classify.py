@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerstone.functions.merchants import merchant_root
+from ledgerstone.functions.patterns import safe_pattern
 
 # What a description says about the kind of movement, in order.
 FLOW_PATTERNS = [
@@ -31,21 +30,6 @@ def default_flow(description: Column, direction: Column) -> Column:
     return out
 
 
-def safe_pattern(pattern: str) -> str | None:
-    """The pattern, if it compiles and keeps to the linear-time subset (no look-around, no back references, no quantified quantifier); None otherwise.
-
-    Java's engine backtracks, so a repeated group that holds a repeat is refused.
-    """
-    p = (pattern or "").strip().lower()
-    try:
-        re.compile(p)
-    except re.error:
-        return None
-    if re.search(r"\(\?[=!<]|\\[1-9]|\(\?P[=>]", p) or re.search(r"\([^()]*[+*}][^()]*\)[+*{]", p):
-        return None
-    return p
-
-
 def rule_match(rule, description: Column, merchant: Column) -> Column:
     """Whether a rule (pattern, match_type) covers a row, on its key or its description, lower-cased. Blank and unsafe patterns match nothing."""
     pattern = (rule["pattern"] or "").strip().lower()

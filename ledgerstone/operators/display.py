@@ -63,3 +63,8 @@ def run_summary(outcomes: DataFrame, most: int = 3) -> DataFrame:
     top = F.slice(F.array_sort(F.collect_list(F.when(F.col("kind") == "failed", F.struct((-F.col("n")).alias("o"), "message", "n")))), 1, most)
     count = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k)
     return n.agg(count("stored"), count("duplicate"), count("failed"), F.array_join(F.transform(top, lambda s: F.concat(s["message"], F.when(s["n"] > 1, F.concat(F.lit(" ×"), s["n"].cast("string"))).otherwise(""))), "; ").alias("messages"))
+
+
+def months_by_year(months: DataFrame) -> DataFrame:
+    """(year, months): the months of each year in order, comma-joined."""
+    return months.groupBy(F.substring("month", 1, 4).alias("year")).agg(F.array_join(F.array_sort(F.collect_set("month")), ",").alias("months"))

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerstone.operators.listing import CATEGORIES
+from ledgerstone.sources.shared import positions
 
 BATCH = 40
 REPLY = "struct<assignments:array<struct<merchant:string,category:string>>>"
 
 
 def batches(keys: DataFrame, size: int = BATCH, key: str = "merchant_normalized") -> DataFrame:
-    """Keys with a batch number, in key order: only distinct keys are numbered, a small table."""
-    return keys.select(key).distinct().withColumn("batch", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size).cast("int"))
+    """Distinct keys with a batch number, in key order."""
+    return positions(keys.select(key).distinct(), key, name="_at").select(key, F.floor((F.col("_at") - 1) / size).cast("int").alias("batch"))
 
 
 def payloads(numbered: DataFrame, examples: DataFrame | None = None, key: str = "merchant_normalized") -> DataFrame:
@@ -46,22 +47,40 @@ def gate(replies: DataFrame, allowed: list[str] | None = None) -> DataFrame:
     return r.withColumn("problems", problems).withColumn("ok", F.size("problems") == 0).drop("doc", "names", "good")
 
 
-def ask(payload: DataFrame, model: Callable[[str], str]) -> DataFrame:
-    """Replies of the model (batch, asked, raw), batch by batch; one that raises has a null reply and does not stop the others."""
+class QuotaSpent(Exception):
+    """What a model raises when it will not answer again today."""
+
+
+def ask(payload: DataFrame, model: Callable[[str], str], *fallback: Callable[[str], str]) -> DataFrame:
+    """Replies (batch, asked, raw, model, stopped), batch by batch: each goes to the first model that answers, by its place from 0.
+
+    One that raises does not stop the others; a batch that no model answers has a null reply. A model whose quota is spent is not asked again by the same task;
+    where all are, the task's further batches are marked stopped and cost no call.
+    """
+    models = (model, *fallback)
 
     def run(rows):
         import pyarrow as pa
 
+        spent: set[int] = set()
         for b in rows:
-            raw = []
+            out = []
             for p in b.column(2).to_pylist():
-                try:
-                    raw.append(model(p))
-                except Exception:  # the model is not ours: whatever it raises is a missing answer
-                    raw.append(None)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(raw, pa.string())], names=["batch", "asked", "raw"])
-
-    return payload.select("batch", "asked", "payload").mapInArrow(run, "batch int, asked array<string>, raw string")
+                got = (None, None, len(spent) == len(models))
+                for k, f in enumerate(models):
+                    if k in spent:
+                        continue
+                    try:
+                        got = (f(p), k, False)
+                        break
+                    except QuotaSpent:
+                        spent.add(k)
+                    except Exception:  # the model is not ours: whatever it raises is a missing answer
+                        continue
+                out.append(got)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.bool_())], names=["batch", "asked", "raw", "model", "stopped"])
+
+    return payload.select("batch", "asked", "payload").mapInArrow(run, "batch int, asked array<string>, raw string, model int, stopped boolean")
 
 
 def accepted(gated: DataFrame, abstain: str = "Unknown") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerstone.sources.shared import positions
+
 #: What follows a company's name on an outlet: nothing, a bracket or dash, or words with digits only.
 MARKER = r"^$|^[(\-\[#/*]|^(\S*[0-9]\S*)(\s+\S*[0-9]\S*)*$"
 
@@ -36,4 +38,5 @@ def priced(suggestions: DataFrame, txns: DataFrame) -> DataFrame:
 
     each = txns.groupBy("merchant_normalized").agg(F.count("*").alias("rows_total"), net_spend().alias("v"))
     m = suggestions.select("prefix", "name", "n", F.explode(F.split("members", ",")).alias("merchant_normalized")).join(each, "merchant_normalized", "left")
-    return m.groupBy("prefix", "name", "n").agg(F.coalesce(F.sum("rows_total"), F.lit(0)).alias("rows_total"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.abs("v")), "name", "prefix")))
+    priced = m.groupBy("prefix", "name", "n").agg(F.coalesce(F.sum("rows_total"), F.lit(0)).alias("rows_total"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
+    return positions(priced, F.desc(F.abs("v")), "name", "prefix", name="place")

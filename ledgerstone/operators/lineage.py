@@ -5,26 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A chain of replacements longer than this is a cycle.
-MOST_HOPS = 16
-
+from ledgerstone.sources.shared import snapshot
 
 def card_label(issuer, last4):
     return F.concat(issuer, F.coalesce(F.concat(F.lit(" ····"), last4), F.lit("")))
 
 
+def paths(accounts: DataFrame) -> DataFrame:
+    """id and path: the card, its replacement, that one's, and so on, up to the last card or to where a card would come again.
+
+    By doubling: each round appends to every path the path of its last card, so a chain of any length takes as many rounds as its length has
+    binary digits. Where chains are flattened, as ``link`` writes them, there is no round. A replacement that is no account ends a path.
+    """
+    step = accounts.select(F.col("id").alias("next"))
+    at = accounts.select("id", F.col("replaced_by_id").alias("next")).join(step, "next", "left_semi").where("next <> id").select("id", "next")
+    at = accounts.select("id").join(at, "id", "left").select("id", F.when(F.col("next").isNull(), F.array("id")).otherwise(F.array("id", "next")).alias("path"))
+    while True:
+        tail = at.select(F.col("id").alias("end"), F.slice("path", 2, 1 << 20).alias("tail")).where("size(tail) > 0")
+        met = at.withColumn("end", F.element_at("path", -1)).join(tail, "end", "left")
+        more = F.expr("slice(tail, 1, coalesce(nullif(array_position(transform(tail, x -> array_contains(path, x)), true), 0) - 1, size(tail)))")
+        met = met.select("id", "path", F.when(F.col("tail").isNotNull(), more).otherwise(F.array().cast("array<bigint>")).alias("more"))
+        if not met.where("size(more) > 0").limit(1).count():
+            return at
+        at = snapshot(met.select("id", F.concat("path", "more").alias("path")))
+
+
 def lineages(accounts: DataFrame) -> DataFrame:
     """account_id, head_id, label, lineage_size for every account: replacements are followed to the last card, stopping where one would be met again."""
-    spark = accounts.sparkSession
-    accounts.createOrReplaceTempView("_lineage_account")
-    heads = spark.sql(f"""
-        WITH RECURSIVE walk(id, at, hop, seen) AS (
-          SELECT id, id, 0, array(id) FROM _lineage_account
-          UNION ALL
-          SELECT w.id, a.replaced_by_id, w.hop + 1, concat(w.seen, array(a.replaced_by_id))
-          FROM walk w JOIN _lineage_account a ON a.id = w.at JOIN _lineage_account n ON n.id = a.replaced_by_id
-          WHERE NOT array_contains(w.seen, a.replaced_by_id) AND w.hop < {MOST_HOPS})
-        SELECT id AS account_id, max_by(at, hop) AS head_id FROM walk GROUP BY id""")
+    heads = paths(accounts).select(F.col("id").alias("account_id"), F.element_at("path", -1).alias("head_id"))
     a = accounts.select("id", "issuer", "last4")
     rows = heads.join(a.withColumnRenamed("id", "account_id"), "account_id").join(a.select(F.col("id").alias("head_id"), F.col("issuer").alias("hi"), F.col("last4").alias("hl")), "head_id")
     was = F.when(F.col("account_id") != F.col("head_id"), F.struct("account_id", F.coalesce(F.concat(F.lit("····"), F.col("last4")), F.col("issuer")).alias("w")))
@@ -57,3 +65,13 @@ def link(accounts: DataFrame, account_id: int, by_id: int | None) -> DataFrame:
     if by_id is not None:
         moved = moved | (F.col("replaced_by_id") == account_id)
     return accounts.withColumn("replaced_by_id", F.when(moved, F.lit(got.head_id).cast("long")).otherwise(F.col("replaced_by_id")))
+
+
+def card_options(accounts: DataFrame) -> DataFrame:
+    """account_id, by_id, label: the cards that each card may be linked to: those a request for would not be refused, newest cards of their lineage only."""
+    heads = lineages(accounts).where("account_id = head_id").select(F.col("account_id").alias("by_id"), "label")
+    a = accounts.select(F.col("id").alias("account_id"), F.col("issuer").alias("_i"))
+    b = accounts.select(F.col("id").alias("by_id"), F.col("issuer").alias("_i")).join(heads, "by_id")
+    pairs = a.join(b, "_i").select("account_id", "by_id", "label")  # cards of one bank
+    ok = replacement_refusal(accounts, pairs.select("account_id", "by_id")).where("reason = ''").select("account_id", "by_id")
+    return pairs.join(ok, ["account_id", "by_id"])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerstone.functions.dates import in_months
@@ -10,6 +12,7 @@ from ledgerstone.functions.money import net_spend
 from ledgerstone.operators.coverage import statement_windows
 from ledgerstone.operators.lineage import card_label
 from ledgerstone.operators.reports import NONE
+from ledgerstone.sources.shared import positions
 
 CATEGORIES = ["Groceries", "Dining", "Transport", "Shopping", "Bills & Utilities", "Health", "Entertainment", "Travel", "Education", "Fees & Interest", "Cash & Transfers", "Income/Refunds", "Other"]  # fixed values
 FLOW_TYPES = ["spend", "refund", "transfer", "fee", "income"]  # fixed values
@@ -41,7 +44,7 @@ def slice_totals(rows: DataFrame) -> DataFrame:
 
 
 def page(rows: DataFrame, number: int = 1, per_page: int = 100) -> DataFrame:
-    """One page, newest first; a page number beyond the ends is the nearest page. total, shown_minor and pages, of the whole slice, are on every row."""
+    """One page, newest first; a page number beyond the ends is the nearest page. total, shown_minor and pages, of the whole slice, are on every row. One job counts the slice first: how far the page lies is part of the plan."""
     got = slice_totals(rows).first()
     pages = max(1, -(-got.total // per_page))
     number = min(max(number, 1), pages)
@@ -99,15 +102,62 @@ def merchant_summary(txns: DataFrame, memory: DataFrame, only_unknown: bool = Fa
 
 def cluster_order(merchants: DataFrame) -> DataFrame:
     """Adds root, root_total and position: variants of one merchant stand together, clusters lead with the money; the weight is the absolute net value."""
-    from pyspark.sql import Window
-
     root = F.substring_index("merchant_normalized", " ", 1)
     m = merchants.withColumn("root", root).withColumn("weight", F.abs("value_minor"))
     m = m.withColumn("root_total", F.sum("weight").over(Window.partitionBy("root")))
-    return m.withColumn("position", F.row_number().over(Window.orderBy(F.desc("root_total"), "root", F.desc("weight"), "merchant_normalized")))
+    return positions(m, F.desc("root_total"), "root", F.desc("weight"), "merchant_normalized")
+
+
+def page_of(rows: DataFrame, number: int, per_page: int = 100, position: str = "position") -> DataFrame:
+    """One page of rows that carry their position; a number beyond the ends is the nearest page. page and pages are on every row."""
+    last = F.greatest(F.lit(1), F.ceil(F.max(position) / per_page))
+    n = rows.agg(F.coalesce(last, F.lit(1)).cast("int").alias("pages")).withColumn("page", F.least(F.greatest(F.lit(number), F.lit(1)), F.col("pages")).cast("int"))
+    return rows.join(F.broadcast(n), F.col(position).between((F.col("page") - 1) * per_page + 1, F.col("page") * per_page))  # one row
+
+
+def undecided(merchants: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row: merchants with uncategorized rows, their net value, and how many keys groups hold."""
+    m = merchants.agg(F.count_if(F.col("unknown") > 0).alias("merchants"), F.coalesce(F.sum(F.when(F.col("unknown") > 0, F.col("value_minor"))), F.lit(0)).alias("value_minor"))
+    return m.join(F.broadcast(groups.agg(F.count("*").alias("grouped_keys"))))
+
+
+def memory_list(memory: DataFrame) -> DataFrame:
+    """Memory entries (with hit_count) and their place: most used first, then by source and key."""
+    return positions(memory, F.desc("hit_count"), "source", "merchant_normalized")
+
+
+def statement_rows(txns: DataFrame, statement_id: int | None = None, source_page: int | None = None) -> DataFrame:
+    """Rows of one statement (all, without one) with their place in it by date and id; of one page of it, which is moved to the nearest that has rows."""
+    t = txns if statement_id is None else txns.where(F.col("statement_id") == statement_id)
+    t = t.withColumn("place", F.row_number().over(Window.partitionBy("statement_id").orderBy("txn_date", "id")))
+    if source_page is None:
+        return t
+    w = Window.partitionBy("statement_id")
+    at = F.least(F.greatest(F.lit(source_page), F.min("source_page").over(w)), F.max("source_page").over(w))
+    return t.withColumn("_at", at).where("source_page = _at").drop("_at")
+
+
+def bad_filters(month: str | list[str] | None = None, category: str | None = None, flow: str | None = None, order: str | None = None) -> list[str]:
+    """Names of the given filters whose values are not of the known kind, before a plan is built."""
+    months = [month] if isinstance(month, str) else list(month or [])
+    checks = {
+        "month": all(re.fullmatch(r"\d{4}-(?:0[1-9]|1[0-2])", m or "") for m in months), "category": category in (None, "", NONE, *CATEGORIES),
+        "flow": flow in (None, "", *FLOW_TYPES), "order": order in (None, "", *STATEMENT_ORDERS),
+    }
+    return [name for name, ok in checks.items() if not ok]
+
+
+def named_like(statements: DataFrame, prefix: str) -> DataFrame:
+    """One row: n, the statements whose file name starts with the prefix."""
+    return statements.where(F.col("filename").startswith(prefix)).agg(F.count("*").alias("n"))
 
 
 def group_list(groups: DataFrame, txns: DataFrame) -> DataFrame:
     """Groups with members, rows and net value; members without rows count as members."""
     each = groups.join(txns, "merchant_normalized", "left").groupBy("group_name", "merchant_normalized").agg(F.count("id").alias("n"), net_spend().alias("v"))
     return each.groupBy("group_name").agg(F.count("*").alias("members"), F.sum("n").alias("n"), F.sum("v").alias("v"), F.array_join(F.sort_array(F.collect_list("merchant_normalized")), ",").alias("names"))
+
+
+def with_account(txns: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Rows with their card's label; rows of no card are left out. Spark broadcasts the accounts if they are small."""
+    return txns.join(accounts.select(F.col("id").alias("account_id"), card_label(F.col("issuer"), F.col("last4")).alias("label")), "account_id")

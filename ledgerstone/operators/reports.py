@@ -208,3 +208,55 @@ def analytics_months(report: DataFrame) -> DataFrame:
     """Complete months with their spend, and why others are left out."""
     why = F.when(F.col("is_complete"), None).when(F.size("missing") > 0, F.concat(F.lit("no statement for "), F.array_join("missing", ", "))).when(F.size("gaps") > 0, F.concat(F.lit("a gap in "), F.array_join("gaps", ", "))).otherwise(F.concat(F.lit("part-billed: "), F.array_join("partial", ", ")))
     return report.select("month", "spend_minor", F.col("is_complete").alias("used"), why.alias("excluded"))
+
+
+def month_detail(txns: DataFrame, lineage: DataFrame, groups: DataFrame, month: str) -> DataFrame:
+    """One month as rows (part, label, n, v, width): category, card and company breakdowns, and held-out flows at gross amount; width is the percent of the part's largest value."""
+    t = txns.where(in_months(F.col("txn_date"), [month]))
+    parts = {"category": by_category(t, month), "card": by_card(t, lineage, month), "company": by_company(t, groups, month).drop("members"), "held out": held_out_flows(t, month).withColumnRenamed("flow_type", "label")}
+    rows = None
+    for name, part in parts.items():
+        one = part.select(F.lit(name).alias("part"), "label", "n", "v")
+        rows = one if rows is None else rows.unionAll(one)
+    top = F.max("v").over(Window.partitionBy("part"))  # a few rows per label
+    return rows.withColumn("width", F.when(top > 0, F.bround(100 * F.col("v") / top).cast("long")))
+
+
+def analytics(report: DataFrame, txns: DataFrame, lineage: DataFrame, groups: DataFrame, months: list[str] | None = None) -> dict[str, DataFrame]:
+    """The report over complete months (of those given, or all): series with the average and extremes, excluded months with reasons, year overlay, rolling mean, and grids by category, card, company and flow. Fewer than two complete months give a series only."""
+    a = analytics_months(report if months is None else report.where(F.col("month").isin(months)))
+    used = a.where("used").select("month", "spend_minor")
+    chosen = sorted(r.month for r in used.select("month").collect())  # one per month
+    out = {"series": used, "excluded": a.where("NOT used").select("month", "excluded"), "extremes": extremes(used)}
+    if len(chosen) < 2:
+        return out
+    grid = {"category": (txns, category_label()), "card": (txns.join(lineage, "account_id"), F.col("label")), "company": (with_company(txns.where(F.coalesce("merchant_normalized", F.lit("")) != ""), groups), company_label())}
+    grids = {f"by_{k}": pivot(t, label, chosen) for k, (t, label) in grid.items()}
+    return out | {"overlay": year_overlay(used), "rolling": rolling_mean(used)} | grids | {"by_company": top_rows(grids["by_company"]), "held_out": gross_pivot(txns, chosen)}
+
+
+def extremes(series: DataFrame, value: str = "spend_minor") -> DataFrame:
+    """One row: n, average, the highest and lowest value and the first month that has it; no row values for an empty series."""
+    first = lambda of: F.min_by("month", F.struct(of, "month"))
+    return series.agg(F.count("*").alias("n"), half_even_mean(F.sum(value), F.count("*")).alias("average"), F.max(value).alias("highest"), first(-F.col(value)).alias("highest_month"), F.min(value).alias("lowest"), first(F.col(value)).alias("lowest_month"))
+
+
+def top_rows(grid: DataFrame, top: int = 12) -> DataFrame:
+    """The rows of a pivot with the largest totals."""
+    return grid.orderBy(F.desc("total"), F.asc_nulls_first("label")).limit(top)
+
+
+def gross_pivot(txns: DataFrame, months: list[str]) -> DataFrame:
+    """Gross amounts of flows other than spend, as a pivot."""
+    t = txns.where(F.col("flow_type") != "spend").withColumn("_flow", F.col("flow_type")).withColumn("flow_type", F.lit("spend"))
+    return pivot(t, F.col("_flow"), months)
+
+
+def year_runs(months: DataFrame, years: int = 3, value: str = "spend_minor") -> DataFrame:
+    """(year, run, points): the runs of neighbouring months of each drawn year, first month and value pairs; a run ends with its year. Nothing where fewer than two years have data."""
+    recent = F.dense_rank().over(Window.orderBy(F.desc("year")))  # a row per month
+    m = months.select(F.substring("month", 1, 4).alias("year"), "month", F.col(value).alias("v")).withColumn("recent", recent)
+    m = m.withColumn("n_years", F.max("recent").over(Window.partitionBy())).where((F.col("recent") <= years) & (F.col("n_years") >= 2))
+    island = month_index(F.col("month")) - F.row_number().over(Window.partitionBy("year").orderBy("month"))
+    g = m.withColumn("island", island).groupBy("year", "island").agg(F.min("month").alias("run"), F.array_sort(F.collect_list(F.struct("month", "v"))).alias("p"))
+    return g.select("year", "run", F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["month"], x["v"].cast("string"))), ",").alias("points"))

@@ -13,10 +13,12 @@ MOST_BYTES = 25 << 20
 
 
 def read_files(spark: SparkSession, path: str, extension: str = "pdf") -> DataFrame:
-    """Files (path, filename, content, length, sha256, refusal): refusal is why a file isn't taken, or null. Spark's reader leaves empty files out by itself."""
+    """Files (path, filename, content, length, sha256, refusal): refusal is why a file isn't taken, or null. Spark's file source leaves empty files out by itself; from any other listing, a length of 0 is refused."""
+    from ledgerstone.sources.ingest import refusal
+
     f = spark.read.format("binaryFile").load(path)
     name = file_name(F.col("path"))
-    why = F.when(~F.lower(name).endswith(f".{extension}"), f"only .{extension} files are read").when(F.col("length") > MOST_BYTES, "the file is larger than 25 MiB")
+    why = refusal(name, F.col("length"), extension)
     return f.select("path", name.alias("filename"), "content", "length", F.sha2("content", 256).alias("sha256"), why.alias("refusal"))
 
 
@@ -31,9 +33,10 @@ def only_new(files: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def decode_text(content: Column) -> Column:
-    """UTF-8 (a byte order mark dropped) where the bytes are valid, else Latin-1: every byte gives a character."""
-    text = content.cast("string")
-    return F.regexp_replace(F.when(F.is_valid_utf8(text), text).otherwise(F.decode(content, "ISO-8859-1")), "^\ufeff", "")
+    """UTF-8 (a byte order mark dropped) where the bytes are valid, else Windows-1252; its five unassigned bytes give the replacement character."""
+    text, high = content.cast("string"), range(0x80, 0xA0)  # elsewhere the code page is Latin-1
+    windows = F.translate(F.decode(content, "ISO-8859-1"), "".join(map(chr, high)), "".join(bytes([b]).decode("cp1252", "replace") for b in high))
+    return F.regexp_replace(F.when(F.is_valid_utf8(text), text).otherwise(windows), "^\ufeff", "")
 
 
 def looks_scanned(text: Column) -> Column:
