@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from ledgerstone.llm._shared import free, shared_table
 
 UND = "und"
-#: Bins of text length.
-BINS = 9
+#: Bins of text length; languages whose sizes are broadcast, some 5 MB at most.
+BINS, BROADCAST_LANGUAGES = 9, 100_000
 #: Held out of learning: crc32 of the id as text leaves this remainder by FOLDS.
 FOLDS, HELD = 4, 2
 _letters: np.ndarray | None = None
@@ -105,7 +105,8 @@ def learn(docs: DataFrame, per_language: int = 300, sample_rows: int = 60_000, d
     n_languages = sizes.count()
     each = max(1, min(per_language, sample_rows // max(1, n_languages)))
     u = F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
-    sample = t.join(sizes, "lang").where(u < F.lit(float(each)) / F.col("n")).select("lang", "id", "text")
+    few = n_languages <= BROADCAST_LANGUAGES  # else Spark decides: no language then holds much of the rows' shuffle by itself
+    sample = t.join(F.broadcast(sizes) if few else sizes, "lang").where(u < F.lit(float(each)) / F.col("n")).select("lang", "id", "text")
     schema = pa.schema([("lang", pa.string()), ("id", pa.string()), ("n", pa.int64()), ("at", pa.binary()), ("counts", pa.binary())])
 
     def count(batches):

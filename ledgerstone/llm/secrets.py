@@ -129,7 +129,9 @@ def scan(docs: DataFrame, fdr: float = 0.05, alpha: float = 0.001, id_col: str =
     if not with_text:
         t = shared_table(docs.sparkSession, t)
     tests = t.where(f"size({x}.tests) > 0").select(F.explode(f"{x}.tests").alias("c")).select("c.*")
-    structured, unlike = _thresholds(tests, "p_random", alpha), _thresholds(tests, "p_text", fdr)
+    cells = tests.groupBy("encoding", F.expr(_length_bin("length")).alias("bin"), F.expr(_p_bin("p_random")).alias("p_random"), F.expr(_p_bin("p_text")).alias("p_text")).agg(F.count("*").alias("n"))
+    cells = shared_table(docs.sparkSession, cells)  # both steps read these few counts, not the texts
+    structured, unlike = _thresholds(cells, "p_random", alpha), _thresholds(cells, "p_text", fdr)
     beyond = lambda p, bounds: "(" + (" OR ".join(f"(c.encoding = '{e}' AND {_length_bin('c.length')} = {b} AND {_p_bin(f'c.{p}')} >= {least})" for e, b, least in bounds) or "false") + ")"
     random = F.expr(f"transform(filter({x}.tests, c -> NOT {beyond('p_random', structured)} AND {beyond('p_text', unlike)}), c -> named_struct('start', c.start, 'rank', 3, 'end', c.end))")
     return t.select(*[F.col(f"`{c}`") for c in own], F.array_sort(F.concat(F.col(f"{x}.base"), random)).alias("secret_spans"))
@@ -143,10 +145,9 @@ def _p_bin(p: str) -> str:
     return f"CAST(floor(least(200D, -10D * log10(greatest({p}, 1e-20D)))) AS INT)"
 
 
-def _thresholds(tests: DataFrame, p: str, level: float) -> list[tuple[str, int, int]]:
+def _thresholds(cells: DataFrame, p: str, level: float) -> list[tuple[str, int, int]]:
     """Benjamini-Hochberg per stratum: the smallest p-value bin whose edge, times the tests over those at least as small, is within the level."""
-    s = tests.select("encoding", F.expr(_length_bin("length")).alias("bin"), F.expr(_p_bin(p)).alias("p"))
-    s = s.groupBy("encoding", "bin", "p").agg(F.count("*").alias("n"))
+    s = cells.groupBy("encoding", "bin", F.col(p).alias("p")).agg(F.sum("n").alias("n"))
     w = Window.partitionBy("encoding", "bin")
     s = s.withColumn("upto", F.sum("n").over(w.orderBy(F.desc("p")))).withColumn("all", F.sum("n").over(w))
     s = s.where(F.pow(F.lit(10.0), -F.col("p") / 10.0) * F.col("all") / F.col("upto") <= level)
