@@ -14,14 +14,9 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _CLASS = "ledgerstone.SuffixKernel"
-_SOURCE = r"""
-package ledgerstone;
-
-/** (text, ends, least) to a bit per byte: a string of least bytes starts there that also starts in an earlier document of the text. */
-public class SuffixKernel implements org.apache.spark.sql.api.java.UDF3 {
-
-  /** Suffix array of s[0..n), symbols below k, after Nong, Zhang and Chan (2009). The end of the text counts as smaller than every symbol. */
-  public static int[] sort(int[] s, int n, int k) {
+# For symbols of type SYMBOL: the bytes of a text, which stay a quarter of the size, and the names of the shorter texts.
+_SORT = r"""  /** Suffix array of s[0..n), symbols from -o and below k - o, after Nong, Zhang and Chan (2009). The end of the text counts as smaller than every symbol. */
+  public static int[] sort(SYMBOL[] s, int n, int k, int o) {
     int[] sa = new int[n];
     if (n < 2) return sa;
     // Classify: a suffix is smaller or larger than its right neighbour. The last one is larger than the empty suffix.
@@ -30,19 +25,19 @@ public class SuffixKernel implements org.apache.spark.sql.api.java.UDF3 {
     for (int i = n - 2; i >= 0; i--) small[i] = s[i] < s[i + 1] || (s[i] == s[i + 1] && small[i + 1]);
     for (int i = 1; i < n; i++) if (small[i] && !small[i - 1]) m++;
     int[] start = new int[k + 1];
-    for (int i = 0; i < n; i++) start[s[i] + 1]++;
+    for (int i = 0; i < n; i++) start[s[i] + o + 1]++;
     for (int c = 0; c < k; c++) start[c + 1] += start[c];
     int[] left = new int[m];
     int q = 0;
     for (int i = 1; i < n; i++) if (small[i] && !small[i - 1]) left[q++] = i;
     int[] at = new int[k];
-    induce(s, n, k, sa, small, start, at, left, m);
+    induce(s, n, k, o, sa, start, at, left, m);
     if (m > 1) {
       // Name the leftmost-smaller substrings in the order found; equal neighbours share a name.
       int[] name = new int[n];
       int[] order = new int[m];
-      int o = 0;
-      for (int i = 0; i < n; i++) { int p = sa[i]; if (p > 0 && small[p] && !small[p - 1]) order[o++] = p; }
+      int found = 0;
+      for (int i = 0; i < n; i++) { int p = sa[i]; if (p > 0 && small[p] && !small[p - 1]) order[found++] = p; }
       int names = 0;
       name[order[0]] = 0;
       for (int i = 1; i < m; i++) {
@@ -53,16 +48,16 @@ public class SuffixKernel implements org.apache.spark.sql.api.java.UDF3 {
         int[] shorter = new int[m];
         for (int i = 0; i < m; i++) shorter[i] = name[left[i]];
         name = null;
-        int[] sub = sort(shorter, m, names + 1);
+        int[] sub = sort(shorter, m, names + 1, 0);
         for (int i = 0; i < m; i++) order[i] = left[sub[i]];
       }
-      induce(s, n, k, sa, small, start, at, order, m);
+      induce(s, n, k, o, sa, start, at, order, m);
     }
     return sa;
   }
 
   /** Leftmost-smaller substrings at a and b are equal in symbols and types. */
-  private static boolean same(int[] s, int n, boolean[] small, int a, int b) {
+  private static boolean same(SYMBOL[] s, int n, boolean[] small, int a, int b) {
     for (int d = 0; ; d++) {
       if (a + d >= n || b + d >= n) return false;
       if (s[a + d] != s[b + d] || small[a + d] != small[b + d]) return false;
@@ -73,18 +68,38 @@ public class SuffixKernel implements org.apache.spark.sql.api.java.UDF3 {
     }
   }
 
-  /** From the order of the leftmost-smaller suffixes, that of all larger ones by a scan to the right, then of all smaller ones by a scan to the left. */
-  private static void induce(int[] s, int n, int k, int[] sa, boolean[] small, int[] start, int[] at, int[] order, int m) {
+  /**
+   * From the order of the leftmost-smaller suffixes, that of all larger ones by a scan to the right, then of all smaller ones by a scan to the left. Where a suffix is
+   * put down, the symbols on its left are at hand, so that its left neighbour's class is known: it is put down as itself if a scan of that class is
+   * to put the neighbour down too, else as its complement. So a scan looks up symbols, far apart in memory, only for suffixes that it puts down. The first
+   * scan complements what it passes: the neighbours it left are the second's.
+   */
+  private static void induce(SYMBOL[] s, int n, int k, int o, int[] sa, int[] start, int[] at, int[] order, int m) {
     java.util.Arrays.fill(sa, -1);
     System.arraycopy(start, 1, at, 0, k);
-    for (int i = m - 1; i >= 0; i--) sa[--at[s[order[i]]]] = order[i];
+    for (int i = m - 1; i >= 0; i--) sa[--at[s[order[i]] + o]] = order[i]; // larger ones are on their left
     System.arraycopy(start, 0, at, 0, k);
-    sa[at[s[n - 1]]++] = n - 1;
-    for (int i = 0; i < n; i++) { int j = sa[i] - 1; if (j >= 0 && !small[j]) sa[at[s[j]]++] = j; }
+    sa[at[s[n - 1] + o]++] = s[n - 2] >= s[n - 1] ? n - 1 : -n;
+    for (int i = 0; i < n; i++) {
+      int v = sa[i];
+      sa[i] = ~v;
+      if (v > 0) { int j = v - 1, c = s[j]; sa[at[c + o]++] = j > 0 && s[j - 1] >= c ? j : ~j; }
+    }
     System.arraycopy(start, 1, at, 0, k);
-    for (int i = n - 1; i >= 0; i--) { int j = sa[i] - 1; if (j >= 0 && small[j]) sa[--at[s[j]]] = j; }
+    for (int i = n - 1; i >= 0; i--) {
+      int v = sa[i];
+      if (v > 0) { int j = v - 1, c = s[j]; sa[--at[c + o]] = j > 0 && s[j - 1] <= c ? j : ~j; }
+      else if (v < 0) sa[i] = ~v;
+    }
   }
+"""
+_SOURCE = r"""
+package ledgerstone;
+
+/** (text, ends, least) to a bit per byte: a string of least bytes starts there that also starts in an earlier document of the text. */
+public class SuffixKernel implements org.apache.spark.sql.api.java.UDF3 {
 
+""" + _SORT.replace("SYMBOL", "byte") + _SORT.replace("SYMBOL", "int") + r"""
   /** Common prefix of each suffix with the one before it in sa, by text position: it shrinks by at most one from a position to the next. */
   public static int[] permutedPrefixes(byte[] t, int[] sa) {
     int n = sa.length;
@@ -108,31 +123,25 @@ public class SuffixKernel implements org.apache.spark.sql.api.java.UDF3 {
     java.nio.IntBuffer b = java.nio.ByteBuffer.wrap((byte[]) bounds).order(java.nio.ByteOrder.LITTLE_ENDIAN).asIntBuffer();
     int[] ends = new int[b.remaining()];
     b.get(ends);
-    int[] s = new int[n];
-    for (int i = 0; i < n; i++) s[i] = t[i] & 255;
-    int[] sa = sort(s, n, 256);
-    s = null;
+    int[] sa = sort(t, n, 256, 128); // bytes in signed order: any order of symbols brings equal prefixes together
     int[] lcp = permutedPrefixes(t, sa);
+    boolean[] deep = new boolean[n]; // a byte per place: the walk in suffix order reads it at random
+    for (int i = 0; i < n; i++) deep[i] = lcp[i] >= least;
+    int[] of = lcp; // from here on the document of each place
+    for (int d = 0, p = 0; d < ends.length; d++) for (; p < ends[d]; p++) of[p] = d;
     byte[] gone = new byte[(n + 7) / 8];
     for (int i = 0; i < n; ) {
       int j = i + 1;
-      while (j < n && lcp[sa[j]] >= least) j++;
+      while (j < n && deep[sa[j]]) j++;
       if (j - i > 1) {
         int first = Integer.MAX_VALUE;
-        for (int x = i; x < j; x++) { int d = document(ends, sa[x]); if (ends[d] - sa[x] >= least && d < first) first = d; }
-        for (int x = i; x < j; x++) { int d = document(ends, sa[x]); if (ends[d] - sa[x] >= least && d > first) gone[sa[x] >> 3] |= (byte) (128 >> (sa[x] & 7)); }
+        for (int x = i; x < j; x++) { int p = sa[x], d = of[p]; if (d < first && ends[d] - p >= least) first = d; }
+        for (int x = i; x < j; x++) { int p = sa[x], d = of[p]; if (d > first && ends[d] - p >= least) gone[p >> 3] |= (byte) (128 >> (p & 7)); }
       }
       i = j;
     }
     return gone;
   }
-
-  /** The document that holds byte p: the first whose end lies beyond it. */
-  private static int document(int[] ends, int p) {
-    int lo = 0, hi = ends.length - 1;
-    while (lo < hi) { int mid = (lo + hi) >>> 1; if (ends[mid] > p) hi = mid; else lo = mid + 1; }
-    return lo;
-  }
 }
 """
 _ready: set[str] = set()
