@@ -1,6 +1,6 @@
 """Exact top-k search by inner product, pruning ranges and blocks of vectors.
 
-Vectors are rounded down to integers (``floor(scale * x)``), so scores are exact. Vectors lie in id order in ranges, and ranges in blocks of ``BLOCK_ROWS`` rows. Either keeps, for each
+Vectors are rounded down to integers (``floor(scale * x)``), so scores are exact. Vectors lie in id order in ranges, whose number follows from the rows and not from Spark's partitions, and ranges in blocks of ``BLOCK_ROWS`` rows. Either keeps, for each
 term (dimension), its largest and smallest value; a block keeps its rows as a forward index. For a query, a bound is the sum over terms of the larger of
 weight x maximum and weight x minimum. A range is searched block at a time: every query visits blocks by descending bound and scores them whole, until the bound falls below its
 k-th best score; equal bounds are still visited, because ties go to the smaller id. Queries that are at the same block are scored together, by one product of matrices.
@@ -21,10 +21,12 @@ import math
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerstone.llm._chunks import MOST_TASKS, place
 from ledgerstone.llm._shared import shared_table
 
 BATCH_ROWS, BLOCK_ROWS, LEAST_ROWS, MOST_ROWS, RANGES = 2048, 128, 1024, 1 << 19, 32
@@ -166,8 +168,45 @@ def _arrays(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.value_lengths(), np.int64), column.flatten().to_numpy(zero_copy_only=False)
 
 
+def cut_ranges(keys: DataFrame, range_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Last (id, h) of every range of at least range_rows rows, but for the last one, and about a quarter more at most.
+
+    Every partition of the sorted keys reports each quarter of a range and its end; the driver gets these reports only, and joins them to ranges in order.
+    """
+    step = max(1, range_rows // 4)
+    found = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("n", pa.int64())])
+
+    def ends(batches):
+        n, last = 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            at = np.arange(step - 1 - n % step, len(ids), step)
+            if len(at):
+                yield pa.record_batch([pa.array(ids[at]), pa.array(h[at]), pa.array(np.full(len(at), step))], schema=found)
+            n, last = n + len(ids), (ids[-1], h[-1])
+        if n % step:
+            yield pa.record_batch([pa.array([last[0]]), pa.array([last[1]]), pa.array([n % step])], schema=found)
+
+    told = keys.repartitionByRange("id", "h").sortWithinPartitions("id", "h").mapInArrow(ends, "id long, h long, n long").toArrow()
+    cuts, held = [], 0
+    rows = sorted(zip(*(told.column(c).to_pylist() for c in ("id", "h", "n")), strict=True))
+    for i, (key, h, n) in enumerate(rows):
+        held += n
+        if held >= range_rows or i == len(rows) - 1:
+            cuts, held = [*cuts, (key, h)] if not cuts or cuts[-1] != (key, h) else cuts, 0
+    return np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)
+
+
 def index(candidates: DataFrame, range_rows: int, scale: float) -> DataFrame:
-    """Ranges of at most range_rows rows of one length each, in id order, with their maxima and forward index."""
+    """Ranges of about range_rows rows of one length each, in id order, with their maxima and forward index. Rows of equal id and rounded vector lie in one range, unless they are more than twice range_rows."""
+    keyed = candidates.select("id", F.xxhash64(F.transform("v", lambda x: F.floor(x * scale))).alias("h"), "v")
+    cut_ids, cut_hashes = cut_ranges(keyed.select("id", "h"), range_rows)
+
+    @F.pandas_udf("int")
+    def where(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(place(ids.to_numpy(), hashes.to_numpy(), cut_ids, cut_hashes))
 
     def build(batches):
         from pyspark import TaskContext
@@ -187,20 +226,27 @@ def index(candidates: DataFrame, range_rows: int, scale: float) -> DataFrame:
             at += 1
             return pa.record_batch([[at - 1], pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32()), [high.astype("<f8").tobytes()], [low.astype("<f8").tobytes()], [kind], [ids.astype("<i8").tobytes()], [raw]], schema=_RANGE_ARROW)
 
+        now = None
         for batch in batches:
-            ids, (sizes, flat) = batch.column(0).to_numpy(), _arrays(batch.column(1))
+            ranges, ids, (sizes, flat) = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _arrays(batch.column(2))
             starts = np.cumsum(sizes) - sizes
-            for dim in np.unique(sizes).tolist():
-                mine = np.flatnonzero(sizes == dim)
-                for k in range(0, len(mine), range_rows):
-                    some = mine[k : k + range_rows]
+            for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(ranges)) + 1):
+                if not len(part):
+                    continue
+                if ranges[part[0]] != now:
+                    for dim in list(held):
+                        yield flush(dim)
+                    now = ranges[part[0]]
+                for dim in np.unique(sizes[part]).tolist():
+                    some = part[sizes[part] == dim]
                     held.setdefault(dim, []).append((ids[some], flat[(starts[some][:, None] + np.arange(dim)).ravel()]))
-                    if sum(len(h[0]) for h in held[dim]) >= range_rows:
+                    if sum(len(h[0]) for h in held[dim]) >= 2 * range_rows:
                         yield flush(dim)
         for dim in list(held):
             yield flush(dim)
 
-    return candidates.select("id", "v").repartitionByRange("id").sortWithinPartitions("id").mapInArrow(build, _RANGE)
+    dealt = keyed.select(where("id", "h").alias("r"), "id", "h", "v").repartitionById(max(1, min(len(cut_ids), MOST_TASKS)), "r")
+    return dealt.sortWithinPartitions("r", "id", "h").select("r", "id", "v").mapInArrow(build, _RANGE)
 
 
 def search(queries: DataFrame, candidates: DataFrame, k: int = 20, scale: float = 64.0, range_rows: int | None = None, batch_rows: int = BATCH_ROWS) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerstone.llm import language_id, mixing, quality_rules, secrets
 from ledgerstone.llm.queries import QUERIES
-from ledgerstone.llm.topk_search import Range, finite_vectors, search
+from ledgerstone.llm.topk_search import Range, finite_vectors, index, search
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -413,6 +413,16 @@ def test_topk_of_huge_and_few(spark):
     assert len(search(v.where("id = 0"), v.where("id < 5")).collect()) == 4
 
 
+def test_ranges_follow_rows_not_partitions(spark):
+    rows = [(i // 2, [float(i % 5), 1.0]) for i in range(600)] + [(7, [0.0, 1.0])] * 50
+    v = finite_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).repartition(60)
+    ranges = index(v, 100, 64.0).collect()
+    assert sum(r.n for r in ranges) == 650
+    assert 4 <= len(ranges) <= 7
+    same = [r.r for r in ranges if (np.frombuffer(r.ids, "<i8") == 7).sum() >= 50]
+    assert len(same) == 1
+
+
 def test_blocks_and_ranges_are_pruned(spark):
     rng = np.random.default_rng(0)
     rows = np.repeat(rng.integers(-60, 60, (40, 16)), 50, axis=0) + rng.integers(-3, 3, (2000, 16))
