@@ -24,4 +24,4 @@ def positions(df: DataFrame, *order, name: str = "position") -> DataFrame:
     rows = snapshot(rows.withColumn("_part", F.shiftright(at, 33)).withColumn("_place", at.bitwiseAND((1 << 33) - 1)))
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per range
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return rows.join(before, "_part").withColumn(name, (F.col("_before") + F.col("_place") + 1).cast("int")).drop("_part", "_place", "_before")
+    return rows.join(before, "_part").withColumn(name, (F.col("_before") + F.col("_place") + 1).cast("long")).drop("_part", "_place", "_before")
