@@ -7,9 +7,10 @@ Features are runs of 1 to ``longest`` words. Their strings are counted in a dist
 2. a group of the dictionary has all counts of its strings. It hashes each distinct string once to a bucket, sums counts by bucket, and answers every blob with its
    strings' buckets, by position;
 3. bucket sums of documents and target give each bucket a gain, a log ratio of smoothed shares;
-4. each chunk derives its features again, meets the answers, and sums gains over each document's feature counts.
+4. each chunk derives its features again, meets the answers and the gains, and sums gains over each document's feature counts.
 
-Strings are told apart as strings everywhere; hashes only deal them to groups. The driver holds one gain a bucket, whose number is a parameter.
+Strings are told apart as strings everywhere; hashes only deal them to groups. All of it is one plan: texts are shuffled once, compressed, and read twice from the same
+shuffle, and so are the answers. The gains, whose number is a parameter, are one row that is copied to each chunk.
 """
 
 from __future__ import annotations
@@ -19,15 +20,17 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerstone.llm import _chunks as C
-from ledgerstone.llm._shared import shared_table
+from ledgerstone.llm._shared import free, shared_table
 from ledgerstone.sources.shared import positions
 
-#: Strings of a blob, of a blob at least, and of a group of the dictionary before blobs shrink (some 0.2 GB in a task).
-BLOB_STRINGS, LEAST_STRINGS, GROUP_STRINGS = 4096, 32, 1 << 23
+#: Bytes of text of a chunk; strings of a blob, of a blob at least, and of a group of the dictionary before blobs shrink (some 0.3 GB in a task).
+CHUNK_BYTES = 8 << 20
+BLOB_STRINGS, LEAST_STRINGS, GROUP_STRINGS = 16384, 32, 1 << 22
 #: Distinct features a byte of a chunk's text, about; sets the number of groups.
 PER_BYTE = 1 / 8
 
@@ -36,9 +39,9 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _INK = np.zeros(256, bool)
 _INK[ord("0") : ord("9") + 1] = _INK[ord("a") : ord("z") + 1] = _INK[0x80:] = True
 
-ANSWERS = "bucket int, chunk int, codes binary, sums array<struct<code: int, n: bigint>>"
-_SUMS = pa.list_(pa.struct([("code", pa.int32()), ("n", pa.int64())]))
-_ANSWERS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("codes", pa.binary()), ("sums", _SUMS)])
+ANSWERS = "bucket int, chunk int, codes binary, sums binary"
+_ANSWERS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("codes", pa.binary()), ("sums", pa.binary())])
+_SUMS = pa.schema([("code", pa.int32()), ("n", pa.int64())])
 WEIGHED = "doc_id long, text string, n_words long, n_features long, weight long"
 _WEIGHED = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_features", pa.int64()), ("weight", pa.int64())])
 
@@ -77,14 +80,18 @@ class Features:
             at = np.flatnonzero(C.inside(self.bounds, k, self.n))
             before = np.zeros(self.n, np.int64)
             before[self.at[-1]] = gram
-            code, codes = _numbered(pa.array(before[at] * max(1, len(distinct)) + word[at + k - 1]))
-            head, tail = np.divmod(codes.to_numpy(), max(1, len(distinct)))
+            place, codes = _numbered(pa.array(before[at] * max(1, len(distinct)) + word[at + k - 1]))
+            codes = codes.to_numpy()
+            order = np.argsort(codes)  # runs that begin alike lie together and compress well
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            gram = rank[place]
+            head, tail = np.divmod(codes[order], max(1, len(distinct)))
             own = pc.binary_join_element_wise(own.take(pa.array(head)), distinct.take(pa.array(tail)), pa.scalar(b" ", pa.large_binary()))
             with np.errstate(over="ignore"):
                 own_hashes = C.pair(own_hashes[head], hashes[tail])
-            gram = code
             self.at.append(at)
-            self.which.append(code + sum(len(p) for p in parts))
+            self.which.append(gram + sum(len(p) for p in parts))
             parts.append(own)
             part_hashes.append(own_hashes)
         self.strings = pa.concat_arrays(parts)
@@ -116,57 +123,95 @@ def _string_hashes(strings: pa.Array) -> np.ndarray:
         return C.mix(upto[ends[1:]] - upto[ends[:-1]])
 
 
-def _dictionary(chunks: DataFrame, layout: C.Layout, longest: int, buckets: int, n_groups: int) -> DataFrame:
-    """ANSWERS: a row for each blob with its strings' buckets, and a row for each group with the counts of its buckets."""
-    wide = "<u2" if buckets <= 1 << 16 else "<u4"
+def _lines(strings: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The strings, each followed by a line feed, which none holds, and the offsets of each."""
+    lines = pc.binary_join_element_wise(strings, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
+    ends = np.frombuffer(lines.buffers()[1], np.int64)[: len(lines) + 1] if len(lines) else np.zeros(1, np.int64)
+    return memoryview(lines.buffers()[2] or b""), ends
+
+
+def _pressed(placed: DataFrame) -> DataFrame:
+    """Rows of chunk_docs with their texts compressed, for the shuffle."""
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(3).compress
+        for b in batches:
+            yield pa.record_batch([*b.columns[:3], pa.array([press(x.as_buffer()) for x in b.column(3)], pa.binary())], names=b.schema.names)
+
+    return placed.mapInArrow(run, placed.schema)
 
-    def send(table: pa.Table) -> pa.Table:
-        c = C.Chunk(table)
-        f = Features(c, longest, n_groups)
-        counts = f.counts()[f.order].astype("<u4")
-        strings = f.strings.take(pa.array(f.order))
-        cut = np.searchsorted(f.groups[f.order], np.arange(n_groups + 1, dtype=np.uint64))
-        return C.blobs([(g, c.index, b"\n".join(strings.slice(i, j - i).to_pylist()), counts[i:j].tobytes()) for g, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i])
 
-    def meet(table: pa.Table) -> pa.Table:
-        rows = C.rows_of(table)
-        text = np.frombuffer(b"".join(r[2] + b"\n" for r in rows), np.uint8)
-        ends = np.flatnonzero(text == 10)
-        which, distinct = _numbered(_binary(text[text != 10], np.diff(ends, prepend=-1) - 1))
-        counts = np.zeros(len(distinct), np.int64)
-        np.add.at(counts, which, np.concatenate([np.frombuffer(r[3], "<u4") for r in rows]).astype(np.int64))
-        code = np.fromiter((zlib.crc32(s) % buckets for s in distinct.to_pylist()), np.int64, len(distinct))
-        sums = np.zeros(buckets, np.int64)
-        np.add.at(sums, code, counts)
-        parts = np.split(code[which].astype(wide), np.cumsum([len(r[3]) // 4 for r in rows])[:-1])
-        some = np.flatnonzero(sums)
-        told = [{"code": int(k), "n": int(sums[k])} for k in some]
-        groups, chunks, codes = [*(r[0] for r in rows), rows[0][0]], [*(r[1] for r in rows), -1], [*(p.tobytes() for p in parts), None]
-        return pa.table([pa.array(groups, pa.int32()), pa.array(chunks, pa.int32()), pa.array(codes, pa.binary()), pa.array([*[None] * len(rows), told], _SUMS)], schema=_ANSWERS)
+def _chunk(table: pa.Table) -> C.Chunk:
+    back = zstandard.ZstdDecompressor().decompress
+    return C.Chunk(table.set_column(3, "text", pa.array([back(x) for x in table.column(3).to_pylist()], pa.binary())))
 
-    sent = chunks.groupBy("chunk").applyInArrow(send, C.BLOB)
-    return layout.deal(sent, "bucket", n_groups).groupBy("bucket").applyInArrow(meet, ANSWERS)
 
+class _Dictionary:
+    """Chunks of a table and the dictionary of their features."""
 
-def _groups(layout: C.Layout) -> int:
-    return max(1, -(-int(layout.chunk_bytes * PER_BYTE) // max(LEAST_STRINGS, min(BLOB_STRINGS, GROUP_STRINGS // layout.n))))
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, longest: int, buckets: int):
+        placed, self.layout = C.chunk_docs(docs, id_col, text_col, chunk_bytes, dealt=False)
+        self.chunks = self.layout.deal(_pressed(placed))
+        self.n_groups = n_groups = max(1, -(-int(self.layout.chunk_bytes * PER_BYTE) // max(LEAST_STRINGS, min(BLOB_STRINGS, GROUP_STRINGS // self.layout.n))))
+        wide = _wide(buckets)
 
+        def send(table: pa.Table) -> pa.Table:
+            c = _chunk(table)
+            f = Features(c, longest, n_groups)
+            counts = f.counts()[f.order].astype("<u4")
+            lines, ends = _lines(f.strings.take(pa.array(f.order)))
+            cut = np.searchsorted(f.groups[f.order], np.arange(n_groups + 1, dtype=np.uint64))
+            return C.blobs([(g, c.index, zlib.compress(lines[ends[i] : ends[j]], 1), zlib.compress(counts[i:j].tobytes(), 1)) for g, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i])
 
-def _bucket_sums(told: DataFrame) -> DataFrame:
-    return told.where("chunk < 0").select(F.explode("sums").alias("s")).groupBy("s.code").agg(F.sum("s.n").alias("n"))
+        def meet(table: pa.Table) -> pa.Table:
+            rows = C.rows_of(table)
+            text = np.frombuffer(b"".join(zlib.decompress(r[2]) for r in rows), np.uint8)
+            counts = [np.frombuffer(zlib.decompress(r[3]), "<u4") for r in rows]
+            ends = np.flatnonzero(text == 10)
+            which, distinct = _numbered(_binary(text[text != 10], np.diff(ends, prepend=-1) - 1))
+            total = np.zeros(len(distinct), np.int64)
+            np.add.at(total, which, np.concatenate(counts).astype(np.int64))
+            code = np.fromiter(map(zlib.crc32, bytes(_lines(distinct)[0]).split(b"\n")), np.int64, len(distinct)) % buckets
+            sums = np.zeros(buckets, np.int64)
+            np.add.at(sums, code, total)
+            some = np.flatnonzero(sums)
+            told = np.stack([some, sums[some]]).astype("<i8").tobytes()
+            parts = np.split(code[which].astype(wide), np.cumsum([len(n) for n in counts])[:-1])
+            own = rows[0][0] % len(rows)  # the group's sums go with one of its answers
+            return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([told if k == own else None for k in range(len(rows))], pa.binary())], schema=_ANSWERS)
+
+        def gather(table: pa.Table) -> pa.Table:
+            sums = np.zeros(buckets, np.int64)
+            for told in table.column("sums").to_pylist():
+                if told:
+                    code, n = np.frombuffer(told, "<i8").reshape(2, -1)
+                    sums[code] += n
+            some = np.flatnonzero(sums)
+            return pa.table([pa.array(some.astype(np.int32)), pa.array(sums[some])], schema=_SUMS)
+
+        sent = self.chunks.groupBy("chunk").applyInArrow(send, C.BLOB)
+        met = self.layout.deal(sent, "bucket", n_groups).groupBy("bucket").applyInArrow(meet, ANSWERS)
+        self.answers = self.layout.deal(met)
+        #: (code, n) of every bucket with features. Read by a function, so that the plan below stays that of the answers and is run once.
+        self.sums = self.answers.groupBy("chunk").applyInArrow(gather, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def _wide(buckets: int) -> str:
+    return "<u2" if buckets <= 1 << 16 else "<u4"
 
 
 def bucket_gains(raw: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
-    """(code, gain) of every bucket from (code, n) of raw and target features: floor(1000 * ln) of the ratio of shares, each count raised by one."""
-    spark = raw.sparkSession
-    raw, target = shared_table(spark, raw.withColumnRenamed("n", "s")), shared_table(spark, target.withColumnRenamed("n", "t"))
-    s, t = (df.agg(F.coalesce(F.sum(c), F.lit(0))).first()[0] for df, c in ((raw, "s"), (target, "t")))
-    every = spark.range(buckets).select(F.col("id").cast("int").alias("code")).join(raw, "code", "left").join(target, "code", "left").fillna(0)
-    ratio = ((F.col("t") + 1).cast("double") * F.lit(float(s + buckets))) / ((F.col("s") + 1).cast("double") * F.lit(float(t + buckets)))
-    return every.select("code", F.floor(1000 * F.log(ratio)).cast("long").alias("gain"))
+    """One row: the gains of all buckets, from (code, n) of raw and target features. A gain is floor(1000 * ln) of the ratio of shares, each count raised by one."""
+    none = F.lit(0).cast("long")
+    each = raw.sparkSession.range(buckets).select(F.col("id").cast("int").alias("code"), none.alias("s"), none.alias("t"))
+    each = each.unionAll(raw.select("code", "n", none)).unionAll(target.select("code", none, "n")).groupBy("code").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
+    total = lambda c: (F.sum(c).over(Window.partitionBy(F.lit(0))) + buckets).cast("double")  # noqa: E731  over one row a bucket
+    ratio = ((F.col("t") + 1).cast("double") * total("s")) / ((F.col("s") + 1).cast("double") * total("t"))
+    each = each.select("code", F.floor(1000 * F.log(ratio)).cast("long").alias("gain"))
+    return each.agg(F.array_sort(F.array_agg(F.struct("code", "gain"))).alias("all")).select(F.col("all.gain").alias("gains"))
 
 
-def importance_weights(docs: DataFrame, target: DataFrame, longest: int = 2, buckets: int = 10_000, id_col: str = "doc_id", text_col: str = "text", target_text_col: str | None = None, with_text: bool = True, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
+def importance_weights(docs: DataFrame, target: DataFrame, longest: int = 2, buckets: int = 10_000, id_col: str = "doc_id", text_col: str = "text", target_text_col: str | None = None, with_text: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Each document's importance weight: doc_id, text (null unless with_text), n_words, n_features, weight.
 
     Words are runs of letters a-z (A-Z lower-cased), digits and characters beyond ASCII; features are all runs of 1 to ``longest`` of them. weight is the floored mean
@@ -176,33 +221,28 @@ def importance_weights(docs: DataFrame, target: DataFrame, longest: int = 2, buc
     """
     if longest < 1 or not 1 <= buckets <= 1 << 24:
         raise ValueError("longest must be 1 or more, buckets 1 to 2^24")
-    spark = docs.sparkSession
-    chunks, layout = C.chunk_docs(docs, id_col, text_col, chunk_bytes)
-    aims, aim_layout = C.chunk_docs(target.withColumn("_target_id", F.lit(0).cast("long")) if "_target_id" not in target.columns else target, "_target_id", target_text_col or text_col, chunk_bytes)
-    n_groups = _groups(layout)
-    told = shared_table(spark, _dictionary(chunks, layout, longest, buckets, n_groups))
-    sums = _bucket_sums(_dictionary(aims, aim_layout, longest, buckets, _groups(aim_layout)))
-    found = bucket_gains(_bucket_sums(told), sums, buckets).toArrow()  # a row a bucket
-    gains = np.zeros(buckets, np.int64)
-    gains[found.column("code").to_numpy()] = found.column("gain").to_numpy()
-    wide = "<u2" if buckets <= 1 << 16 else "<u4"
-
-    def weigh(table: pa.Table, answers: pa.Table) -> pa.Table:
+    known = _Dictionary(docs, id_col, text_col, chunk_bytes, longest, buckets)
+    aim_id = free(target.columns, "_id")
+    aim = _Dictionary(target.withColumn(aim_id, F.lit(0)), aim_id, target_text_col or text_col, chunk_bytes, longest, buckets)
+    copies = bucket_gains(known.sums, aim.sums, buckets).select(F.explode(F.sequence(F.lit(0), F.lit(known.layout.n - 1))).alias("chunk"), "gains")
+    n_groups, wide = known.n_groups, _wide(buckets)
+
+    def weigh(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _WEIGHED.empty_table()
-        c = C.Chunk(table)
+        c = _chunk(table)
         f = Features(c, longest, n_groups)
-        got = sorted(zip(answers.column("bucket").to_pylist(), answers.column("codes").to_pylist(), strict=True), key=lambda r: r[0])
+        got = sorted(zip(*(told.column(x).to_pylist() for x in ("bucket", "codes")), strict=True), key=lambda r: r[0])
+        gains = told.column("gains").combine_chunks().flatten().to_numpy()
         gain = np.zeros(len(f.strings), np.int64)
-        gain[f.order] = gains[np.frombuffer(b"".join(r[1] for r in got), wide)]
-        n_words = np.diff(f.bounds)
+        gain[f.order] = gains[np.frombuffer(b"".join(r[1] for r in got if r[0] >= 0), wide)]
         n = f.of_documents(np.ones(len(f.strings), np.int64))
         weight = f.of_documents(gain) // np.maximum(n, 1)
         texts = pa.array([x.decode() for x in c.texts] if with_text else [None] * len(c.ids), pa.string())
-        return pa.table([pa.array(c.ids, pa.int64()), texts, pa.array(n_words, pa.int64()), pa.array(n, pa.int64()), pa.array(weight, pa.int64())], schema=_WEIGHED)
+        return pa.table([pa.array(c.ids, pa.int64()), texts, pa.array(np.diff(f.bounds), pa.int64()), pa.array(n, pa.int64()), pa.array(weight, pa.int64())], schema=_WEIGHED)
 
-    answers = layout.deal(told.where("chunk >= 0").select("chunk", "bucket", "codes"))
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(weigh, WEIGHED)
+    told = known.answers.select("chunk", "bucket", "codes", "sums", F.lit(None).cast("array<bigint>").alias("gains")).unionByName(copies.withColumn("bucket", F.lit(-1)), allowMissingColumns=True)
+    return known.chunks.groupBy("chunk").cogroup(known.layout.deal(told).groupBy("chunk")).applyInArrow(weigh, WEIGHED)
 
 
 def resample(docs: DataFrame, target: DataFrame, percent: int = 25, least_words: int = 20, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
