@@ -7,10 +7,10 @@ Features are runs of 1 to ``longest`` words. Their strings are counted in a dist
 2. a group of the dictionary has all counts of its strings. It hashes each distinct string once to a bucket, sums counts by bucket, and answers every blob with its
    strings' buckets, by position;
 3. bucket sums of documents and target give each bucket a gain, a log ratio of smoothed shares;
-4. each chunk derives its features again, meets the answers and the gains, and sums gains over each document's feature counts.
+4. each chunk derives its features again and meets the answers, which makes each document's counts of buckets; gains are joined to these and summed.
 
 Strings are told apart as strings everywhere; hashes only deal them to groups. All of it is one plan: texts are shuffled once, compressed, and read twice from the same
-shuffle, and so are the answers. The gains, whose number is a parameter, are one row that is copied to each chunk.
+shuffle, and so are the answers. The gains, whose number is a parameter, are one row.
 """
 
 from __future__ import annotations
@@ -21,16 +21,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerstone.llm import _chunks as C
 from ledgerstone.llm._shared import free, shared_table
 from ledgerstone.sources.shared import positions
 
-#: Bytes of text of a chunk; strings of a blob, of a blob at least, and of a group of the dictionary before blobs shrink (some 0.3 GB in a task).
+#: Bytes of text of a chunk; strings of a blob, of a blob at least, and of a group of the dictionary before blobs shrink (some 0.2 GB in a task).
 CHUNK_BYTES = 8 << 20
-BLOB_STRINGS, LEAST_STRINGS, GROUP_STRINGS = 16384, 32, 1 << 22
+BLOB_STRINGS, LEAST_STRINGS, GROUP_STRINGS = 8192, 32, 1 << 21
 #: Distinct features a byte of a chunk's text, about; sets the number of groups.
 PER_BYTE = 1 / 8
 
@@ -42,8 +42,8 @@ _INK[ord("0") : ord("9") + 1] = _INK[ord("a") : ord("z") + 1] = _INK[0x80:] = Tr
 ANSWERS = "bucket int, chunk int, codes binary, sums binary"
 _ANSWERS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("codes", pa.binary()), ("sums", pa.binary())])
 _SUMS = pa.schema([("code", pa.int32()), ("n", pa.int64())])
-WEIGHED = "doc_id long, text string, n_words long, n_features long, weight long"
-_WEIGHED = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_features", pa.int64()), ("weight", pa.int64())])
+COUNTED = "doc_id long, text string, n_words long, codes array<int>"
+_COUNTED = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("codes", pa.list_(pa.int32()))])
 
 
 def _binary(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
@@ -101,15 +101,17 @@ class Features:
     def counts(self) -> np.ndarray:
         return np.bincount(np.concatenate(self.which), minlength=len(self.strings))
 
-    def of_documents(self, value: np.ndarray) -> np.ndarray:
-        """Sums of a value of each distinct feature over the documents' features."""
-        out = np.zeros(len(self.bounds) - 1, np.int64)
-        for at, which in zip(self.at, self.which, strict=True):
-            here = np.zeros(self.n + 1, np.int64)
-            here[at + 1] = value[which]
-            upto = np.cumsum(here)
-            out += upto[self.bounds[1:]] - upto[self.bounds[:-1]]
-        return out
+    def of_documents(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A value of each distinct feature, for all features document by document, and where each document's begin and end."""
+        ends = [np.searchsorted(at, self.bounds) for at in self.at]
+        out = np.empty(sum(len(at) for at in self.at), value.dtype)
+        upto = np.sum(ends, axis=0)
+        first = upto[:-1]
+        for end, which in zip(ends, self.which, strict=True):
+            n = np.diff(end)
+            out[np.arange(len(which)) + np.repeat(first - end[:-1], n)] = value[which]
+            first = first + n
+        return out, upto
 
 
 def _string_hashes(strings: pa.Array) -> np.ndarray:
@@ -161,12 +163,14 @@ class _Dictionary:
             counts = f.counts()[f.order].astype("<u4")
             lines, ends = _lines(f.strings.take(pa.array(f.order)))
             cut = np.searchsorted(f.groups[f.order], np.arange(n_groups + 1, dtype=np.uint64))
-            return C.blobs([(g, c.index, zlib.compress(lines[ends[i] : ends[j]], 1), zlib.compress(counts[i:j].tobytes(), 1)) for g, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i])
+            press = zstandard.ZstdCompressor(6).compress
+            return C.blobs([(g, c.index, press(lines[ends[i] : ends[j]]), press(counts[i:j].tobytes())) for g, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i])
 
         def meet(table: pa.Table) -> pa.Table:
             rows = C.rows_of(table)
-            text = np.frombuffer(b"".join(zlib.decompress(r[2]) for r in rows), np.uint8)
-            counts = [np.frombuffer(zlib.decompress(r[3]), "<u4") for r in rows]
+            back = zstandard.ZstdDecompressor().decompress
+            text = np.frombuffer(b"".join(back(r[2]) for r in rows), np.uint8)
+            counts = [np.frombuffer(back(r[3]), "<u4") for r in rows]
             ends = np.flatnonzero(text == 10)
             which, distinct = _numbered(_binary(text[text != 10], np.diff(ends, prepend=-1) - 1))
             total = np.zeros(len(distinct), np.int64)
@@ -205,7 +209,7 @@ def bucket_gains(raw: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
     none = F.lit(0).cast("long")
     each = raw.sparkSession.range(buckets).select(F.col("id").cast("int").alias("code"), none.alias("s"), none.alias("t"))
     each = each.unionAll(raw.select("code", "n", none)).unionAll(target.select("code", none, "n")).groupBy("code").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
-    total = lambda c: (F.sum(c).over(Window.partitionBy(F.lit(0))) + buckets).cast("double")  # noqa: E731  over one row a bucket
+    total = lambda c: (each.agg(F.sum(c)).scalar() + buckets).cast("double")
     ratio = ((F.col("t") + 1).cast("double") * total("s")) / ((F.col("s") + 1).cast("double") * total("t"))
     each = each.select("code", F.floor(1000 * F.log(ratio)).cast("long").alias("gain"))
     return each.agg(F.array_sort(F.array_agg(F.struct("code", "gain"))).alias("all")).select(F.col("all.gain").alias("gains"))
@@ -224,25 +228,27 @@ def importance_weights(docs: DataFrame, target: DataFrame, longest: int = 2, buc
     known = _Dictionary(docs, id_col, text_col, chunk_bytes, longest, buckets)
     aim_id = free(target.columns, "_id")
     aim = _Dictionary(target.withColumn(aim_id, F.lit(0)), aim_id, target_text_col or text_col, chunk_bytes, longest, buckets)
-    copies = bucket_gains(known.sums, aim.sums, buckets).select(F.explode(F.sequence(F.lit(0), F.lit(known.layout.n - 1))).alias("chunk"), "gains")
+    gains = bucket_gains(known.sums, aim.sums, buckets).scalar()  # one row of so many numbers
     n_groups, wide = known.n_groups, _wide(buckets)
 
-    def weigh(table: pa.Table, told: pa.Table) -> pa.Table:
+    def count(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _WEIGHED.empty_table()
+            return _COUNTED.empty_table()
         c = _chunk(table)
         f = Features(c, longest, n_groups)
         got = sorted(zip(*(told.column(x).to_pylist() for x in ("bucket", "codes")), strict=True), key=lambda r: r[0])
-        gains = told.column("gains").combine_chunks().flatten().to_numpy()
-        gain = np.zeros(len(f.strings), np.int64)
-        gain[f.order] = gains[np.frombuffer(b"".join(r[1] for r in got if r[0] >= 0), wide)]
-        n = f.of_documents(np.ones(len(f.strings), np.int64))
-        weight = f.of_documents(gain) // np.maximum(n, 1)
+        code = np.empty(len(f.strings), np.int32)
+        code[f.order] = np.frombuffer(b"".join(r[1] for r in got), wide)
+        codes, upto = f.of_documents(code)
         texts = pa.array([x.decode() for x in c.texts] if with_text else [None] * len(c.ids), pa.string())
-        return pa.table([pa.array(c.ids, pa.int64()), texts, pa.array(np.diff(f.bounds), pa.int64()), pa.array(n, pa.int64()), pa.array(weight, pa.int64())], schema=_WEIGHED)
-
-    told = known.answers.select("chunk", "bucket", "codes", "sums", F.lit(None).cast("array<bigint>").alias("gains")).unionByName(copies.withColumn("bucket", F.lit(-1)), allowMissingColumns=True)
-    return known.chunks.groupBy("chunk").cogroup(known.layout.deal(told).groupBy("chunk")).applyInArrow(weigh, WEIGHED)
+        return pa.table([pa.array(c.ids, pa.int64()), texts, pa.array(np.diff(f.bounds), pa.int64()), pa.LargeListArray.from_arrays(pa.array(upto), pa.array(codes)).cast(_COUNTED.field("codes").type)], schema=_COUNTED)
+
+    rows = known.chunks.groupBy("chunk").cogroup(known.answers.groupBy("chunk")).applyInArrow(count, COUNTED)
+    n = F.size("codes").cast("long")
+    total = F.aggregate("codes", F.lit(0).cast("long"), lambda sum_, k: sum_ + F.get("gains", k))
+    floored = F.expr("(total - pmod(total, n_features)) DIV n_features")
+    rows = rows.select("*", gains.alias("gains")).select("doc_id", "text", "n_words", n.alias("n_features"), total.alias("total"))
+    return rows.select("doc_id", "text", "n_words", "n_features", F.when(F.col("n_features") > 0, floored).otherwise(0).cast("long").alias("weight"))
 
 
 def resample(docs: DataFrame, target: DataFrame, percent: int = 25, least_words: int = 20, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
