@@ -18,11 +18,13 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ledgerstone.llm import _chunks as C
 from ledgerstone.llm._shared import free, shared_table
@@ -55,7 +57,7 @@ def _binary(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
 def _numbered(x: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """The place of each value among the distinct ones, and those, in order of appearance."""
     d = x.dictionary_encode()
-    return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary
+    return d.indices.to_numpy(zero_copy_only=False), d.dictionary
 
 
 class Features:
@@ -69,9 +71,10 @@ class Features:
         first, last = ink.copy(), ink.copy()
         first[1:] &= ~ink[:-1] | edge[1:-1]
         last[:-1] &= ~ink[1:] | edge[1:-1]
-        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        starts = np.flatnonzero(first)
         self.bounds, self.n = np.searchsorted(starts, c.offsets), len(starts)
-        word, distinct = _numbered(_binary(low[ink], ends - starts))
+        word, distinct = _numbered(_binary(low[ink], np.flatnonzero(last) + 1 - starts))
+        del low, ink, edge, first, last, starts
         hashes = _string_hashes(distinct)
         gram, own, own_hashes = word, distinct, hashes
         self.at, self.which = [np.arange(self.n)], [word]
@@ -80,13 +83,16 @@ class Features:
             at = np.flatnonzero(C.inside(self.bounds, k, self.n))
             before = np.zeros(self.n, np.int64)
             before[self.at[-1]] = gram
-            place, codes = _numbered(pa.array(before[at] * max(1, len(distinct)) + word[at + k - 1]))
+            before = before[at] * max(1, len(distinct)) + word[at + k - 1]
+            place, codes = _numbered(pa.array(before))
+            del before
             codes = codes.to_numpy()
             order = np.argsort(codes)  # runs that begin alike lie together and compress well
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
             gram = rank[place]
             head, tail = np.divmod(codes[order], max(1, len(distinct)))
+            del place, codes, order, rank
             own = pc.binary_join_element_wise(own.take(pa.array(head)), distinct.take(pa.array(tail)), pa.scalar(b" ", pa.large_binary()))
             with np.errstate(over="ignore"):
                 own_hashes = C.pair(own_hashes[head], hashes[tail])
@@ -95,11 +101,11 @@ class Features:
             parts.append(own)
             part_hashes.append(own_hashes)
         self.strings = pa.concat_arrays(parts)
-        self.groups = (np.concatenate(part_hashes) >> np.uint64(33)) % np.uint64(n_groups)
-        self.order = np.argsort(self.groups.astype(np.uint32), kind="stable")
+        self.groups = ((np.concatenate(part_hashes) >> np.uint64(33)) % np.uint64(n_groups)).astype(np.uint32)
+        self.order = np.argsort(self.groups, kind="stable")
 
     def counts(self) -> np.ndarray:
-        return np.bincount(np.concatenate(self.which), minlength=len(self.strings))
+        return sum(np.bincount(which, minlength=len(self.strings)) for which in self.which)
 
     def of_documents(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A value of each distinct feature, for all features document by document, and where each document's begin and end."""
@@ -132,15 +138,10 @@ def _lines(strings: pa.Array) -> tuple[memoryview, np.ndarray]:
     return memoryview(lines.buffers()[2] or b""), ends
 
 
-def _pressed(placed: DataFrame) -> DataFrame:
-    """Rows of chunk_docs with their texts compressed, for the shuffle."""
-
-    def run(batches):
-        press = zstandard.ZstdCompressor(3).compress
-        for b in batches:
-            yield pa.record_batch([*b.columns[:3], pa.array([press(x.as_buffer()) for x in b.column(3)], pa.binary())], names=b.schema.names)
-
-    return placed.mapInArrow(run, placed.schema)
+@F.pandas_udf(BinaryType())
+def _press(text: pd.Series) -> pd.Series:
+    press = zstandard.ZstdCompressor(3).compress
+    return text.map(press)
 
 
 def _chunk(table: pa.Table) -> C.Chunk:
@@ -153,7 +154,7 @@ class _Dictionary:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, longest: int, buckets: int):
         placed, self.layout = C.chunk_docs(docs, id_col, text_col, chunk_bytes, dealt=False)
-        self.chunks = self.layout.deal(_pressed(placed))
+        self.chunks = self.layout.deal(placed.withColumn("text", _press("text")))
         self.n_groups = n_groups = max(1, -(-int(self.layout.chunk_bytes * PER_BYTE) // max(LEAST_STRINGS, min(BLOB_STRINGS, GROUP_STRINGS // self.layout.n))))
         wide = _wide(buckets)
 
@@ -162,9 +163,10 @@ class _Dictionary:
             f = Features(c, longest, n_groups)
             counts = f.counts()[f.order].astype("<u4")
             lines, ends = _lines(f.strings.take(pa.array(f.order)))
-            cut = np.searchsorted(f.groups[f.order], np.arange(n_groups + 1, dtype=np.uint64))
-            press = zstandard.ZstdCompressor(6).compress
-            return C.blobs([(g, c.index, press(lines[ends[i] : ends[j]]), press(counts[i:j].tobytes())) for g, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i])
+            cut = np.searchsorted(f.groups[f.order], np.arange(n_groups + 1))
+            press, index = zstandard.ZstdCompressor(6).compress, c.index
+            del c, f
+            return C.blobs([(g, index, press(lines[ends[i] : ends[j]]), press(counts[i:j].tobytes())) for g, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i])
 
         def meet(table: pa.Table) -> pa.Table:
             rows = C.rows_of(table)
