@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerstone.functions.merchants import merchant_root
 from ledgerstone.functions.patterns import safe_pattern
+from ledgerstone.operators.rules import with_rule
 
 # What a description says about the kind of movement, in order.
 FLOW_PATTERNS = [
@@ -30,22 +31,6 @@ def default_flow(description: Column, direction: Column) -> Column:
     return out
 
 
-def rule_match(rule, description: Column, merchant: Column) -> Column:
-    """Whether a rule (pattern, match_type) covers a row, on its key or its description, lower-cased. Blank and unsafe patterns match nothing."""
-    pattern = (rule["pattern"] or "").strip().lower()
-    never = F.lit(False)
-    if not pattern:
-        return never
-    sides = [F.lower(F.coalesce(c, F.lit(""))) for c in (merchant, description)]
-    if rule["match_type"] == "exact":
-        return (sides[0] == pattern) | (sides[1] == pattern)
-    if rule["match_type"] == "contains":
-        return sides[0].contains(pattern) | sides[1].contains(pattern)
-    if rule["match_type"] == "regex" and (safe := safe_pattern(pattern)):
-        return sides[0].rlike(safe) | sides[1].rlike(safe)
-    return never
-
-
 def rule_refusal(pattern: str | None, match_type: str, category: str | None, flow: str | None) -> str:
     """Why a rule can't be saved; '' if it can."""
     from ledgerstone.operators.listing import CATEGORIES, FLOW_TYPES
@@ -69,39 +54,20 @@ def add_rule(rules: DataFrame, pattern: str, match_type: str, category: str | No
     return rules.unionByName(rules.sparkSession.createDataFrame([(top, pattern, match_type, category, flow, priority)], rules.schema))
 
 
-def ordered_rules(rules: DataFrame) -> list:
-    """Rules by priority, then id. They are written by people one at a time: a short list."""
-    return rules.orderBy(F.desc("priority"), "id").collect()
-
-
-def first_rule(rules: list, description: Column, merchant: Column) -> Column:
-    """Id of the first rule that covers the row, or null: one conditional expression, no join."""
-    out = F.lit(None).cast("long")
-    for r in reversed(rules):
-        out = F.when(rule_match(r, description, merchant), F.lit(r["id"]).cast("long")).otherwise(out)
-    return out
-
-
 def resolve(txns: DataFrame, rules: DataFrame, memory: DataFrame, merchant: str = "merchant_normalized", description: str = "description_raw") -> DataFrame:
     """Adds rule_id, new_flow, new_category, new_source. A matching rule wins even without a category; its flow counts only if set. Memory is asked for the key, then its first word."""
-    found = ordered_rules(rules)
     flow = default_flow(F.col(description), F.col("direction"))
-    t = txns.withColumn("rule_id", first_rule(found, F.col(description), F.col(merchant))).withColumn("_flow", flow).withColumn("_root", merchant_root(merchant))
+    t = with_rule(txns, rules, merchant, description, "_rule").withColumn("rule_id", F.col("_rule.id")).withColumn("_flow", flow).withColumn("_root", merchant_root(merchant))
     m = memory.select("merchant_normalized", F.col("category").alias("c"), F.col("source").alias("s"))
     exact = m.select(F.col("merchant_normalized").alias("_k1"), F.col("c").alias("_c1"), F.col("s").alias("_s1"))
     root = m.select(F.col("merchant_normalized").alias("_k2"), F.col("c").alias("_c2"), F.col("s").alias("_s2"))
     t = t.join(exact, F.col(merchant) == F.col("_k1"), "left").join(root, F.col("_root") == F.col("_k2"), "left")
-    pick = lambda k: F.expr("CASE rule_id " + " ".join(f"WHEN {r['id']} THEN {_sql(r[k])}" for r in found) + " END") if found else F.lit(None)
     implied = F.expr("CASE _flow " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CATEGORY_FOR_FLOW.items()) + " END")
     ruled, k1, k2 = F.col("rule_id").isNotNull(), F.col("_k1").isNotNull(), F.col("_k2").isNotNull()
-    t = t.withColumn("new_category", F.when(ruled, pick("category").cast("string")).when(k1, F.col("_c1")).when(k2, F.col("_c2")).otherwise(implied))
+    t = t.withColumn("new_category", F.when(ruled, F.col("_rule.category")).when(k1, F.col("_c1")).when(k2, F.col("_c2")).otherwise(implied))
     t = t.withColumn("new_source", F.when(ruled, "rule").when(k1, F.col("_s1")).when(k2, F.col("_s2")).when(implied.isNotNull(), "flow"))
-    t = t.withColumn("new_flow", F.when(ruled, F.coalesce(pick("flow_type").cast("string"), F.col("_flow"))).otherwise(F.col("_flow")))
-    return t.withColumn("memory_key", F.when(~ruled & k1, F.col("_k1")).when(~ruled & k2, F.col("_k2"))).drop("_flow", "_root", "_k1", "_c1", "_s1", "_k2", "_c2", "_s2")
-
-
-def _sql(v) -> str:
-    return "CAST(NULL AS STRING)" if v is None else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    t = t.withColumn("new_flow", F.when(ruled, F.coalesce("_rule.flow_type", "_flow")).otherwise(F.col("_flow")))
+    return t.withColumn("memory_key", F.when(~ruled & k1, F.col("_k1")).when(~ruled & k2, F.col("_k2"))).drop("_rule", "_flow", "_root", "_k1", "_c1", "_s1", "_k2", "_c2", "_s2")
 
 
 def recategorize(txns: DataFrame, rules: DataFrame, memory: DataFrame) -> DataFrame:

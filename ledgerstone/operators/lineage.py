@@ -11,30 +11,41 @@ def card_label(issuer, last4):
     return F.concat(issuer, F.coalesce(F.concat(F.lit(" ····"), last4), F.lit("")))
 
 
-def paths(accounts: DataFrame) -> DataFrame:
-    """id and path: the card, its replacement, that one's, and so on, up to the last card or to where a card would come again.
+def _follow(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, at): where links (id, next) lead from each id: to an end, or onto a circle. By doubling: a round doubles the links that all have gone; ids that have arrived stay."""
+    at = ids.join(links, "id", "left").select("id", F.coalesce("next", "id").alias("at"))
+    gone, most = 1, links.count()
+    while gone <= most:
+        hop = at.select(F.col("id").alias("at"), F.col("at").alias("far"))
+        at = snapshot(at.join(hop, "at").select("id", F.col("far").alias("at"), (F.col("far") != F.col("at")).alias("moved")))
+        if not at.where("moved").limit(1).count():
+            break
+        at, gone = at.drop("moved"), 2 * gone
+    return at.select("id", "at")
 
-    By doubling: each round appends to every path the path of its last card, so a chain of any length takes as many rounds as its length has
-    binary digits. Where chains are flattened, as ``link`` writes them, there is no round. A replacement that is no account ends a path.
+
+def heads(accounts: DataFrame) -> DataFrame:
+    """id and head: the last card that replacements lead to, or the one before a card would come again. A replacement that is no account, or the card itself, ends them.
+
+    Rows hold two ids, however long a chain is. Where all ids have gone as many links as there are, those not at an end stand on circles, and on all cards of these; the rest
+    then go to the first card of a circle that they meet, whose head is the card that links to it there.
     """
-    step = accounts.select(F.col("id").alias("next"))
-    at = accounts.select("id", F.col("replaced_by_id").alias("next")).join(step, "next", "left_semi").where("next <> id").select("id", "next")
-    at = accounts.select("id").join(at, "id", "left").select("id", F.when(F.col("next").isNull(), F.array("id")).otherwise(F.array("id", "next")).alias("path"))
-    while True:
-        tail = at.select(F.col("id").alias("end"), F.slice("path", 2, 1 << 20).alias("tail")).where("size(tail) > 0")
-        met = at.withColumn("end", F.element_at("path", -1)).join(tail, "end", "left")
-        more = F.expr("slice(tail, 1, coalesce(nullif(array_position(transform(tail, x -> array_contains(path, x)), true), 0) - 1, size(tail)))")
-        met = met.select("id", "path", F.when(F.col("tail").isNotNull(), more).otherwise(F.array().cast("array<bigint>")).alias("more"))
-        if not met.where("size(more) > 0").limit(1).count():
-            return at
-        at = snapshot(met.select("id", F.concat("path", "more").alias("path")))
+    ids = accounts.select("id")
+    links = accounts.select("id", F.col("replaced_by_id").alias("next")).join(ids.withColumnRenamed("id", "next"), "next", "left_semi").where("next <> id").select("id", "next")
+    at = _follow(ids, links)
+    circle = snapshot(at.select(F.col("at").alias("id")).distinct().join(links, "id").select("id", "next"))
+    if not circle.limit(1).count():
+        return at.withColumnRenamed("at", "head")
+    ends = _follow(ids, links.join(circle, "id", "left_anti"))
+    before = circle.select(F.col("next").alias("at"), F.col("id").alias("before"))
+    return ends.join(before, "at", "left").select("id", F.coalesce("before", "at").alias("head"))
 
 
 def lineages(accounts: DataFrame) -> DataFrame:
     """account_id, head_id, label, lineage_size for every account: replacements are followed to the last card, stopping where one would be met again."""
-    heads = paths(accounts).select(F.col("id").alias("account_id"), F.element_at("path", -1).alias("head_id"))
+    ends = heads(accounts).select(F.col("id").alias("account_id"), F.col("head").alias("head_id"))
     a = accounts.select("id", "issuer", "last4")
-    rows = heads.join(a.withColumnRenamed("id", "account_id"), "account_id").join(a.select(F.col("id").alias("head_id"), F.col("issuer").alias("hi"), F.col("last4").alias("hl")), "head_id")
+    rows = ends.join(a.withColumnRenamed("id", "account_id"), "account_id").join(a.select(F.col("id").alias("head_id"), F.col("issuer").alias("hi"), F.col("last4").alias("hl")), "head_id")
     was = F.when(F.col("account_id") != F.col("head_id"), F.struct("account_id", F.coalesce(F.concat(F.lit("····"), F.col("last4")), F.col("issuer")).alias("w")))
     w = Window.partitionBy("head_id")
     olds = F.array_join(F.transform(F.array_sort(F.collect_list(was).over(w)), lambda s: s["w"]), ", ")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerstone.functions.dates import bounds, in_months, month_index, month_of
 from ledgerstone.functions.money import half_even_mean, net_spend
 from ledgerstone.operators.coverage import card_months, covers_days, month_completeness, statement_windows
+from ledgerstone.sources.shared import snapshot
 
 NONE = "(uncategorized)"
 
@@ -64,15 +65,14 @@ def _range_sum(rows: DataFrame, daily: DataFrame, month: str, lo: str, hi: str,
     return rows.join(d, F.col(month) == F.col("_m"), "left").groupBy(*rows.columns).agg(F.coalesce(F.sum(F.when(keep, F.col("_v"))), F.lit(0)).alias(out))
 
 
-def month_report(txns: DataFrame, statements: DataFrame, cards: DataFrame) -> DataFrame:
+def month_report(cube: DataFrame, statements: DataFrame, cards: DataFrame) -> DataFrame:
     """Per month with transactions: its totals, completeness, delta against the previous listed month on the same days, and the mean of up to three earlier months.
 
-    not_comparable says why there is no delta. Sums over days come from one small daily table, not a query per month.
+    not_comparable says why there is no delta. Everything is summed from a daily cube, best a kept one: it is read several times.
     """
-    cube = daily_cube(txns)
     daily, totals = daily_spend(cube), cube_totals(cube)
-    m = totals.join(completeness(statements, cards, totals), "month")
-    w = Window.orderBy("month")  # a row per month
+    m = snapshot(totals.join(completeness(statements, cards, totals), "month"))  # a row per month, read five times below
+    w = Window.orderBy("month")
     keep = ("month", "missing", "gaps", "range_lo", "range_hi", "last_day")
     m = m.withColumn("idx", F.row_number().over(w)).withColumn("prior", F.lag(F.struct(*keep)).over(w))
     m = _range_sum(m, daily, "month", "day_lo", "day_hi", "spend_comparable")

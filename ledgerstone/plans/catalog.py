@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from ledgerstone.functions import merchants as N
 from ledgerstone.functions import textlines as T
 from ledgerstone.functions.money import money_text, net_spend, to_minor
 from ledgerstone.operators import classify, coverage, display, gate, grouping, issuers, lineage, listing, reports, statements
+from ledgerstone.operators.rules import with_rule
 from ledgerstone.sources import documents as D
 from ledgerstone.sources import ledger as L
+from ledgerstone.sources.shared import snapshot
 
 MONTH, DAYS = "1998-05", (5, 20)
 TODAY = "2001-09-10"
@@ -30,11 +34,16 @@ class Ledger:
     def groups(self) -> DataFrame:
         return L.merchant_group(self.spark, self.lines)
 
+    @cached_property
+    def cube(self) -> DataFrame:
+        """The daily cube, written once for a query, however often it is read; kept_report has one that is kept from change to change."""
+        return snapshot(reports.daily_cube(self.txn))
+
     @property
     def statement(self) -> DataFrame:
-        return L.statement(reports.daily_cube(self.txn))  # only accounts and dates matter
+        return L.statement(self.cube)  # only accounts and dates matter
 
-    @property
+    @cached_property
     def lineage(self) -> DataFrame:
         return lineage.lineages(self.account)
 
@@ -43,11 +52,13 @@ class Ledger:
         s = self.statement.join(self.lineage.select("account_id", F.col("label").alias("card")), "account_id")
         return s, s.select("card").distinct()
 
-    def report(self) -> DataFrame:
-        return reports.month_report(self.txn, *self.carded())
+    def report(self, cube: DataFrame | None = None) -> DataFrame:
+        if cube is not None:
+            self.cube = cube
+        return reports.month_report(self.cube, *self.carded())
 
     def completeness(self) -> DataFrame:
-        return reports.completeness(*self.carded(), reports.cube_totals(reports.daily_cube(self.txn)))
+        return reports.completeness(*self.carded(), reports.cube_totals(self.cube))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -444,8 +455,7 @@ def _(g):
 
 @query("rule_match", _RULED + " SELECT rule_id, COUNT(*) AS n FROM res GROUP BY 1")
 def _(g):
-    t = _distinct_rows(g)
-    return t.select(classify.first_rule(classify.ordered_rules(g.rules), F.col("description_raw"), F.col("merchant_normalized")).alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("n"))
+    return with_rule(_distinct_rows(g), g.rules).groupBy(F.col("rule.id").alias("rule_id")).agg(F.count("*").alias("n"))
 
 
 @query("recategorize", _RULED + """ SELECT t.category_source = 'user' AS by_user, CASE WHEN t.category_source = 'user' THEN t.category ELSE r.new_category END AS category, COUNT(*) AS n, COUNT(*) FILTER (t.category_source IS DISTINCT FROM 'user' AND (t.category IS DISTINCT FROM r.new_category OR t.flow_type IS DISTINCT FROM r.new_flow OR t.category_source IS DISTINCT FROM r.new_source)) AS moved
@@ -694,4 +704,4 @@ def _(g):
     answers = g.table("documents").select("doc_id", F.when(n < 100, "Unknown").when(n < 5000, "good").when(n < 12000, "poor").alias("label")).where("label IS NOT NULL")
     return gate.grade(truth, answers, "doc_id")
 
-from ledgerstone.plans import upkeep  # noqa: E402, F401  registers its queries
+from ledgerstone.plans import stored, upkeep  # noqa: E402, F401  register their queries

@@ -281,7 +281,7 @@ _CHAIN = 100
   SELECT CAST(id AS BIGINT) AS id, CAST(MAX_BY(top, len(seen)) AS BIGINT) AS head_id FROM w GROUP BY id""", ledger=False)
 def _(g):
     rows = [(i, i + 1 if i < _CHAIN else None) for i in range(1, _CHAIN + 1)] + [(201, 202), (202, 203), (203, 201), (204, 201), (205, 999), (206, 206)]
-    return lineage.paths(g.spark.createDataFrame(rows, "id long, replaced_by_id long")).select("id", F.element_at("path", -1).alias("head_id"))
+    return lineage.heads(g.spark.createDataFrame(rows, "id long, replaced_by_id long")).select("id", F.col("head").alias("head_id"))
 
 
 @query("card_options", """, h AS (SELECT * FROM account WHERE replaced_by_id IS NULL) SELECT a.id AS account_id, h.id AS by_id FROM account a JOIN h ON h.issuer = a.issuer AND h.id <> a.id""")

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def snapshot(df: DataFrame) -> DataFrame:
-    """Written below spark.checkpoint.dir (below the warehouse where that is not set) and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, or below the warehouse where that is not set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def snapshot(df: DataFrame) -> DataFrame:
+    """Written to a shared folder and read again: cuts the lineage, survives lost executors."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def positions(df: DataFrame, *order, name: str = "position") -> DataFrame:

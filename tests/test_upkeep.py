@@ -1,3 +1,4 @@
+import random
 import re
 import time
 
@@ -150,7 +151,15 @@ def test_extremes_of_nothing(spark):
     assert (r.n, r.average, r.highest, r.highest_month) == (0, None, None, None)
 
 
-def test_paths_stop_at_cycles(spark):
-    rows = [(1, 2), (2, 3), (3, 1), (4, 4), (5, 99), (6, 1)]
-    got = {r.id: r.path for r in lineage.paths(spark.createDataFrame(rows, "id long, replaced_by_id long")).collect()}
-    assert got == {1: [1, 2, 3], 2: [2, 3, 1], 3: [3, 1, 2], 4: [4], 5: [5], 6: [6, 1, 2, 3]}
+def test_heads_stop_at_cycles(spark):
+    rng = random.Random(9)
+    graphs = [[(1, 2), (2, 3), (3, 1), (4, 4), (5, 99), (6, 1)], [(i, i + 1) for i in range(1, 40)] + [(40, None)], [(1, None), (2, None)]]
+    graphs += [[(i, rng.choice([None, i, 77, *range(1, 25)])) for i in range(1, 25)] for _ in range(3)]
+    for rows in graphs:
+        to, want = dict(rows), {}
+        for i in to:
+            seen = [i]
+            while to[seen[-1]] in to and to[seen[-1]] not in seen:
+                seen.append(to[seen[-1]])
+            want[i] = seen[-1]
+        assert {r.id: r.head for r in lineage.heads(spark.createDataFrame(rows, "id long, replaced_by_id long")).collect()} == want
