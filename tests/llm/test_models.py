@@ -318,11 +318,11 @@ def test_rules_are_learned(spark):
     assert rules[0].conditions[0].feature == "symbols"
 
 
-def plain_rules(rows, cuts, most_rules=8, most_conditions=3, precision=0.9):
+def plain_rules(rows, cuts, most_rules=8, most_conditions=3, precision=0.75):
     """Sequential covering by plain loops over (label, pruning third, features) rows."""
     grow, prune, rules = [r for r in rows if not r[1]], [r for r in rows if r[1]], []
     fires = lambda r, cs: all((r[2][f] >= cut) == up for f, up, cut in cs)
-    while len(rules) < most_rules:
+    for _ in range(most_rules):
         live, cs = grow, []
         while len(cs) < most_conditions:
             bad, good, best = sum(r[0] == 0 for r in live), sum(r[0] == 1 for r in live), None
@@ -347,13 +347,30 @@ def plain_rules(rows, cuts, most_rules=8, most_conditions=3, precision=0.9):
             break
         tally = [[sum(r[0] == v and fires(r, cs[: k + 1]) for r in prune) for v in (0, 1)] for k in range(len(cs))]
         k = max(range(len(cs)), key=lambda k: ((tally[k][0] - tally[k][1]) / max(1, sum(tally[k])), -k))  # noqa: B023
-        if (tally[k][0] + 1) / (sum(tally[k]) + 2) < precision:
-            break
-        rules.append(cs[: k + 1])
-        grow, prune = ([r for r in x if not fires(r, cs[: k + 1])] for x in (grow, prune))
+        n, share = sum(tally[k]), tally[k][0] / max(1, sum(tally[k]))
+        limit = (share + 1.28**2 / (2 * n) - 1.28 * ((share - share * share + 1.28**2 / (4 * n)) / n) ** 0.5) / (1 + 1.28**2 / n) if n else 0
+        grow = [r for r in grow if not fires(r, cs[: k + 1])]
+        if limit >= precision:
+            rules.append(cs[: k + 1])
+            prune = [r for r in prune if not fires(r, cs[: k + 1])]
     return rules
 
 
+def test_lower_limit():
+    assert [round(quality_rules.lower_limit(h, n, 1.28), 3) for h, n in ((0, 0), (5, 5), (4, 4), (11, 12), (84, 84))] == [0.0, 0.753, 0.709, 0.759, 0.981]
+
+
+def test_rules_of_given_labels(spark):
+    """Rules are learned from a thousand labelled documents; of documents whose labels are hidden, those that they drop are poor."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(4)) == 0
+    got = quality_rules.judge(docs, labels.where(~held)).join(labels.where(held), "doc_id").where("NOT base_failed").select("quality", "kept").collect()
+    poor = [r for r in got if r.quality == 0]
+    dropped = [r for r in got if not r.kept]
+    assert poor and len(dropped) >= 0.5 * len(poor) and sum(r.quality == 0 for r in dropped) >= 0.9 * len(dropped)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_rules_equal_plain_covering(spark, seed):
     rng = random.Random(seed)
