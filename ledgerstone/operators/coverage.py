@@ -27,6 +27,33 @@ def merge_windows(windows: DataFrame, by: str = "card") -> DataFrame:
     return windows.withColumn("fresh", fresh).withColumn("island", island).groupBy(by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
+def _binned(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """Adds _level and _bin: one or two bins of 2^level days that the row's days fall in, at its own level (the least whose bins are no shorter than it) and at each higher level of the other table."""
+    level = lambda: F.ceil(F.log2(F.datediff("end", "start") + 1)).cast("int")
+    others = other.agg(F.collect_set(level()).alias("levels")).scalar()  # at most one entry for each power of two
+    rows = rows.withColumn("_own", level()).withColumn("_others", others)
+    rows = rows.withColumn("_level", F.explode(F.array_union(F.array("_own"), F.filter("_others", lambda k: k > F.col("_own"))))).drop("_others")
+    first, last = (F.expr(f"shiftright(unix_date({c}), _level)") for c in ("`start`", "`end`"))
+    return rows.withColumn("_bin", F.explode(F.sequence(first, last)))
+
+
+def overlaps(windows: DataFrame, spans: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Every window beside every span that shares a day with it: their columns, and shared_start and shared_end.
+
+    Both have start and end (days, inclusive) of any lengths; rows without either, or that end before they start, meet nothing. ``by``: columns of both that must be equal. A
+    pair meets by equality of bins, at the level of its longer side, where either touches two bins at most; it counts in the bin where the shared days begin. So nothing is
+    compared but what lies close by, whatever the lengths. Columns of the spans are named span_<name>.
+    """
+    by = by or []
+    sound = lambda t: t.where("`start` <= `end`")
+    a, b = sound(windows), sound(spans)
+    at, bt = _binned(a, b), _binned(b, a)
+    bt = bt.withColumnsRenamed({c: f"span_{c}" for c in b.columns if c not in by} | {"_own": "_span_own"})
+    start, end = F.greatest("start", "span_start"), F.least("end", "span_end")
+    met = at.join(bt, [*by, "_level", "_bin"]).where((F.col("_level") == F.greatest("_own", "_span_own")) & (start <= end) & (F.expr("shiftright(unix_date(greatest(`start`, span_start)), _level)") == F.col("_bin")))
+    return met.withColumn("shared_start", start).withColumn("shared_end", end).drop("_level", "_bin", "_own", "_span_own")
+
+
 def card_months(windows: DataFrame, cards: DataFrame, months: DataFrame, by: str = "card") -> DataFrame:
     """What each card covers of each month: state, from_date, through_date, gap.
 

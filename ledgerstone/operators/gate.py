@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerstone.operators.listing import CATEGORIES
-from ledgerstone.sources.shared import positions
+from ledgerstone.sources.shared import positions, snapshot
 
 BATCH = 40
 REPLY = "struct<assignments:array<struct<merchant:string,category:string>>>"
@@ -57,7 +58,11 @@ def ask(payload: DataFrame, model: Callable[[str], str], *fallback: Callable[[st
     One that raises does not stop the others; a batch that no model answers has a null reply. A model whose quota is spent is not asked again by the same task;
     where all are, the task's further batches are marked stopped and cost no call.
     """
-    models = (model, *fallback)
+    return _asked(payload, list(enumerate((model, *fallback)))).drop("spent")
+
+
+def _asked(payload: DataFrame, models: list[tuple[int, Callable[[str], str]]]) -> DataFrame:
+    """Replies, and the places of the models that the task had found spent by then."""
 
     def run(rows):
         import pyarrow as pa
@@ -67,7 +72,7 @@ def ask(payload: DataFrame, model: Callable[[str], str], *fallback: Callable[[st
             out = []
             for p in b.column(2).to_pylist():
                 got = (None, None, len(spent) == len(models))
-                for k, f in enumerate(models):
+                for k, f in models:
                     if k in spent:
                         continue
                     try:
@@ -77,10 +82,34 @@ def ask(payload: DataFrame, model: Callable[[str], str], *fallback: Callable[[st
                         spent.add(k)
                     except Exception:  # the model is not ours: whatever it raises is a missing answer
                         continue
-                out.append(got)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.bool_())], names=["batch", "asked", "raw", "model", "stopped"])
+                out.append((*got, sorted(spent)))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.bool_()), pa.array([o[3] for o in out], pa.list_(pa.int32()))], names=["batch", "asked", "raw", "model", "stopped", "spent"])
+
+    return payload.select("batch", "asked", "payload").mapInArrow(run, "batch int, asked array<string>, raw string, model int, stopped boolean, spent array<int>")
 
-    return payload.select("batch", "asked", "payload").mapInArrow(run, "batch int, asked array<string>, raw string, model int, stopped boolean")
+
+def ask_in_waves(payload: DataFrame, model: Callable[[str], str], *fallback: Callable[[str], str], wave: int = 16, tasks: int = 4) -> DataFrame:
+    """Replies as of ``ask``, for a run whose quota is one for all tasks: batches go out ``wave`` at a time, each wave over ``tasks`` tasks.
+
+    After a wave the driver reads which models were found spent, a number each, and no later wave asks them. Within the wave in which a quota ends, every task finds that
+    out by itself, so at most ``tasks`` calls are lost on it. When all models are spent, the remaining batches are marked stopped in one step. Replies of a wave are written before the next goes out, so a
+    lost executor repeats calls of the current wave only. Batches are numbered from 0, as ``batches`` does.
+    """
+    models, spent, parts, at = (model, *fallback), set(), [], 0
+    payload = snapshot(payload.select("batch", "asked", "payload"))
+    last = payload.agg(F.max("batch")).first()[0]
+    while last is not None and at <= last:
+        left = [k for k in range(len(models)) if k not in spent]
+        if not left:
+            parts.append(payload.where(F.col("batch") >= at).select("batch", "asked", F.lit(None).cast("string").alias("raw"), F.lit(None).cast("int").alias("model"), F.lit(True).alias("stopped")))
+            break
+        rows = payload.where(F.col("batch").between(at, at + wave - 1)).repartitionById(min(tasks, wave), (F.col("batch") % tasks).cast("int")).sortWithinPartitions("batch")
+        got = snapshot(_asked(rows, [(k, models[k]) for k in left]))
+        spent |= {r[0] for r in got.select(F.explode("spent")).distinct().collect()}
+        parts.append(got.drop("spent"))
+        at += wave
+    none = payload.limit(0).select("batch", "asked", F.lit(None).cast("string").alias("raw"), F.lit(None).cast("int").alias("model"), F.lit(True).alias("stopped"))
+    return reduce(DataFrame.unionByName, parts, none)
 
 
 def accepted(gated: DataFrame, abstain: str = "Unknown") -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerstone.operators import kept
+from ledgerstone.operators import coverage, kept
 from ledgerstone.operators.rules import with_rule
 from ledgerstone.plans.catalog import COVER, LINEAGE, REPORT, WINDOWS, query
+from ledgerstone.sources import ingest
 from ledgerstone.sources.shared import shared_folder
 from ledgerstone.sources.store import Store
 
@@ -60,3 +61,27 @@ def _(g):
     return with_rule(g.lines.select("description_raw", "merchant_normalized").distinct(), rules).select("description_raw", "merchant_normalized", F.col("rule.id").alias("rule_id"), F.col("rule.category").alias("category"))
 
 
+
+
+@query("window_overlaps", f""", {LINEAGE}, {WINDOWS}, days AS (SELECT DISTINCT txn_date AS d FROM txn),
+  span AS (SELECT DISTINCT 'week' AS grain, CAST(date_trunc('week', d) AS DATE) AS s, CAST(date_trunc('week', d) + INTERVAL 6 DAY AS DATE) AS e FROM days UNION ALL SELECT DISTINCT 'quarter', CAST(date_trunc('quarter', d) AS DATE), CAST(date_trunc('quarter', d) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) FROM days
+    UNION ALL SELECT 'whole', MIN(d), MAX(d) FROM days UNION ALL SELECT 'day', d, d FROM days)
+  SELECT grain, span.s AS span_start, card, CAST(SUM(date_diff('day', GREATEST(win.s, span.s), LEAST(win.e, span.e)) + 1) AS BIGINT) AS covered_days, COUNT(*) AS pieces FROM win JOIN span ON win.s <= span.e AND win.e >= span.s GROUP BY 1, 2, 3""")
+def _(g):
+    """Days that each card's statements cover of every day, week and quarter with transactions, and of the whole ledger."""
+    s, _ = g.carded()
+    days = g.txn.select(F.col("txn_date").alias("d")).distinct()
+    trunc = lambda unit: F.trunc("d", unit)
+    spans = days.select(F.lit("week").alias("grain"), trunc("WEEK").alias("start"), F.date_add(trunc("WEEK"), 6).alias("end")).distinct()
+    spans = spans.unionAll(days.select(F.lit("quarter"), trunc("QUARTER"), F.date_sub(F.add_months(trunc("QUARTER"), 3), 1)).distinct()).unionAll(days.agg(F.min("d").alias("s"), F.max("d").alias("e")).select(F.lit("whole"), "s", "e")).unionAll(days.select(F.lit("day"), "d", "d"))
+    met = coverage.overlaps(coverage.statement_windows(s), spans)
+    return met.groupBy(F.col("span_grain").alias("grain"), "span_start", "card").agg(F.sum(F.datediff("shared_end", "shared_start") + 1).alias("covered_days"), F.count("*").alias("pieces"))
+
+
+@query("dumped_statements", " SELECT CAST(id AS VARCHAR) AS key, 'key=' || id AS file, CAST(octet_length(encode('{\"id\":' || id || ',\"account_id\":' || account_id || '}')) + 1 AS BIGINT) AS bytes, '{\"id\":' || id || ',\"account_id\":' || account_id || '}' AS text FROM statement")
+def _(g):
+    """A file for each statement, and the text that stands in it."""
+    path = shared_folder(g.spark)
+    told = ingest.dump_files(g.statement.select("id", "account_id"), "id", path)
+    there = g.spark.read.option("basePath", path).text(f"{path}/key=*").select("value", F.col("key").cast("string").alias("key"))
+    return told.join(there, "key").select("key", F.substring_index("file", "/", -1).alias("file"), "bytes", F.col("value").alias("text"))

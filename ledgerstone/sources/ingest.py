@@ -111,3 +111,16 @@ def evolve(table: DataFrame, wanted: dict[str, tuple[str, object]]) -> DataFrame
 def dumps(table: DataFrame, key: str) -> DataFrame:
     """(key, json): each row as one JSON text, nulls left out, to be written with ``write.text``."""
     return table.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*table.columns)).alias("json"))
+
+
+def dump_files(table: DataFrame, key: str, path: str, dry_run: bool = False) -> DataFrame:
+    """Write each row as a JSON text to the folder of its key below path; a row (key, file, bytes) for each, sorted by key, also where nothing is written (dry_run).
+
+    The folder is key=<value>, percent-encoded as Spark does. Files stand there only once the whole job has ended well: a failed task leaves none. Folders of keys that
+    are written again are replaced, others stay. Rows of one key share its file, a line each; a null key is not written.
+    """
+    texts = dumps(table.where(F.col(key).isNotNull()), key)
+    told = texts.groupBy("key").agg(F.sum(F.octet_length("json") + 1).cast("long").alias("bytes")).select("key", F.concat(F.lit(f"{path.rstrip('/')}/key="), "key").alias("file"), "bytes").orderBy("key")
+    if not dry_run:
+        texts.repartition("key").sortWithinPartitions("key", "json").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key").text(path)
+    return told

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from ledgerstone.operators import coverage, lineage
 
@@ -60,3 +61,27 @@ def test_link_flattens(spark):
     b = lineage.link(lineage.link(a, 1, 2), 2, 3)
     assert {r.id: r.replaced_by_id for r in b.collect()} == {1: 3, 2: 3, 3: None}
     assert lineage.link(b, 3, 1) is b
+
+
+def test_overlaps_equal_brute_force(spark):
+    rng = random.Random(12)
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(n)
+
+    def some(n):
+        out = []
+        for i in range(n):
+            s = rng.randint(-2000, 2000)
+            out.append((i, rng.choice("ab"), day(s), day(s + rng.choice([0, 0, 1, 3, 6, 30, 31, 32, 400, 3000, -1]))))
+        return out + [(n, "a", None, day(0)), (n + 1, "b", day(0), None)]
+
+    a, b = some(70), some(60)
+    df = lambda rows: spark.createDataFrame(rows, "k long, card string, start date, end date")
+    for by in ([], ["card"]):
+        met = coverage.overlaps(df(a), df(b), by)
+        got = sorted((r.k, r.span_k, r.shared_start, r.shared_end) for r in met.collect())
+        good = [[r for r in x if r[2] and r[3] and r[2] <= r[3]] for x in (a, b)]
+        want = sorted((x[0], y[0], max(x[2], y[2]), min(x[3], y[3])) for x in good[0] for y in good[1] if max(x[2], y[2]) <= min(x[3], y[3]) and (not by or x[1] == y[1]))
+        assert got == want and len(want) > 100
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert coverage.overlaps(df([]), df(b)).collect() == []

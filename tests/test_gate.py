@@ -68,3 +68,31 @@ def test_grade(spark):
     t = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "y"), (5, "x")], "k long, label string")
     a = spark.createDataFrame([(1, "x"), (2, "y"), (3, "Unknown")], "k long, label string")
     assert gate.grade(t, a, "k").first().asDict() == {"correct": 1, "wrong": 1, "abstained": 1, "missing": 2, "total": 5, "baseline": 3}
+
+
+def test_a_spent_quota_stops_later_waves(spark, tmp_path):
+    """Calls are counted in files: after the wave in which a model's quota ends nothing calls it again, in any task."""
+    keys = spark.createDataFrame([(f"k{i:04}",) for i in range(40 * 40)], "merchant_normalized string")
+    calls, put = str(tmp_path), lambda name, payload: open(f"{name}-{payload.split(chr(10))[0]}", "w").close()  # noqa: SIM115
+
+    def first(payload):
+        put(f"{calls}/first", payload)
+        if payload.split("\n")[0] >= "k0200":  # from batch 5 on
+            raise gate.QuotaSpent
+        return "one"
+
+    def second(payload):
+        put(f"{calls}/second", payload)
+        if payload.split("\n")[0] >= "k0800":  # from batch 20 on
+            raise gate.QuotaSpent
+        return "two"
+
+    got = {r.batch: r for r in gate.ask_in_waves(gate.payloads(gate.batches(keys)), first, second, wave=8, tasks=4).collect()}
+    asked = lambda name: {int(p.name.split("-k")[1]) // 40 for p in tmp_path.iterdir() if p.name.startswith(name)}
+    assert sorted(got) == list(range(40))
+    assert [got[b].raw for b in range(20)] == ["one"] * 5 + ["two"] * 15
+    assert all(got[b].raw is None for b in range(20, 40)) and all(got[b].stopped for b in range(24, 40))
+    assert asked("first") <= set(range(8)) and len(asked("first") - set(range(5))) <= 4
+    assert asked("second") <= set(range(5, 24)) and len(asked("second") - set(range(20))) <= 4
+    empty = gate.payloads(gate.batches(keys.limit(0)))
+    assert gate.ask_in_waves(empty, first).collect() == []

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerstone.operators import kept, reports
+from ledgerstone.sources import ingest
 from ledgerstone.sources.store import Conflict, Store
 
 SCHEMA = "id long, month string, v long"
@@ -126,3 +127,30 @@ def test_kept_cube_equals_recompute(spark, store):
     assert store.version() == version
     kept.refresh_cube(store, went=df(ledger.values()))
     assert store.partitions() == []
+
+
+def test_dump_files(spark, tmp_path):
+    table = spark.createDataFrame([(1, "a b/%", None), (2, "c", "x"), (3, "c", "ß"), (4, None, "y")], "id long, name string, v string")
+    path = f"file:{tmp_path}/dump"
+    told = ingest.dump_files(table, "name", path, dry_run=True).collect()
+    assert not os.path.exists(f"{tmp_path}/dump")
+    assert [(r.key, r.bytes) for r in told] == [("a b/%", len('{"id":1,"name":"a b/%"}\n')), ("c", len('{"id":2,"name":"c","v":"x"}\n{"id":3,"name":"c","v":"ß"}\n'.encode()))]
+    assert ingest.dump_files(table, "name", path).collect() == told
+
+    def there():
+        out = {}
+        for d, _, names in os.walk(f"{tmp_path}/dump"):
+            for n in names:
+                if n.startswith("part-"):
+                    out.setdefault(os.path.basename(d), []).append(open(f"{d}/{n}", encoding="utf-8").read())  # noqa: SIM115
+        return out
+
+    want = {"key=c": ['{"id":2,"name":"c","v":"x"}\n{"id":3,"name":"c","v":"ß"}\n']}
+    assert {k: v for k, v in there().items() if k == "key=c"} == want and len(there()) == 2
+    bad = spark.createDataFrame([(9, "c", "new"), (10, "d", "new")], "id long, name string, v string").withColumn("v", F.when(F.col("id") == 10, F.raise_error(F.lit("stop"))).otherwise(F.col("v")))
+    before = there()
+    with pytest.raises(Exception, match="stop"):
+        ingest.dump_files(bad, "name", path)
+    assert there() == before  # neither the failed task's file nor those of the others
+    ingest.dump_files(table.where("id = 2"), "name", path)
+    assert there() == before | {"key=c": ['{"id":2,"name":"c","v":"x"}\n']}
