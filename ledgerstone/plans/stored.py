@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerstone.functions.sql import register
 from ledgerstone.operators import coverage, kept
 from ledgerstone.operators.rules import with_rule
-from ledgerstone.plans.catalog import COVER, LINEAGE, REPORT, WINDOWS, query
+from ledgerstone.plans.catalog import COVER, LINEAGE, NET, REPORT, WINDOWS, _flow_sql, query
 from ledgerstone.sources import ingest
 from ledgerstone.sources.shared import shared_folder
 from ledgerstone.sources.store import Store
@@ -85,3 +87,20 @@ def _(g):
     told = ingest.dump_files(g.statement.select("id", "account_id"), "id", path)
     there = g.spark.read.option("basePath", path).text(f"{path}/key=*").select("value", F.col("key").cast("string").alias("key"))
     return told.join(there, "key").select("key", F.substring_index("file", "/", -1).alias("file"), "bytes", F.col("value").alias("text"))
+
+
+@query("sql_flows", f" SELECT split_part(merchant_normalized, ' ', 1) AS root, {_flow_sql().replace('(d, ', '(description_raw, ')} AS flow, strftime(txn_date, '%Y-%m') AS month, COUNT(*) AS n, CAST(SUM({NET}) AS BIGINT) AS spend_minor FROM txn_lines GROUP BY 1, 2, 3")
+def _(g):
+    """Rows and net spend by first word, flow and month, written in SQL over the registered functions."""
+    register(g.spark)
+    return g.spark.sql("SELECT merchant_root(merchant_normalized) AS root, flow_of(description_raw, direction) AS flow, month_of(txn_date) AS month, count(*) AS n, sum(net_value(amount_minor, flow_type)) AS spend_minor FROM {lines} GROUP BY ALL", lines=g.lines)
+
+
+@query("sql_windows", f""", {LINEAGE}, {WINDOWS} SELECT card, s AS start, e AS "end" FROM win""")
+def _(g):
+    """Statement windows, merged by the registered function over each card's group."""
+    register(g.spark)
+    s, _ = g.carded()
+    w = Window.partitionBy("card").orderBy(F.coalesce("period_end", "statement_date"), "id")
+    dated = s.withColumn("end", F.coalesce("period_end", "statement_date")).withColumn("start", F.coalesce("period_start", F.date_add(F.lag("end").over(w), 1), "first_txn"))
+    return g.spark.sql("SELECT card, w.start, w.end FROM (SELECT card, explode(merged_windows(collect_list(struct(start, end)))) AS w FROM {dated} GROUP BY card)", dated=dated)

@@ -1,6 +1,7 @@
 """Incremental ingest of statement text: an addition, as the batch library has no stream of its own.
 
-JSON files of (filename, pages) arriving in a folder are parsed once per content. Each micro-batch drops contents already in the store, so a replayed batch or a file sent twice adds nothing.
+JSON files of (filename, pages) arriving in a folder are parsed once per content. Contents that came before are kept in the stream's own state, a hash each, so a micro-batch reads
+nothing but its own files. It writes a folder of its own, which a replay of the batch writes again.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerstone.operators.statements import parse_statements, reconcile
-from ledgerstone.sources.documents import only_new
 
 SCHEMA = "filename string, pages array<string>"
 
@@ -22,23 +22,18 @@ def incoming(spark: SparkSession, folder: str) -> DataFrame:
     return raw.withColumn("sha256", sha).withColumn("id", F.xxhash64("sha256"))
 
 
-def store_batch(batch: DataFrame, store: str, known: DataFrame | None) -> None:
-    fresh = batch.dropDuplicates(["sha256"]) if known is None else only_new(batch, known)
-    parsed = reconcile(parse_statements(fresh)).join(fresh.select("id", "filename", "sha256"), "id")
-    parsed.write.mode("append").parquet(store)
+def start(spark: SparkSession, folder: str, store: str, checkpoint: str) -> StreamingQuery:
+    """Parse what arrives in a folder to a Parquet store until stopped; all that is there now, once, with ``availableNow``.
 
+    Of files of one content the first stays, also where they come in different batches or runs: the state is in the checkpoint. It grows by a hash for each content, over as many partitions
+    as the session shuffles to at the first start.
+    """
 
-def start(spark: SparkSession, folder: str, store: str, checkpoint: str) -> StreamingQuery:
-    """Parse what arrives in a folder to a Parquet store until stopped; all that is there now, once, with ``availableNow``."""
-
-    def put(batch: DataFrame, _: int) -> None:
-        s = batch.sparkSession
-        try:
-            known = s.read.parquet(store).select("sha256")
-        except Exception as e:  # the store's first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = None
-        store_batch(batch, store, known)
-
-    return incoming(spark, folder).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def put(batch: DataFrame, number: int) -> None:
+        fresh = batch.persist()
+        parsed = reconcile(parse_statements(fresh)).join(fresh.select("id", "filename", "sha256"), "id")
+        parsed.write.mode("overwrite").parquet(f"{store.rstrip('/')}/batch={number}")
+        fresh.unpersist()
+
+    fresh = incoming(spark, folder).dropDuplicates(["sha256"])
+    return fresh.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

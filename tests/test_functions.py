@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerstone.functions import sql
 from ledgerstone.functions import merchants as N
 from ledgerstone.functions import textlines as T
 from ledgerstone.functions.money import half_even_mean, money_text, to_minor
@@ -116,3 +117,14 @@ def test_files(spark, tmp_path):
     assert {r.filename: r.refusal for r in f.collect()} == {"a.pdf": None, "c.txt": "only .pdf files are read"}
     assert f.where("filename = 'c.txt'").select(D.decode_text(F.col("content"))).first()[0] == "café"
 
+
+
+def test_functions_in_sql(spark):
+    names = sql.register(spark)
+    assert {"merchant_key", "flow_of", "merged_windows"} <= set(names)
+    raw = ["GRAB*A-12 SINGAPORE SG", "  7-ELEVEN 1234 ", "PAYPAL *SHOP.COM", "", None, "Annual fee", "refund x"]
+    df = spark.createDataFrame([(d, s) for d in raw for s in ("debit", "credit", None)], "d string, side string").withColumn("key", N.normalize("d")).withColumn("flow", classify.default_flow(F.col("d"), F.col("side")))
+    got = spark.sql("SELECT key, flow, merchant_key(d) AS k, flow_of(d, side) AS f FROM {df}", df=df).collect()
+    assert all((r.key, r.flow) == (r.k, r.f) for r in got)
+    one = spark.sql("SELECT to_minor('$1,234.565') AS a, net_value(5, 'refund') AS b, net_value(5, NULL) AS c, month_of(DATE '2024-02-29') AS m, merged_windows(array()) AS w").first()
+    assert tuple(one) == (123457, -5, 0, "2024-02", [])
