@@ -9,7 +9,7 @@ from ledgerstone.functions.sql import register
 from ledgerstone.operators import coverage, kept
 from ledgerstone.operators.rules import with_rule
 from ledgerstone.plans.catalog import COVER, LINEAGE, NET, REPORT, WINDOWS, _flow_sql, query
-from ledgerstone.sources import ingest
+from ledgerstone.sources import ingest, site
 from ledgerstone.sources.shared import shared_folder
 from ledgerstone.sources.store import Store
 
@@ -104,3 +104,24 @@ def _(g):
     w = Window.partitionBy("card").orderBy(F.coalesce("period_end", "statement_date"), "id")
     dated = s.withColumn("end", F.coalesce("period_end", "statement_date")).withColumn("start", F.coalesce("period_start", F.date_add(F.lag("end").over(w), 1), "first_txn"))
     return g.spark.sql("SELECT card, w.start, w.end FROM (SELECT card, explode(merged_windows(collect_list(struct(start, end)))) AS w FROM {dated} GROUP BY card)", dated=dated)
+
+
+_LINK = r'\b(href|src)="([^"]*)"'
+_SITE = rf"""WITH RECURSIVE a AS (SELECT page_id, lower(regexp_extract(url, '(?i)^https?://([^/?#]*)', 1)) AS host, COALESCE(NULLIF(regexp_extract(url, '(?i)^https?://[^/?#]*([^?#]*)', 1), ''), '/') AS path, regexp_extract(url, '^[^?#]*([?][^#]*)', 1) AS query, COALESCE(html, '') AS html FROM pages WHERE regexp_matches(url, '(?i)^https?://')),
+s AS (SELECT *, host || path || CASE WHEN len(query) > 1 THEN query ELSE '' END AS key FROM a QUALIFY ROW_NUMBER() OVER (PARTITION BY host || path || CASE WHEN len(query) > 1 THEN query ELSE '' END ORDER BY page_id) = 1),
+l AS (SELECT key, host, n, names[n] AS name, replace(replace(replace(replace(replace(raws[n], '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM (SELECT key, host, names, raws, unnest(range(1, len(raws) + 1)) AS n FROM (SELECT key, host, regexp_extract_all(html, '{_LINK}', 1) AS names, regexp_extract_all(html, '{_LINK}', 2) AS raws FROM s))),
+e AS (SELECT *, regexp_extract(t, '^([^?#]*)', 1) AS to_path, regexp_extract(t, '^[^?#]*([?][^#]*)', 1) AS to_query, regexp_extract(t, '(#.*)$', 1) AS fragment FROM l),
+k AS (SELECT *, host || to_path || CASE WHEN len(to_query) > 1 THEN to_query ELSE '' END AS to_key FROM e),
+r AS (SELECT key, 0 AS depth FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY host ORDER BY page_id) = 1 UNION SELECT k.to_key, r.depth + 1 FROM r JOIN k ON k.key = r.key JOIN s ON s.key = k.to_key WHERE r.depth < 50),
+d AS (SELECT key, MIN(depth) AS depth FROM r GROUP BY key),
+f AS (SELECT s.*, d.depth, rtrim(path, '/') || CASE WHEN len(query) > 1 THEN '/q/' || sha1(query[2:])[1:12] ELSE '' END || '/' AS file FROM s JOIN d ON d.key = s.key),
+w AS (SELECT k.key, list(name || '="' || replace(replace(replace(replace(replace('/base' || COALESCE(f.file, to_path) || fragment, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '"' ORDER BY n) AS links FROM k LEFT JOIN f ON f.key = k.to_key GROUP BY k.key)
+SELECT page_id, host, CAST(depth AS INTEGER) AS depth, file, md5(array_to_string(list_transform(range(1, len(string_split_regex(html, '{_LINK}')) + 1), lambda i: string_split_regex(html, '{_LINK}')[i] || COALESCE(w.links[i], '')), '')) AS html_md5 FROM f LEFT JOIN w ON w.key = f.key"""
+
+
+@query("site_pages", _SITE, ledger=False)
+def _(g):
+    """Snapshots of all hosts, each from its page of smallest id. All links of the given pages begin with a slash, so the SQL resolves no others; tests do."""
+    pages = g.table("pages")
+    first = site.addressed(pages).groupBy("host").agg(F.min("page_id").alias("page_id"))
+    return site.site_snapshot(pages, first.select("page_id"), base="/base").select("page_id", "host", "depth", "file", F.md5("html").alias("html_md5"))
