@@ -229,7 +229,7 @@ def _(g):
 
 
 @query("cluster_order", f""", {_MERCHANT}, r AS (SELECT merchant_normalized, split_part(merchant_normalized, ' ', 1) AS root, abs(value_minor) AS weight FROM m), t AS (SELECT *, CAST(SUM(weight) OVER (PARTITION BY root) AS BIGINT) AS root_total FROM r)
-  SELECT merchant_normalized, root, weight, root_total, CAST(ROW_NUMBER() OVER (ORDER BY root_total DESC, root, weight DESC, merchant_normalized) AS INTEGER) AS position FROM t""")
+  SELECT merchant_normalized, root, weight, root_total, CAST(ROW_NUMBER() OVER (ORDER BY root_total DESC, root, weight DESC, merchant_normalized) AS BIGINT) AS position FROM t""")
 def _(g):
     return listing.cluster_order(listing.merchant_summary(g.lines, g.memory)).select("merchant_normalized", "root", "weight", "root_total", "position")
 

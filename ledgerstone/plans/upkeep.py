@@ -224,13 +224,13 @@ def _(g):
     return listing.statement_rows(_rows(g), source_page=9).select("id", "statement_id", "source_page")
 
 
-@query("memory_list", " SELECT merchant_normalized, len(merchant_normalized) % 3 AS hit_count, CAST(ROW_NUMBER() OVER (ORDER BY len(merchant_normalized) % 3 DESC, source, merchant_normalized) AS INTEGER) AS position FROM merchant_memory")
+@query("memory_list", " SELECT merchant_normalized, len(merchant_normalized) % 3 AS hit_count, CAST(ROW_NUMBER() OVER (ORDER BY len(merchant_normalized) % 3 DESC, source, merchant_normalized) AS BIGINT) AS position FROM merchant_memory")
 def _(g):
     return listing.memory_list(g.memory.withColumn("hit_count", (F.length("merchant_normalized") % 3).cast("long"))).select("merchant_normalized", "hit_count", "position")
 
 
 @query("merchant_page", f""", {_MERCHANT}, r AS (SELECT merchant_normalized, split_part(merchant_normalized, ' ', 1) AS root, abs(value_minor) AS weight FROM m), t AS (SELECT *, SUM(weight) OVER (PARTITION BY root) AS total FROM r),
-  o AS (SELECT merchant_normalized, CAST(ROW_NUMBER() OVER (ORDER BY total DESC, root, weight DESC, merchant_normalized) AS INTEGER) AS position FROM t) SELECT *, 7 AS page FROM o WHERE position BETWEEN 61 AND 70""")
+  o AS (SELECT merchant_normalized, CAST(ROW_NUMBER() OVER (ORDER BY total DESC, root, weight DESC, merchant_normalized) AS BIGINT) AS position FROM t) SELECT *, 7 AS page FROM o WHERE position BETWEEN 61 AND 70""")
 def _(g):
     m = listing.cluster_order(listing.merchant_summary(g.lines, g.memory)).select("merchant_normalized", "position")
     return listing.page_of(m, 99, 10).select("merchant_normalized", "position", "page")
@@ -241,7 +241,7 @@ def _(g):
     return listing.undecided(listing.merchant_summary(g.lines, g.memory), g.groups)
 
 
-@query("group_order", f""", e AS (SELECT group_name, CAST(COALESCE(SUM({NET}), 0) AS BIGINT) AS v FROM merchant_group LEFT JOIN txn_lines USING (merchant_normalized) GROUP BY 1) SELECT group_name, v, CAST(ROW_NUMBER() OVER (ORDER BY abs(v) DESC, group_name) AS INTEGER) AS position FROM e""")
+@query("group_order", f""", e AS (SELECT group_name, CAST(COALESCE(SUM({NET}), 0) AS BIGINT) AS v FROM merchant_group LEFT JOIN txn_lines USING (merchant_normalized) GROUP BY 1) SELECT group_name, v, CAST(ROW_NUMBER() OVER (ORDER BY abs(v) DESC, group_name) AS BIGINT) AS position FROM e""")
 def _(g):
     from ledgerstone.sources.shared import positions
 
@@ -251,14 +251,14 @@ def _(g):
 @query("suggestion_prices", f""", k AS (SELECT DISTINCT merchant_normalized AS k, split_part(merchant_normalized, ' ', 1) || ' ' || split_part(merchant_normalized, ' ', 2) AS two, split_part(merchant_normalized, ' ', 1) AS one FROM txn_lines WHERE merchant_normalized <> ''),
   b AS (SELECT k || ' #' || CAST(n AS VARCHAR) AS k, k AS prefix FROM (SELECT DISTINCT k FROM k) CROSS JOIN (SELECT unnest([1, 2]) AS n)),
   s AS (SELECT b.prefix, CAST(SUM({NET}) AS BIGINT) AS v, COUNT(*) AS rows_total FROM b JOIN txn_lines t ON t.merchant_normalized || ' #' || CAST(t.account_id % 2 + 1 AS VARCHAR) = b.k GROUP BY 1)
-  SELECT prefix, rows_total, v, CAST(ROW_NUMBER() OVER (ORDER BY abs(v) DESC, prefix) AS INTEGER) AS place FROM s""")
+  SELECT prefix, rows_total, v, CAST(ROW_NUMBER() OVER (ORDER BY abs(v) DESC, prefix) AS BIGINT) AS place FROM s""")
 def _(g):
     t = g.lines.withColumn("merchant_normalized", F.concat("merchant_normalized", F.lit(" #"), (F.col("account_id") % 2 + 1).cast("string")))
     keys = g.lines.select("merchant_normalized").distinct().withColumn("n", F.explode(F.array(F.lit("1"), F.lit("2")))).select(F.concat_ws(" #", "merchant_normalized", "n").alias("merchant_normalized"))
     return grouping.priced(grouping.suggest(keys), t).select("prefix", "rows_total", "v", "place")
 
 
-@query("card_order", f" SELECT id AS account_id, {_CARD} AS card_name, CAST(ROW_NUMBER() OVER (ORDER BY issuer, last4 NULLS FIRST, id) AS INTEGER) AS position FROM account")
+@query("card_order", f" SELECT id AS account_id, {_CARD} AS card_name, CAST(ROW_NUMBER() OVER (ORDER BY issuer, last4 NULLS FIRST, id) AS BIGINT) AS position FROM account")
 def _(g):
     from ledgerstone.sources.shared import positions
 
@@ -338,7 +338,7 @@ def _(g):
     return display.months_by_year(g.txn.select(reports.month_key().alias("month")))
 
 
-@query("report_order", f", {LINEAGE}, {WINDOWS}, {COVER}, {REPORT} SELECT month, CAST(ROW_NUMBER() OVER (ORDER BY month DESC) AS INTEGER) AS position FROM rep")
+@query("report_order", f", {LINEAGE}, {WINDOWS}, {COVER}, {REPORT} SELECT month, CAST(ROW_NUMBER() OVER (ORDER BY month DESC) AS BIGINT) AS position FROM rep")
 def _(g):
     from ledgerstone.sources.shared import positions
 
