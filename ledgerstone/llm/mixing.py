@@ -94,7 +94,7 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, dims: tuple[str
 
     A missing ``topic`` column is derived from the text's layout and not returned. Nulls in a dimension are a value of
     their own. A text without words (null, empty, blank) has probability 0. Documents are drawn by a hash of id and text: the same rows on every run;
-    equal rows are drawn alike, a null id by its text alone. An empty table gives no rows.
+    equal rows are drawn alike, a null id by its text alone. A text of any length is one row, whose words are counted in place. An empty table gives no rows.
     """
     own = docs.columns
     t = docs.drop("mix_tokens", "mix_probability", "mix_kept")

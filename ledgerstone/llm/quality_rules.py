@@ -195,7 +195,7 @@ def base_failed() -> Column:
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per document the id, all statistics, base_failed, kept and rule (the number of the first rule that fires, from 1, or null).
 
-    Null and empty texts have zero statistics and fail the base rules. Rows of equal or null id are judged one by one. An empty table gives no rows.
+    Null and empty texts have zero statistics and fail the base rules. Rows of equal or null id are judged one by one. A text of any length is one row, whose arrays of words and lines must fit a task. Columns but the id and the text are ignored, whatever their names. An empty table gives no rows.
     """
     stats = shared_table(docs.sparkSession, with_stats(docs.select(id_col, text_col), text_col).drop(text_col))
     rules = learn(stats, labels, id_col=id_col, **options)

@@ -80,7 +80,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
 
     Null and empty texts have no words: counts 0, kept_text "". Rows with a null id count as the earliest.
     Rows of equal id are separate documents in the order of Spark's xxhash64 of their text; of two equal rows the second is removed.
-    Texts of fewer words than a window stay whole. An empty table gives no rows. Other columns are ignored.
+    Texts of fewer words than a window stay whole. A text longer than a chunk is a chunk by itself and must fit a Python worker some ten times over. An empty table gives no rows. Other columns are ignored.
     """
     if window < 2:
         raise ValueError("window must be 2 words or more")
