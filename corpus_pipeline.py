@@ -48,12 +48,12 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of as many expected tokens as came in, which by source, language and layout are their shares to the power 0.7; rates above 1 are repeats. A text without words is never drawn."""
+    """A sample of as many expected tokens as came in, which by source, language and layout are their shares to the power 0.7; rates above 1 are repeats. A text without words is never drawn, a null id is drawn by its text alone, repeated rows are drawn alike. An empty table stays empty, and columns of any name keep their values."""
     return sample(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 4096 tokens, with their ids."""
+    """Pieces of sequences of at most 4096 tokens, with their ids. Null and empty texts are one end id; rows of equal or null id, and repeated rows, are documents of their own; a long text is cut over sequences; an empty table gives no rows; other columns are ignored."""
     return pack(docs, length=4096)
 
 
