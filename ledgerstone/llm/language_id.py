@@ -3,13 +3,15 @@
 A text's features are the bigrams and trigrams of its lower-cased letters, words parted by one space, hashed to ``dims`` places. Weights are
 (1 + ln tf) * idf, scaled to length one. Each language has up to ``clusters`` centroids, found by spherical k-means over a bounded labelled sample. A
 text gets the language of the nearest centroid by cosine; the cosine is its score. It is rejected if it lies much farther from that centroid than
-the language's own sample does for texts of about its length.
+the language's own sample does for texts of about its length. Short texts lie farther off by nature: what to expect of each length is measured on
+pieces of that length cut from the sample.
 
 The model is bounded by its parameters (languages x clusters x dims floats) and goes to the workers with the task. No row is shuffled.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +24,8 @@ from ledgerstone.llm._shared import free, shared_table
 UND = "und"
 #: Bins of text length; languages whose sizes are broadcast, some 5 MB at most.
 BINS, BROADCAST_LANGUAGES = 9, 100_000
+#: From this bin on (65 letters) bounds no longer rise.
+SETTLED = 4
 #: Held out of learning: crc32 of the id as text leaves this remainder by FOLDS.
 FOLDS, HELD = 4, 2
 _letters: np.ndarray | None = None
@@ -68,6 +72,18 @@ def _length_bin(letters: np.ndarray | int):
     return np.clip(np.ceil(np.log2(np.maximum(letters, 1) / 8)), 0, 8).astype(int)
 
 
+def pieces(text: str, seed: str) -> list[str]:
+    """One piece of a text for each length bin below its own, at a place drawn by the seed: three quarters as many letters as the bin takes, with what stands between them."""
+    text = text.lower()
+    at = np.flatnonzero(_is_letter()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")])
+    out = []
+    for b in range(int(_length_bin(len(at)))):
+        k = 6 << b
+        s = zlib.crc32(f"{b}:{seed}".encode("utf-8", "surrogatepass")) % (len(at) - k + 1)
+        out.append(text[at[s] : at[s + k - 1] + 1])
+    return out
+
+
 @dataclass
 class Model:
     dims: int
@@ -92,11 +108,11 @@ class Model:
         return self.languages[self.of[k]], score, bool(score < self.least[self.of[k], _length_bin(n)])
 
 
-def learn(docs: DataFrame, per_language: int = 300, sample_rows: int = 60_000, dims: int = 1 << 14, clusters: int = 3, slack: float = 0.45, low: float = 0.02, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def learn(docs: DataFrame, per_language: int = 300, sample_rows: int = 60_000, dims: int = 1 << 14, clusters: int = 3, slack: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on a bounded sample (by a hash of the id) of every language: about per_language documents each, fewer where languages are so many that sample_rows would be passed, whole texts, never a held-out one.
 
     Features are written to the shared folder; idf, centroids and bounds come from one group per language, and the driver gets those only: some 0.3 MB a
-    language at the defaults. A text is rejected below ``slack`` times the ``low`` quantile of its language's sample cosines for texts of its length; few outliers thus don't loosen the bound.
+    language at the defaults. A text is rejected below ``slack`` times the median cosine of its language's sample at its length, whole texts and pieces of longer ones; outliers and wrong labels thus don't move the bound.
     Null texts, languages and ids teach nothing; a language of few documents is learned from those. Repeated rows count as often as they occur. An empty table gives a model that knows no language.
     """
     spark = docs.sparkSession
@@ -107,15 +123,15 @@ def learn(docs: DataFrame, per_language: int = 300, sample_rows: int = 60_000, d
     u = F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
     few = n_languages <= BROADCAST_LANGUAGES  # else Spark decides: no language then holds much of the rows' shuffle by itself
     sample = t.join(F.broadcast(sizes) if few else sizes, "lang").where(u < F.lit(float(each)) / F.col("n")).select("lang", "id", "text")
-    schema = pa.schema([("lang", pa.string()), ("id", pa.string()), ("n", pa.int64()), ("at", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("lang", pa.string()), ("id", pa.string()), ("whole", pa.bool_()), ("n", pa.int64()), ("at", pa.binary()), ("counts", pa.binary())])
 
     def count(batches):
         for b in batches:
-            rows = [(lang, i, *features(x, dims)) for lang, i, x in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)]
-            rows = [r for r in rows if r[4]]
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[4] for r in rows], pa.int64()), pa.array([r[2].astype("<u4").tobytes() for r in rows], pa.binary()), pa.array([r[3].astype("<f4").tobytes() for r in rows], pa.binary())], schema=schema)
+            rows = [(lang, i, x is text, *features(x, dims)) for lang, i, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) for x in (text, *pieces(text, i))]
+            rows = [(lang, i, whole, n, at.astype("<u4").tobytes(), counts.astype("<f4").tobytes()) for lang, i, whole, at, counts, n in rows if n]
+            yield pa.record_batch([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    got = shared_table(spark, sample.mapInArrow(count, "lang string, id string, n long, at binary, counts binary"))
+    got = shared_table(spark, sample.mapInArrow(count, "lang string, id string, whole boolean, n long, at binary, counts binary"))
     seen = pa.schema([("rows", pa.int64()), ("df", pa.binary())])
 
     def frequencies(table: pa.Table) -> pa.Table:
@@ -125,20 +141,22 @@ def learn(docs: DataFrame, per_language: int = 300, sample_rows: int = 60_000, d
         return pa.table([[table.num_rows], [df.astype("<f8").tobytes()]], schema=seen)
 
     n, df = 0, np.zeros(dims)
-    for r in got.groupBy("lang").applyInArrow(frequencies, "rows long, df binary").toLocalIterator():
+    for r in got.where("whole").groupBy("lang").applyInArrow(frequencies, "rows long, df binary").toLocalIterator():
         n, df = n + r.rows, df + np.frombuffer(r.df, "<f8")
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     model = Model(dims, [], np.zeros(0, int), np.zeros((0, dims), np.float32), idf, np.zeros((0, BINS)))
     found = pa.schema([("lang", pa.string()), ("centroids", pa.binary()), ("least", pa.binary())])
 
     def fit(table: pa.Table) -> pa.Table:
-        mine = sorted(zip(*(table.column(c).to_pylist() for c in ("id", "n", "at", "counts")), strict=True))
+        parts = [(i, whole, n, np.frombuffer(at, "<u4").astype(np.int64), np.frombuffer(counts, "<f4")) for i, whole, n, at, counts in zip(*(table.column(c).to_pylist() for c in ("id", "whole", "n", "at", "counts")), strict=True)]
+        mine = sorted((p for p in parts if p[1]), key=lambda p: (p[0], p[2], p[3].tobytes(), p[4].tobytes()))
         x = np.zeros((len(mine), dims), np.float32)
-        for i, (_, _, at, counts) in enumerate(mine):
-            at = np.frombuffer(at, "<u4").astype(np.int64)
-            x[i, at] = model.vector(at, np.frombuffer(counts, "<f4"))
+        for row, p in zip(x, mine, strict=True):
+            row[p[3]] = model.vector(*p[3:])
         c = _cluster(x, clusters)
-        return pa.table([[table.column("lang")[0].as_py()], [c.astype("<f4").tobytes()], [(slack * _bounds((x @ c.T).max(axis=1), _length_bin(np.array([m[1] for m in mine])), low)).astype("<f8").tobytes()]], schema=found)
+        cos = np.array([(c[:, p[3]] @ model.vector(*p[3:])).max() for p in parts])
+        least = slack * _bounds(cos, _length_bin(np.array([p[2] for p in parts])))
+        return pa.table([[table.column("lang")[0].as_py()], [c.astype("<f4").tobytes()], [least.astype("<f8").tobytes()]], schema=found)
 
     rows = sorted(got.groupBy("lang").applyInArrow(fit, "lang string, centroids binary, least binary").collect())
     if rows:
@@ -149,16 +167,15 @@ def learn(docs: DataFrame, per_language: int = 300, sample_rows: int = 60_000, d
     return model
 
 
-def _bounds(cos: np.ndarray, bins: np.ndarray, low: float, enough: int = 20) -> np.ndarray:
-    """The low quantile of cosines per length bin. A bin of few texts takes in longer ones, then shorter ones, and its bound is halved for each longer bin: shorter texts lie farther off. A bound never exceeds that of a longer bin."""
-    out, above = np.zeros(BINS), np.inf
-    for b in reversed(range(BINS)):
-        lo, hi = b, b
-        while np.count_nonzero((bins >= lo) & (bins <= hi)) < enough and (lo > 0 or hi < BINS - 1):
-            lo, hi = (lo, hi + 1) if hi < BINS - 1 else (lo - 1, hi)
-        some = cos[(bins >= lo) & (bins <= hi)]
-        above = out[b] = min(above, float(np.quantile(some, low)) / 2.0 ** (hi - b) if len(some) else 0.0)
-    return out
+def _bounds(cos: np.ndarray, bins: np.ndarray, enough: int = 20) -> np.ndarray:
+    """The median of cosines per length bin; from SETTLED on, the same: texts of other languages come no nearer with length, but repetitive ones of the language itself fall behind. A bin of fewer than ``enough`` takes the bound of the next shorter one, which is lower by nature; so no bound exceeds that of a longer bin. A language without any fuller bin has the bounds of what there is, halved."""
+    sizes = np.bincount(bins, minlength=BINS)
+    need, share = (enough, 1.0) if sizes.max() >= enough else (max(1, sizes.max()), 0.5)
+    out = np.zeros(BINS)
+    for b in range(BINS):
+        out[b] = share * float(np.median(cos[bins == b])) if sizes[b] >= need else out[b - 1] if b else 0.0
+    out[SETTLED:] = out[SETTLED]
+    return np.minimum.accumulate(out[::-1])[::-1]
 
 
 def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:

@@ -276,6 +276,49 @@ def test_a_related_language_is_rejected(spark):
     assert language_id.identify(learned, model).where("lang_rejected").count() <= 2
 
 
+#: Short texts of languages not in the tables, one in another script, and one without words.
+FOREIGN = [
+    "la vita nel piccolo paese di montagna era tranquilla e ogni mattina il vecchio andava al mercato per comprare il pane fresco",
+    "het oude huis aan de gracht werd vorig jaar verkocht aan een jonge familie die graag in de stad wilde wonen met hun kinderen",
+    "vanha mies istui järven rannalla ja katseli kuinka aurinko laski hitaasti metsän taakse kesäillan hiljaisuudessa",
+    "stary człowiek siedział na brzegu jeziora i patrzył jak słońce powoli zachodzi za lasem w ciszy letniego wieczoru",
+    "старый человек сидел на берегу озера и смотрел как солнце медленно садилось за лес в тишине летнего вечера",
+    "zxq vbnrt kljh gfdw qpzm xcvn wrtk bbqz jjkx vvmp zzxq kwrt plmn hgfd sqzx cvbn mtrk jhgf wqxz pkln rtvb",
+]
+
+
+def test_short_foreign_texts_are_rejected(spark):
+    learned = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.learn(learned)
+    cuts = [re.match(rf"(?:\W*\w){{{n}}}", x)[0] for x in FOREIGN for n in (40, 60, 80)]
+    assert [x for x in cuts if not model.predict(x)[2]] == []
+    own = [(p, r.lang) for r in learned.where(language_id.held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull()).collect() for p in language_id.pieces(r.text, "own")[2:]]
+    assert sum(model.predict(p)[2] for p, _ in own) / len(own) < 0.02
+
+
+def test_pieces_and_bounds_by_plain_loops(docs):
+    text = "Ab, cd-ef  GH 12 ij kl mn é" * 9
+    letters = lambda x: [c for c in x.lower() if c.isalpha()]
+    got = language_id.pieces(text, "s")
+    assert [len(letters(p)) for p in got] == [6, 12, 24, 48, 96] and all(p in text.lower() for p in got)
+    assert language_id.pieces("", "s") == language_id.pieces("short", "s") == []
+    model = language_id.learn(docs, per_language=10_000)
+    for lang, least in zip(model.languages, model.least, strict=True):
+        taught = {(r.doc_id, r.text, k) for k, r in enumerate(docs.where(~language_id.held_out()).collect()) if r.lang == lang and r.doc_id is not None and letters(r.text or "")}
+        cos = {}
+        for i, whole, _ in taught:
+            for x in (whole, *language_id.pieces(whole, str(i))):
+                at, counts, n = language_id.features(x, model.dims)
+                v = model.vector(at, counts)
+                cos.setdefault(max(0, min(8, math.ceil(math.log2(n / 8)))), []).append(max(float(c[at] @ v) for c, o in zip(model.centroids, model.of, strict=True) if model.languages[o] == lang))
+        most = max(map(len, cos.values()))
+        want = []
+        for b in range(9):
+            full = len(cos.get(b, [])) >= min(20, most)
+            want.append((1.0 if most >= 20 else 0.5) * float(np.median(cos[b])) if full else want[-1] if want else 0.0)
+        assert least == pytest.approx([0.4 * min(want[min(b, 4) : 5]) for b in range(9)], abs=1e-4)
+
+
 def test_language_of_nothing(none, docs):
     model = language_id.learn(none)
     assert model.languages == []
