@@ -35,7 +35,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows = rows.join(copies, (rows["doc_id"] == copies[f"{h}_id"]) & (rows[h] == copies[f"{h}_text"]), "left_anti")
     others = [F.col(f"`{c}`").cast("string").asc_nulls_first() for c in docs.columns if c not in ("doc_id", "text")] or [F.col("doc_id")]
     first = F.row_number().over(Window.partitionBy("doc_id", h).orderBy(*others))
-    return rows.withColumn(rank, first).where((F.col(rank) == 1) | F.col("doc_id").isNull()).select(*docs.columns)
+    named = rows.where(F.col("doc_id").isNotNull()).withColumn(rank, first).where(F.col(rank) == 1)
+    return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
