@@ -104,7 +104,7 @@ def _(g):
     return g.statement.select("id", D.decode_text(raw).alias("text"))
 
 
-@query("scanned_pages", "SELECT doc_id, length(trim(COALESCE(text, ''), ' ')) < 100 AS scanned FROM documents", ledger=False)
+@query("scanned_pages", f"SELECT doc_id, length(trim(COALESCE(text, ''), {' || '.join(f'chr({ord(c)})' for c in D.WHITE)})) < 100 AS scanned FROM documents", ledger=False)
 def _(g):
     return g.table("documents").select("doc_id", D.looks_scanned(F.col("text")).alias("scanned"))
 

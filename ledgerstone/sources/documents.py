@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ledgerstone.functions.money import to_major
 
 MOST_BYTES = 25 << 20
+#: White space at the ends of a page, as Python's ``strip`` takes it.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def read_files(spark: SparkSession, path: str, extension: str = "pdf") -> DataFrame:
@@ -40,7 +42,8 @@ def decode_text(content: Column) -> Column:
 
 
 def looks_scanned(text: Column) -> Column:
-    return F.length(F.trim(F.coalesce(text, F.lit("")))) < 100
+    """Whether a page has fewer than 100 characters between its outer white space, of any kind; the statement parser counts pages alike. A null page has none."""
+    return F.length(F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))) < 100
 
 
 def generate_statements(txns: DataFrame, statements: DataFrame, accounts: DataFrame, per_page: int = 60) -> DataFrame:

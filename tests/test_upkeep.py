@@ -163,3 +163,10 @@ def test_heads_stop_at_cycles(spark):
                 seen.append(to[seen[-1]])
             want[i] = seen[-1]
         assert {r.id: r.head for r in lineage.heads(spark.createDataFrame(rows, "id long, replaced_by_id long")).collect()} == want
+
+
+def test_scanned_pages_strip_all_white_space(spark):
+    text = "a" * 99
+    pages = [None, "", text, text + "b", *[c + text + c for c in documents.WHITE], *[c + text + "b" + c for c in documents.WHITE], "​" + text, text[:50] + " " * 40 + text[:20]]
+    got = spark.createDataFrame(list(enumerate(pages)), "k int, t string").select("k", documents.looks_scanned(F.col("t")).alias("scanned")).collect()
+    assert {r.k: r.scanned for r in got} == {k: len((t or "").strip()) < 100 for k, t in enumerate(pages)}
