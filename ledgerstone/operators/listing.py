@@ -19,12 +19,18 @@ FLOW_TYPES = ["spend", "refund", "transfer", "fee", "income"]  # fixed values
 
 
 def txn_slice(txns: DataFrame, accounts: DataFrame | None = None, groups: DataFrame | None = None, *, uncategorized: bool = False, month: str | list[str] | None = None, category: str | None = None, account: int | None = None, merchant: str | None = None, merchant_group: str | None = None, flow: str | None = None) -> DataFrame:
-    """Rows that pass every given filter. A card brings the cards it replaced; a group its merchants."""
+    """Rows that pass every given filter. A card brings the cards it replaced; a group its merchants.
+
+    A value that is no month's form (YYYY-MM), no known category or no known flow is no filter; a month beyond the calendar (2026-13) has no rows.
+    """
     t = txns
+    months = [m for m in ([month] if isinstance(month, str) else month or []) if re.fullmatch(r"[0-9]{4}-[0-9]{2}", m or "")]
+    category, flow = (None if bad_filters(category=category) else category), (None if bad_filters(flow=flow) else flow)
     if uncategorized or category == NONE:
         t = t.where(F.col("category").isNull())
-    if month:
-        t = t.where(in_months(F.col("txn_date"), [month] if isinstance(month, str) else list(month)))
+    if months:
+        real = sorted({m for m in months if not bad_filters(month=m)})
+        t = t.where(in_months(F.col("txn_date"), real) if real else F.lit(False))
     if category and category != NONE:
         t = t.where(F.col("category") == category)
     if account:

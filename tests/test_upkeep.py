@@ -170,3 +170,12 @@ def test_scanned_pages_strip_all_white_space(spark):
     pages = [None, "", text, text + "b", *[c + text + c for c in documents.WHITE], *[c + text + "b" + c for c in documents.WHITE], "​" + text, text[:50] + " " * 40 + text[:20]]
     got = spark.createDataFrame(list(enumerate(pages)), "k int, t string").select("k", documents.looks_scanned(F.col("t")).alias("scanned")).collect()
     assert {r.k: r.scanned for r in got} == {k: len((t or "").strip()) < 100 for k, t in enumerate(pages)}
+
+
+def test_values_of_no_known_kind_are_no_filter(spark):
+    rows = [(1, "2026-01-05", "Dining", "spend"), (2, "2026-02-05", None, "fee"), (3, "2026-02-06", "Travel", "refund")]
+    t = spark.createDataFrame(rows, "id long, d string, category string, flow_type string").withColumn("txn_date", F.col("d").cast("date"))
+    ids = lambda **given: sorted(r.id for r in listing.txn_slice(t, **given).select("id").collect())
+    assert ids(month="soon", category="Snacks", flow="gift") == ids(month=["", None], category="") == [1, 2, 3]
+    assert ids(month=["2026-02", "x"]) == [2, 3] and ids(month="2026-13") == [] and ids(month=["2026-13", "2026-01"]) == [1]
+    assert ids(category="(uncategorized)") == [2] and ids(category="Travel", flow="gift") == [3] and ids(flow="fee") == [2]
