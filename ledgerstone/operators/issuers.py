@@ -30,10 +30,14 @@ def best_issuer(text: Column) -> Column:
     """The issuer of most mentions, identity marks counting five, outside lines that look like transactions; null if none is named."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"\R"), lambda x: ~(x.rlike(T.ROW_DATE) & x.rlike(T.ROW_AMOUNT)))
     kept = F.array_join(lines, "\n")
-    count = lambda p: F.regexp_count(kept, F.lit("(?i)" + p))
-    scores = F.array(*[F.struct((count(m) + (MARK_WEIGHT * count(k) if k else 0)).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, m, k) in enumerate(ISSUERS)])
-    top = F.array_max(scores)
-    return F.when(top["score"] > 0, top["name"])
+
+    def best(kept: Column) -> Column:
+        count = lambda p: F.regexp_count(kept, F.lit("(?i)" + p))
+        scores = [F.struct((count(m) + (MARK_WEIGHT * count(k) if k else 0)).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, m, k) in enumerate(ISSUERS)]
+        top = F.array_max(F.filter(F.array(*scores), lambda x: x["score"] > 0))
+        return top["name"]
+
+    return F.transform(F.array(kept), best)[0]  # as a function's argument the lines are filtered once, not once a count
 
 
 def detect(documents: DataFrame) -> DataFrame:

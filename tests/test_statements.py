@@ -103,3 +103,11 @@ def test_warnings_of_a_long_statement(spark):
     began = time.time()
     assert S.warnings(parsed).first().warnings == ["2 identical row(s) — genuine repeats, or a page read twice"]
     assert time.time() - began < 20  # a pairwise comparison of 80,000 rows takes minutes
+
+
+def test_issuer_reads_the_lines_once(spark):
+    d = spark.createDataFrame([(1, ["16 MAY DBS 1.00\nUOB\nUOB\nDBS Bank Ltd", "x"], "a_b.pdf"), (2, ["x", "Meridian", "Bank"], "a.pdf"), (3, None, "my-bank.pdf"), (4, [], "b.pdf")], "id long, pages array<string>, filename string")
+    got = issuers.detect(d)
+    assert {r.id: r.issuer for r in got.collect()} == {1: "DBS", 2: "Meridian Bank", 3: "My Bank", 4: "B"}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 4
