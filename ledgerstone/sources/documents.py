@@ -53,24 +53,26 @@ def generate_statements(txns: DataFrame, statements: DataFrame, accounts: DataFr
     """
     d = lambda c: F.upper(F.date_format(c, "dd MMM yyyy"))
     money = lambda c: F.format_number(to_major(c), 2)
-    t = txns.withColumn("line", F.concat(d("txn_date"), F.lit("  "), d("txn_date"), F.lit("  "), F.col("description_raw"), F.lit("  "), money(F.col("amount_minor")), F.when(F.col("direction") == "credit", " CR").otherwise("")))
-    place = F.row_number().over(Window.partitionBy("statement_id").orderBy("txn_date", "id"))
-    t = t.withColumn("k", place).withColumn("p", F.floor((F.col("k") - 1) / per_page))
-    g = t.groupBy("statement_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("k", "p", "line"))), lambda s: F.struct(s["p"].alias("p"), s["line"].alias("line"))).alias("rows"),
-        F.coalesce(F.sum(F.when(F.col("direction") == "debit", F.col("amount_minor"))), F.lit(0)).alias("debits"), F.coalesce(F.sum(F.when(F.col("direction") == "credit", F.col("amount_minor"))), F.lit(0)).alias("credits"))
-    s = statements.join(g, F.col("id") == F.col("statement_id")).join(accounts.select(F.col("id").alias("account_id"), "issuer", "last4"), "account_id")
+    total = lambda x: F.coalesce(F.sum(F.when(F.col("direction") == x, F.col("amount_minor"))), F.lit(0))
+    sums = txns.groupBy("statement_id").agg(total("debit").alias("debits"), total("credit").alias("credits"))
+    # Balances run over a card's statements, so only a short row of each is in that window; the lines stay where their statement is.
+    s = statements.join(sums, F.col("id") == F.col("statement_id")).join(accounts.select(F.col("id").alias("account_id"), "issuer", "last4"), "account_id")
     closing = F.sum(F.col("debits") - F.col("credits")).over(Window.partitionBy("account_id").orderBy("statement_date").rowsBetween(Window.unboundedPreceding, 0))
     s = s.withColumn("closing", closing).withColumn("opening", F.col("closing") - F.col("debits") + F.col("credits"))
     signed = lambda c: F.concat(money(F.abs(c)), F.when(c < 0, " CR").otherwise(""))
     start = F.date_add(F.add_months("statement_date", -1), 1)
     head = F.concat(F.col("issuer"), F.lit("\nCard number **** **** **** "), F.coalesce("last4", F.lit("0000")), F.lit(" SGD\nStatement period "), d(start), F.lit(" to "), d(F.col("statement_date")), F.lit("\nPREVIOUS BALANCE  "), signed(F.col("opening")), F.lit("\n\n"))
     tail = F.concat(F.lit("\n\nTotal purchases  "), money(F.col("debits")), F.lit("\nTotal payments  "), money(F.col("credits")), F.lit("\nNEW BALANCE  "), signed(F.col("closing")))
-    last = F.expr("rows[size(rows) - 1].p")
-    s = s.withColumn("head", head).withColumn("tail", tail).withColumn("last", last)
-    body = lambda p: F.array_join(F.transform(F.filter("rows", lambda r: r["p"] == p), lambda r: r["line"]), "\n")
-    pages = F.transform(F.sequence(F.lit(0), F.col("last").cast("int")), lambda p: F.concat(F.when(p == 0, F.col("head")).otherwise(F.lit("")), body(p), F.when(p == F.col("last"), F.col("tail")).otherwise(F.lit(""))))
-    return s.select("id", pages.alias("pages"))
+    s = s.select("id", head.alias("head"), tail.alias("tail"))
+    t = txns.withColumn("line", F.concat(d("txn_date"), F.lit("  "), d("txn_date"), F.lit("  "), F.col("description_raw"), F.lit("  "), money(F.col("amount_minor")), F.when(F.col("direction") == "credit", " CR").otherwise("")))
+    place = F.row_number().over(Window.partitionBy("statement_id").orderBy("txn_date", "id"))
+    t = t.withColumn("k", place).withColumn("p", F.floor((F.col("k") - 1) / per_page))
+    inner = lambda kept: F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["text"])
+    bodies = t.groupBy("statement_id", "p").agg(F.array_join(inner(F.struct("k", F.col("line").alias("text"))), "\n").alias("body"))
+    g = bodies.groupBy("statement_id").agg(inner(F.struct("p", F.col("body").alias("text"))).alias("bodies"))
+    of = g.join(s, F.col("statement_id") == F.col("id"))
+    pages = F.transform("bodies", lambda x, i: F.concat(F.when(i == 0, F.col("head")).otherwise(F.lit("")), x, F.when(i == F.size("bodies") - 1, F.col("tail")).otherwise(F.lit(""))))
+    return of.select("id", pages.alias("pages"))
 
 
 def fill_gaps(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:

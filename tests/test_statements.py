@@ -111,3 +111,24 @@ def test_issuer_reads_the_lines_once(spark):
     assert {r.id: r.issuer for r in got.collect()} == {1: "DBS", 2: "Meridian Bank", 3: "My Bank", 4: "B"}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") <= 4
+
+
+def test_pages_of_a_long_statement(spark):
+    """Statements of one card are read from their transactions: pages in order, balances carried forward, no window over their lines."""
+    t = spark.range(25_000).selectExpr("id", "1L AS account_id", "id % 5 AS statement_id", "date_add(date'2026-01-01', CAST(id % 5 * 30 + id / 5 % 28 AS INT)) AS txn_date", "concat('SHOP ', id) AS description_raw", "id % 100 + 1 AS amount_minor", "if(id % 3 = 0, 'credit', 'debit') AS direction")
+    s = spark.range(5).selectExpr("id", "1L AS account_id", "date_add(date'2026-01-01', CAST(id * 30 + 29 AS INT)) AS statement_date")
+    a = spark.createDataFrame([(1, "North Bank", "1111")], "id long, issuer string, last4 string")
+    docs = D.generate_statements(t, s, a, per_page=20)
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Window" in x and ("rows#" in x or "bodies#" in x)]
+    assert "filter(rows" not in plan
+    got = {r.id: r.pages for r in docs.collect()}
+    balance = 0
+    for i in range(5):
+        mine = sorted((x for x in t.where(F.col("statement_id") == i).collect()), key=lambda x: (x.txn_date, x.id))
+        assert len(got[i]) == 250
+        named = [[line.split("  ")[2] for line in p.splitlines() if "SHOP" in line] for p in got[i]]
+        assert named == [[x.description_raw for x in mine[k : k + 20]] for k in range(0, 5000, 20)]
+        assert f"PREVIOUS BALANCE  {abs(balance) / 100:,.2f}" in got[i][0]
+        balance += sum(x.amount_minor if x.direction == "debit" else -x.amount_minor for x in mine)
+        assert f"NEW BALANCE  {abs(balance) / 100:,.2f}" in got[i][-1] and "BALANCE" not in "".join(got[i][1:-1])
