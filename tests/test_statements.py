@@ -132,3 +132,15 @@ def test_pages_of_a_long_statement(spark):
         assert f"PREVIOUS BALANCE  {abs(balance) / 100:,.2f}" in got[i][0]
         balance += sum(x.amount_minor if x.direction == "debit" else -x.amount_minor for x in mine)
         assert f"NEW BALANCE  {abs(balance) / 100:,.2f}" in got[i][-1] and "BALANCE" not in "".join(got[i][1:-1])
+
+
+def test_batches_are_handed_on(spark):
+    """A worker never holds what all documents of an Arrow batch say at once, and no document is lost."""
+    page = "x" * 100 + "\nStatement period 15 MAY 2026 to 14 JUN 2026\n" + "16 MAY 17 MAY SHOP 1.00\n" * 2_000
+    few = pa.record_batch({"id": pa.array(range(12), pa.int64()), "pages": pa.array([[page]] * 12)})
+    many = pa.record_batch({"id": pa.array(range(12, 1_212), pa.int64()), "pages": pa.array([["x", None], None] * 600)})
+    got = list(S.read_batches([few, few.slice(0, 0), many]))
+    assert [i for b in got for i in b.column("id").to_pylist()] == list(range(1_212))
+    assert max(b.num_rows for b in got) <= S.BATCH_DOCUMENTS
+    assert max(sum(map(len, b.column("rows").to_pylist())) for b in got) < S.BATCH_ROWS + 2_000
+    assert sum(len(x) for b in got for x in b.column("rows").to_pylist()) == 24_000
