@@ -144,3 +144,9 @@ def test_batches_are_handed_on(spark):
     assert max(b.num_rows for b in got) <= S.BATCH_DOCUMENTS
     assert max(sum(map(len, b.column("rows").to_pylist())) for b in got) < S.BATCH_ROWS + 2_000
     assert sum(len(x) for b in got for x in b.column("rows").to_pylist()) == 24_000
+
+
+def test_documents_of_one_file_are_dealt_out(spark):
+    docs = spark.range(200).select("id", F.array(F.lit(PAGE)).alias("pages")).coalesce(1)
+    got = S.parse_statements(docs).select("id", F.spark_partition_id().alias("part")).collect()
+    assert sorted(r.id for r in got) == list(range(200)) and len({r.part for r in got}) > 4
