@@ -5,7 +5,7 @@
   are searched. Texts and rules meet by that piece, so work follows the candidates and not texts times rules.
 * Regular expressions have no piece that is sure to be there. They are one row, an array, that each distinct text walks: few are written, by hand.
 
-Of the rules that cover a text the first by priority, then id, counts. Nothing comes to the driver.
+Of the rules that cover a text the first by priority, then id, counts; so of rules of one type and pattern only the first meets texts, however many there are. Nothing comes to the driver.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ledgerstone.functions.patterns import safe_pattern
+from ledgerstone.sources.shared import snapshot
 
 #: Characters of a piece.
 PIECE = 3
@@ -38,8 +39,9 @@ def first_rules(texts: DataFrame, rules: DataFrame) -> DataFrame:
     rules: id, pattern, match_type, category, flow_type, priority. Patterns are trimmed and lower-cased. Blank ones, regular expressions that could run without end, and
     rules of another type cover nothing; so does a null. An empty text is covered by no rule. A null priority comes last.
     """
-    texts = texts.where("text <> ''").select("text").distinct()
+    texts = snapshot(texts.where("text <> ''").select("text").distinct())
     r = rules.select(F.lower(F.regexp_replace("pattern", r"(?U)^\s+|\s+$", "")).alias("pattern"), "match_type", F.struct((-F.coalesce("priority", F.lit(-(1 << 30))).cast("long")).alias("place"), F.col("id").cast("long").alias("id"), "category", "flow_type").alias("rule")).where("pattern <> ''")
+    r = snapshot(r.groupBy("match_type", "pattern").agg(F.min("rule").alias("rule")))  # of rules that look for the same, only the first can count
     exact = r.where("match_type = 'exact'").join(texts, F.col("pattern") == F.col("text")).select("text", "rule")
 
     part = r.where("match_type = 'contains'")
@@ -59,7 +61,7 @@ def first_rules(texts: DataFrame, rules: DataFrame) -> DataFrame:
 def with_rule(txns: DataFrame, rules: DataFrame, merchant: str = "merchant_normalized", description: str = "description_raw", out: str = "rule") -> DataFrame:
     """Adds the first rule that covers a row's merchant key or its description, null if none does. Texts are searched once each, however many rows have them."""
     side = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    found = first_rules(txns.select(side(merchant).alias("text")).unionAll(txns.select(side(description).alias("text"))), rules)
+    found = snapshot(first_rules(txns.select(side(merchant).alias("text")).unionAll(txns.select(side(description).alias("text"))), rules))
     t = txns
     for k, c in enumerate((merchant, description)):
         t = t.join(found.select(F.col("text").alias(f"_text{k}"), F.col("rule").alias(f"_rule{k}")), side(c) == F.col(f"_text{k}"), "left")
