@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,3 +27,8 @@ def free(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def release() -> None:
+    """Give Arrow's free memory back to the system: workers outlive a task, and the next stage's would come on top of it."""
+    pa.default_memory_pool().release_unused()

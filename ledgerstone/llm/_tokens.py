@@ -29,7 +29,7 @@ _WORD = re.compile(r"[^ \t\n\r\f\v]+")
 class Encoder:
     """encode(text) -> little-endian uint32 ids as bytes, END_ID last."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ledgerstone.llm import _chunks as C
 from ledgerstone.llm._components import components
-from ledgerstone.llm._shared import shared_table
+from ledgerstone.llm._shared import release, shared_table
 
 _SIG = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("sa", pa.int64()), ("sb", pa.int64())])
 _SET = pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("tokens", pa.list_(pa.int64()))])
@@ -107,6 +107,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "
         s = Sets(c, n)
         a, b = s.signatures()
         rid = (np.int64(c.index) << np.int64(32)) + np.arange(len(c.ids))
+        release()
         return pa.table([pa.array(rid), pa.array(c.ids, pa.int64()), pa.array(c.hashes, pa.int64()), pa.array(s.sizes), pa.array(a), pa.array(b)], schema=_SIG)
 
     base = shared_table(spark, chunks.groupBy("chunk").applyInArrow(sign, "rid long, doc_id long, h long, n long, sa long, sb long"))
@@ -171,6 +172,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "
         offsets = np.append(np.searchsorted(doc, docs_here), len(doc)).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(token))
         rid = (np.int64(c.index) << np.int64(32)) + docs_here
+        release()
         return pa.table([pa.array(rid), pa.array(s.sizes[docs_here]), pa.array(s.sizes[docs_here] - shared[docs_here]), lists], schema=_SET)
 
     first = layout.deal(first)
@@ -234,6 +236,7 @@ def _test(sets: DataFrame, pairs: DataFrame, percent: int, block: int = 500) ->
 
     def run(q: pa.Table, x: pa.Table) -> pa.Table:
         links, root = [], {}
+        release()
 
         def top(r: int) -> int:
             while (up := root.get(r, r)) != r:

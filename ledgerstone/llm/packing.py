@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ledgerstone.llm import _tokens as T
+from ledgerstone.llm._shared import release
 
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double, ids binary"
 _OUT = pa.schema([(n, {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}[t]) for n, t in (x.split(" ") for x in OUT.split(", "))])
@@ -106,5 +107,6 @@ def pack(docs: DataFrame, length: int = 4096, group_tokens: int = 2_000_000, lin
                         yield from flush()
                         ids, parts, held = [], [], 0
         yield from flush()
+        release()
 
     return rows.mapInArrow(run, OUT)

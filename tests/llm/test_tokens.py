@@ -166,3 +166,16 @@ def test_pack(docs, rows, library):
             assert p.offset == at
             at += p.length
         assert at == 4096 or at & (at - 1) == 0
+
+
+def test_memory_of_an_encoder_is_bounded():
+    """Workers outlive a stage: what an encoder remembers stays small, and ids are the library's after it has forgotten."""
+    e = T.Encoder(T.default_path())
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: "".join(letters[i // 26**k % 26] for k in range(5))
+    texts = [" ".join(word(i * 41) for i in range(k, k + 5_000)) for k in range(0, 280_000, 5_000)]
+    e.encode_many(texts[:1])
+    for k in range(0, len(texts), 4):
+        e.encode_many(texts[k : k + 4])
+    assert len(e.memory) + len(e.old) <= 250_000
+    assert e.encode_many(texts[:1])[0][:-4] == e._whole(texts[0])
