@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public tokenizer, with a bounded memory of what units encode to.
 
 ``word_bpe_49k.json`` drops white space, splits a text into runs of letters, single digits and runs of other characters, and encodes each
-by itself; every such unit's last token ends in ``</w>``. So the ids of a text of plain Latin characters are its units' ids in order, and new units can be
-encoded together, one library call for many. Texts with any other character, or an apostrophe
+by itself; every such unit's last token ends in ``</w>``. So the ids of a text of plain Latin characters are its units' ids in order. Such texts are taken together, some
+MB at a time: their units are found by arrays, each distinct unit is looked up once, and those not in memory go to the library in one call. Texts with any other character, or an apostrophe
 (which opens contractions), are split at ASCII white space and only their plain words use the memory; the other
 words go to the library whole. A text holding a special token's string, or combining marks next to white space, is encoded whole.
 """
@@ -12,18 +12,30 @@ from __future__ import annotations
 import array
 import os
 import re
-from collections.abc import Iterable
-from itertools import chain
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 END_ID = 2
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _OTHER = r"!-&(-/:-@\[-`{-~"
-_UNIT = re.compile(f"[{_LETTERS}]+|[0-9]|[{_OTHER}]+")
 _PLAIN = re.compile(rf"[{_LETTERS}0-9{_OTHER} \t\n\r\f\v]*\Z")
+#: Units of a plain text's lower-case bytes: all of its bytes from 0x80 on are of letters.
+_UNIT = re.compile(rf"[a-z\x80-\xff]+|[0-9]|[{_OTHER}]+".encode("latin-1"))
 #: Words of these characters never combine with a neighbour across white space.
 _WORD = re.compile(r"[^ \t\n\r\f\v]+")
+_SPACE = re.compile(r"[ \t\n\r\f\v]")
+#: Closes a text among others; no plain text holds it.
+_STOP = b"\0"
+#: What a byte of plain texts is: 0 white space, 1 letter, 2 other; from 3 on it is a unit by itself.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[*b" \t\n\r\f\v"]] = 0
+_KIND[[*b"abcdefghijklmnopqrstuvwxyz", *range(0x80, 0x100)]] = 1
+_KIND[[*b"0123456789"]] = 3
+_KIND[0] = 4
+#: Characters of texts taken together, and bytes of the longest unit remembered.
+TOGETHER, LONGEST = 1 << 21, 64
 
 
 class Encoder:
@@ -32,6 +44,7 @@ class Encoder:
     def __init__(self, path: str, most: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -39,56 +52,100 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
+        #: The same model for units, which need no normalizing and are parted by spaces.
+        self.units = Tokenizer(self.tokenizer.model)
+        self.units.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.end = array.array("I", [END_ID]).tobytes()
         #: What units encode to; when it is full, it becomes the old one, from which units in use come back.
-        self.memory: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.memory: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.most = most
-        self.end = array.array("I", [END_ID]).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, units: Iterable[str]) -> None:
-        if len(self.memory) > self.most:
-            self.memory, self.old = {}, self.memory
-        memory, old = self.memory, self.old
-        new = []
-        for u in set(units).difference(memory):
-            if u in old:
-                memory[u] = old[u]
-            else:
-                new.append(u)
-        if new:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(stops) != len(new) or stops[-1] != 4 * len(ids):
-                raise RuntimeError("the tokenizer's units aren't those this module expects")
-            raw, start = ids.tobytes(), 0
-            for u, stop in zip(new, stops.tolist(), strict=True):
-                memory[u] = raw[start:stop]
-                start = stop
-
-    def encode_many(self, texts: list[str | None], at_once: int = 32) -> list[bytes]:
-        """encode() of each text; the new units of some texts go to the library together."""
-        out = []
-        for i in range(0, len(texts), at_once):
-            some = texts[i : i + at_once]
-            plain = [bool(t) and not any(s in t for s in self.special) and _PLAIN.match(t) is not None for t in some]
-            units = [_UNIT.findall(t.lower()) if p else None for t, p in zip(some, plain, strict=True)]
-            self._learn(chain.from_iterable(u for u in units if u))
-            memory = self.memory  # stays whole even if encode() below starts a new one
-            out += [self.encode(t) if u is None else b"".join([memory[x] for x in u]) + self.end for t, u in zip(some, units, strict=True)]
+    def _new(self, units: list[bytes]) -> list[bytes]:
+        """What units encode to, by one call of the library."""
+        ids = np.array(self.units.encode_batch_fast([b" ".join(units).decode()], add_special_tokens=False)[0].ids, "<u4")
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(stops) != len(units) or stops[-1] != 4 * len(ids):
+            raise RuntimeError("the tokenizer's units aren't those this module expects")
+        raw, stops = ids.tobytes(), stops.tolist()
+        return [raw[lo:hi] for lo, hi in zip([0, *stops], stops, strict=False)]
+
+    def _ids(self, units: list[bytes]) -> list[bytes]:
+        """What units encode to; _STOP gives the end id."""
+        out: list[bytes | None] = list(map(self.memory.get, units))
+        missing = [i for i, x in enumerate(out) if x is None]
+        for i in missing:
+            out[i] = self.end if units[i] == _STOP else self.old.get(units[i])
+        new = [i for i in missing if out[i] is None]
+        for i, x in zip(new, self._new([units[i] for i in new]) if new else [], strict=True):
+            out[i] = x
+        for i in missing:
+            if len(units[i]) <= LONGEST:
+                if len(self.memory) >= self.most:
+                    self.memory, self.old = {}, self.memory
+                self.memory[units[i]] = out[i]
         return out
 
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """encode() of plain texts: every distinct unit is looked up once, its ids are put wherever it stands."""
+        raw = np.frombuffer("\0".join([*texts, ""]).lower().encode(), np.uint8)
+        kind = _KIND[raw]
+        first = kind >= 3
+        first[:1] = True
+        first[1:] |= kind[1:] != kind[:-1]
+        ink = kind > 0
+        body, starts = raw[ink], np.flatnonzero(first[ink])
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(body))), pa.py_buffer(body)]).dictionary_encode()
+        ids = self._ids(found.dictionary.to_numpy(zero_copy_only=False).tolist())  # several times as fast as to_pylist
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        at = found.indices.to_numpy()
+        n = size[at]
+        stops = np.cumsum(n)
+        from_ = np.repeat((np.cumsum(size) - size)[at] - stops + n, n)
+        from_ += np.arange(len(from_))
+        out = np.frombuffer(b"".join(ids), "<u4")[from_].tobytes()
+        ends = (4 * stops[body[starts] == 0]).tolist()
+        return [out[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
+
+    def _long(self, text: str) -> bytes:
+        """encode() of a plain text, cut at white space so that the arrays stay small."""
+        parts, at = [], 0
+        while at < len(text):
+            m = _SPACE.search(text, at + TOGETHER)
+            stop = m.start() if m else len(text)
+            parts.append(self._together([text[at:stop]])[0][:-4])
+            at = stop
+        return b"".join([*parts, self.end])
+
+    def _plain(self, text: str) -> bool:
+        return not any(s in text for s in self.special) and _PLAIN.match(text) is not None
+
+    def encode_each(self, texts: Iterable[str | None], at_once: int | None = None) -> Iterator[bytes]:
+        """encode() of each text; texts are taken until they are at_once or have TOGETHER characters."""
+
+        def flush():
+            plain = [len(t) <= TOGETHER and self._plain(t) for t in some]
+            done = iter(self._together([t for t, p in zip(some, plain, strict=True) if p]) if any(plain) else [])
+            for t, p in zip(some, plain, strict=True):
+                yield next(done) if p else self.encode(t)
+
+        some, held = [], 0
+        for t in texts:
+            some.append(t or "")
+            held += len(some[-1])
+            if held >= TOGETHER or len(some) == at_once:
+                yield from flush()
+                some, held = [], 0
+        yield from flush()
+
+    def encode_many(self, texts: Iterable[str | None], at_once: int | None = None) -> list[bytes]:
+        return list(self.encode_each(texts, at_once))
+
     def _units(self, text: str) -> bytes:
-        units = _UNIT.findall(text.lower())
-        try:
-            memory = self.memory
-            return b"".join([memory[u] for u in units])
-        except KeyError:
-            self._learn(units)
-            memory = self.memory
-            return b"".join([memory[u] for u in units])
+        return b"".join(self._ids(_UNIT.findall(text.lower().encode())))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -96,7 +153,7 @@ class Encoder:
         if any(s in text for s in self.special):
             return self._whole(text) + self.end
         if _PLAIN.match(text):
-            return self._units(text) + self.end
+            return self._long(text)
         if not text.isascii() and any("ʰ" <= c <= "ͯ" or c > "῿" or c in "\x85\xa0 " for c in set(text)):
             return self._whole(text) + self.end
         out, plain = [], []

@@ -97,15 +97,13 @@ def pack(docs: DataFrame, length: int = 4096, group_tokens: int = 2_000_000, lin
             at += max((p[3] for p in pieces), default=-1) + 1
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 32):
-                some = batch.slice(k, 32)
-                for d, p in zip(some.column(0).to_pylist(), enc.encode_many(some.column(1).to_pylist()), strict=True):
-                    ids.append(d)
-                    parts.append(p)
-                    held += len(p) // 4
-                    if held >= group_tokens:
-                        yield from flush()
-                        ids, parts, held = [], [], 0
+            for d, p in zip(batch.column(0).to_pylist(), enc.encode_each(x.as_py() for x in batch.column(1)), strict=True):
+                ids.append(d)
+                parts.append(p)
+                held += len(p) // 4
+                if held >= group_tokens:
+                    yield from flush()
+                    ids, parts, held = [], [], 0
         yield from flush()
         release()
 

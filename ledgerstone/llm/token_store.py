@@ -207,7 +207,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str | None = None,
     def write(table: pa.Table) -> pa.Table:
         c = C.Chunk(table)
         enc = T.encoder(tokenizer_path)
-        parts = enc.encode_many([t.decode() for t in c.texts])
+        parts = enc.encode_many(t.decode() for t in c.texts)
         lengths = np.array([len(p) // 4 for p in parts], np.int64)
         ids = np.frombuffer(b"".join(parts), "<u4")
         return pa.table([[c.index], [len(c.ids)], [len(ids)], [write_blob(ids, c.ids, lengths)]], schema=out)

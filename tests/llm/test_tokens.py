@@ -179,3 +179,33 @@ def test_memory_of_an_encoder_is_bounded():
         e.encode_many(texts[k : k + 4])
     assert len(e.memory) + len(e.old) <= 250_000
     assert e.encode_many(texts[:1])[0][:-4] == e._whole(texts[0])
+
+
+def test_a_unit_is_looked_up_once_for_many_texts(library):
+    class Counted(dict):
+        n = 0
+
+        def get(self, *key):
+            Counted.n += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            Counted.n += 1
+            return super().__getitem__(key)
+
+    e = T.Encoder(T.default_path())
+    texts = [f"the same words again and again, été {i % 7} " * 50 for i in range(200)]
+    e.encode_many(texts)
+    e.memory = Counted(e.memory)
+    assert e.encode_many(texts) == [library(t).tobytes() for t in texts]
+    assert Counted.n < 200
+
+
+def test_long_texts_and_units(library, monkeypatch):
+    """A plain text beyond the arrays' size is cut at white space; a unit of many bytes isn't remembered."""
+    monkeypatch.setattr(T, "TOGETHER", 40, raising=False)
+    e = T.Encoder(T.default_path())
+    texts = ["one two,three " * 30, "x" * 300, "a" * 50 + " b\n\n" + "Ç!" * 60 + "   ", " " * 100, "", None, "it's " + "word " * 40]
+    want = [library(t).tobytes() for t in texts]
+    assert e.encode_many(texts) == [e.encode(t) for t in texts] == want
+    assert max(len(u) for u in [*e.memory, *e.old]) <= 64
