@@ -34,6 +34,9 @@ _KIND[[*b" \t\n\r\f\v"]] = 0
 _KIND[[*b"abcdefghijklmnopqrstuvwxyz", *range(0x80, 0x100)]] = 1
 _KIND[[*b"0123456789"]] = 3
 _KIND[0] = 4
+#: Lower case, byte by byte: from 0x80 on, a plain text holds 0xC3 and, after it, 0x80 to 0x9E for capitals.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", *range(0x80, 0x9F)]] += 32
 #: Characters of texts taken together, and bytes of the longest unit remembered.
 TOGETHER, LONGEST = 1 << 21, 64
 
@@ -57,7 +60,7 @@ class Encoder:
         self.units.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.end = array.array("I", [END_ID]).tobytes()
         #: What units encode to; when it is full, it becomes the old one, from which units in use come back.
-        self.memory: dict[bytes, bytes] = {}
+        self.memory: dict[bytes, bytes] = {_STOP: self.end}
         self.old: dict[bytes, bytes] = {}
         self.most = most
 
@@ -74,24 +77,30 @@ class Encoder:
         return [raw[lo:hi] for lo, hi in zip([0, *stops], stops, strict=False)]
 
     def _ids(self, units: list[bytes]) -> list[bytes]:
-        """What units encode to; _STOP gives the end id."""
+        """What units encode to; _STOP, always in memory, gives the end id."""
         out: list[bytes | None] = list(map(self.memory.get, units))
         missing = [i for i, x in enumerate(out) if x is None]
-        for i in missing:
-            out[i] = self.end if units[i] == _STOP else self.old.get(units[i])
-        new = [i for i in missing if out[i] is None]
-        for i, x in zip(new, self._new([units[i] for i in new]) if new else [], strict=True):
+        if not missing:
+            return out
+        asked = [units[i] for i in missing]
+        found = list(map(self.old.get, asked))
+        new = [u for u, x in zip(asked, found, strict=True) if x is None]
+        fresh = iter(self._new(new) if new else [])
+        found = [next(fresh) if x is None else x for x in found]
+        for i, x in zip(missing, found, strict=True):
             out[i] = x
-        for i in missing:
-            if len(units[i]) <= LONGEST:
-                if len(self.memory) >= self.most:
-                    self.memory, self.old = {}, self.memory
-                self.memory[units[i]] = out[i]
+        at = 0
+        while at < len(asked):
+            if len(self.memory) >= self.most:
+                self.memory, self.old = {_STOP: self.end}, self.memory
+            stop = at + self.most - len(self.memory)
+            self.memory |= {u: x for u, x in zip(asked[at:stop], found[at:stop], strict=True) if len(u) <= LONGEST}
+            at = stop
         return out
 
     def _together(self, texts: list[str]) -> list[bytes]:
         """encode() of plain texts: every distinct unit is looked up once, its ids are put wherever it stands."""
-        raw = np.frombuffer("\0".join([*texts, ""]).lower().encode(), np.uint8)
+        raw = _LOWER[np.frombuffer("\0".join([*texts, ""]).encode(), np.uint8)]
         kind = _KIND[raw]
         first = kind >= 3
         first[:1] = True
@@ -100,7 +109,7 @@ class Encoder:
         body, starts = raw[ink], np.flatnonzero(first[ink])
         found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(body))), pa.py_buffer(body)]).dictionary_encode()
         ids = self._ids(found.dictionary.to_numpy(zero_copy_only=False).tolist())  # several times as fast as to_pylist
-        size = np.array([len(x) // 4 for x in ids], np.int64)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         at = found.indices.to_numpy()
         n = size[at]
         stops = np.cumsum(n)
@@ -170,14 +179,14 @@ class Encoder:
         return b"".join(out) + self.end
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, most: int = 100_000) -> Encoder:
+    """One encoder for each Python worker, file and size of memory."""
+    if (path, most) not in _encoders:
+        _encoders[path, most] = Encoder(path, most)
+    return _encoders[path, most]
 
 
 def default_path() -> str:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ledgerstone.llm import _chunks as C
 from ledgerstone.llm import _tokens as T
-from ledgerstone.llm._shared import shared_folder
+from ledgerstone.llm._shared import release, shared_folder
 
 _MAGIC, _BLOCK, _PIECE = b"WVM2", 512, 8192
 #: Up to so many shards, their starts are broadcast. Width of the slots in which positions meet shards.
@@ -206,10 +206,11 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str | None = None,
 
     def write(table: pa.Table) -> pa.Table:
         c = C.Chunk(table)
-        enc = T.encoder(tokenizer_path)
+        enc = T.encoder(tokenizer_path, 200_000)  # rare units are most of the library's work
         parts = enc.encode_many(t.decode() for t in c.texts)
         lengths = np.array([len(p) // 4 for p in parts], np.int64)
         ids = np.frombuffer(b"".join(parts), "<u4")
+        release()
         return pa.table([[c.index], [len(c.ids)], [len(ids)], [write_blob(ids, c.ids, lengths)]], schema=out)
 
     # Tasks take neighbouring shards, and a task's file lists them in order.
